@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, language_id, piece_transducer
 from corpusloom.plans.session import table
 
 
@@ -14,6 +14,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.split_predict(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.report(table(spark, sf_dir, "documents"), piece_transducer.read_model())
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -29,7 +37,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {"op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_sentencepiece": op7_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
