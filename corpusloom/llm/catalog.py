@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, language_id, piece_transducer
+import corpus_pipeline
+from corpusloom.llm import exact_dedup, language_id, mixing, near_dedup, piece_transducer, url_filter
 from corpusloom.plans.session import table
 
 
@@ -22,6 +23,22 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.report(table(spark, sf_dir, "documents"), piece_transducer.read_model())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classify(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.placements(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -35,10 +52,69 @@ WITH t AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept, text_sha256 FROM n
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS ss FROM w
+), e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
+o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM o WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT doc_id AS root, doc_id FROM s UNION SELECT r.root, l.y FROM r JOIN l ON r.doc_id = l.x)
+SELECT s.doc_id, CAST(len(s.ss) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+v AS (
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), m AS (
+  SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM v JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n
+)
+-- the pages of these tables have neither canonical links nor redirects, so no alias decides
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v LEFT JOIN m USING (n)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE c AS (SELECT coalesce('=' || source, '') AS s, count(*) AS n FROM documents GROUP BY ALL),
+w AS (SELECT s, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS weight, 1000 - count(*) OVER () AS free, greatest(sum(floor(sqrt(n) * 1000)) OVER (), 1)::BIGINT AS total FROM c),
+r AS (SELECT s, weight * free // total AS whole, free - sum(weight * free // total) OVER () AS spare, row_number() OVER (ORDER BY weight * free % total DESC, s) AS place, count(*) OVER () AS k FROM w),
+q AS (SELECT s, CAST(1 + whole + floor((spare - place + k) / k) AS BIGINT) AS q FROM r),
+sim(t, s, q, j) AS (
+  SELECT 0, s, q, 0::BIGINT FROM q
+  UNION ALL
+  SELECT t + 1, s, q, j + CASE WHEN row_number() OVER (ORDER BY j * 1000 // q > t, ((j + 1) * 1000 + q - 1) // q, s) = 1 THEN 1 ELSE 0 END FROM sim WHERE t < 1000
+), pat AS (SELECT a.s, a.q, a.j AS k, a.t AS place_at FROM sim a JOIN sim b ON b.s = a.s AND b.t = a.t + 1 AND b.j = a.j + 1),
+d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS s,
+         row_number() OVER (PARTITION BY source ORDER BY md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS number
+  FROM documents
+), b AS (SELECT *, number // 16 AS block, number % 16 AS place FROM d)
+SELECT doc_id, source, block, block * 1000 // pat.q AS release, ((block + 1) * 1000 + pat.q - 1) // pat.q AS deadline,
+       block // pat.q * 1000 + place_at AS slot, (block // pat.q * 1000 + place_at) * 16 + place AS position
+FROM b JOIN pat ON b.s = pat.s AND b.block % pat.q = pat.k
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_sentencepiece": op7_sentencepiece}
+    return {
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_url_filters": op8_url_filters,
+        "op9_near_dedup": op9_near_dedup,
+        "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -364,3 +364,11 @@ def report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_byte_pieces long, ids_sha256 string, round_trip boolean")
+
+
+def tokenised(docs: DataFrame, model: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The kept columns, n_tokens and ids; null text gives null in both."""
+    from pyspark.sql import functions as F
+
+    out = encode(docs, model, text_col, keep)
+    return out.select(*keep, F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "ids")
