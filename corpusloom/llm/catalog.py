@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import exact_dedup, language_id, mixing, near_dedup, piece_transducer, url_filter
+from corpusloom.llm import exact_dedup, language_id, licences, mixing, near_dedup, piece_transducer, rp_forest, url_filter
 from corpusloom.plans.session import table
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -19,6 +24,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.split_predict(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    return licences.scan(docs, path, docs["text"], {"doc_id": docs["doc_id"]})
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.report(table(spark, sf_dir, "documents"), piece_transducer.read_model())
 
@@ -69,6 +81,38 @@ SELECT s.doc_id, CAST(len(s.ss) AS BIGINT) AS n_shingles, m.component_id, s.doc_
 FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licences.TEMPLATES))
+
+OP6_SQL = rf"""
+WITH tpl(t, licence, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT t, licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM tpl),
+ttf AS (SELECT t, licence, word, count(*) AS tf FROM tw GROUP BY ALL),
+df AS (SELECT word, ln((1 + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 AS idf FROM ttf GROUP BY word),
+tr AS (SELECT t, licence, word, tf * idf AS w, sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY t)) AS norm FROM ttf JOIN df USING (word)),
+f AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, coalesce(text, '') AS text FROM documents),
+g AS (
+  SELECT path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licences.CUES}')) AS ls,
+         len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM f WHERE regexp_matches(text, '{licences.CUES}')
+), l AS (
+  SELECT path, 2 * list_sum(list_transform(ls, lambda x: len(regexp_extract_all(lower(x), '[a-z0-9]+')))) >= n
+         OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.NAMES}') AS is_file, unnest(list_distinct(ls)) AS line FROM g
+), lw AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT line FROM l)),
+ltf AS (SELECT line, word, count(*) AS tf FROM lw GROUP BY ALL),
+lr AS (SELECT line, word, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS w FROM ltf LEFT JOIN df USING (word)),
+ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lr GROUP BY line),
+sc AS (SELECT lr.line, tr.licence, tr.t, round(sum(lr.w * tr.w / tr.norm) / any_value(ln_.norm), 6) AS score FROM lr JOIN tr USING (word) JOIN ln_ USING (line) GROUP BY ALL),
+fit AS (SELECT line, licence, max(score) AS score FROM sc WHERE score >= {licences.THRESHOLD} GROUP BY ALL),
+own AS (SELECT path, bool_or(is_file) AS is_file, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM l JOIN fit USING (line) GROUP BY path),
+d AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(licence, (-score, licence, path)) AS licence, max(score) AS score FROM own WHERE is_file GROUP BY ALL),
+x AS (SELECT f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir FROM f),
+a AS (SELECT x.dir, arg_max(d.dir, length(d.dir)) AS above, arg_max(licence, length(d.dir)) AS licence, arg_max(score, length(d.dir)) AS score
+      FROM (SELECT DISTINCT dir FROM x) x JOIN d ON x.dir = d.dir OR starts_with(x.dir, d.dir || '/') OR d.dir = '' GROUP BY x.dir)
+SELECT doc_id, path, coalesce(own.licence, a.licence) AS licence, coalesce(own.score, a.score) AS score,
+       CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN a.licence IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own.licence IS NULL THEN above END AS licensed_dir
+FROM x LEFT JOIN own USING (path) LEFT JOIN a USING (dir)
+"""
+
 OP8_SQL = r"""
 WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -106,8 +150,10 @@ FROM b JOIN pat ON b.s = pat.s AND b.block % pat.q = pat.k
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rp_forest": op1_rp_forest,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
+        "op6_licences": op6_licences,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_url_filters": op8_url_filters,
         "op9_near_dedup": op9_near_dedup,
@@ -117,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_licences": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
