@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import exact_dedup, language_id, licences, mixing, near_dedup, piece_transducer, rp_forest, url_filter
+from corpusloom.llm import backoff_lm, exact_dedup, language_id, licences, line_templates, mixing, near_dedup, piece_transducer, rp_forest, url_filter
 from corpusloom.plans.session import table
 
 
@@ -16,6 +16,15 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -81,6 +90,25 @@ SELECT s.doc_id, CAST(len(s.ss) AS BIGINT) AS n_shingles, m.component_id, s.doc_
 FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d),
+g AS (SELECT r, i, w AS g1, lag(w, 1) OVER p AS b, lag(w, 2) OVER p AS a FROM t WINDOW p AS (PARTITION BY r ORDER BY i)),
+o AS (SELECT r, i, g1, b, a || ' ' || b AS ab, b || ' ' || g1 AS g2, a || ' ' || b || ' ' || g1 AS g3 FROM g),
+c1 AS (SELECT g1 AS k, count(*) AS n FROM o GROUP BY 1), c2 AS (SELECT g2 AS k, count(*) AS n FROM o WHERE g2 IS NOT NULL GROUP BY 1),
+c3 AS (SELECT g3 AS k, count(*) AS n FROM o WHERE g3 IS NOT NULL GROUP BY 1),
+m1 AS (SELECT r, g1 AS k, count(*) AS n FROM o GROUP BY ALL), m2 AS (SELECT r, g2 AS k, count(*) AS n FROM o WHERE g2 IS NOT NULL GROUP BY ALL),
+m3 AS (SELECT r, g3 AS k, count(*) AS n FROM o WHERE g3 IS NOT NULL GROUP BY ALL),
+e1 AS (SELECT r, k, c1.n - m1.n AS f FROM m1 JOIN c1 USING (k)), e2 AS (SELECT r, k, c2.n - m2.n AS f FROM m2 JOIN c2 USING (k)), e3 AS (SELECT r, k, c3.n - m3.n AS f FROM m3 JOIN c3 USING (k)),
+s AS (
+  SELECT o.r, ln(CASE WHEN f3.f > 0 THEN f3.f / x2.f WHEN f2.f > 0 THEN f2.f / x1.f * CASE WHEN g3 IS NULL THEN 1 ELSE 0.4 END
+         ELSE greatest(f1.f, 1) / greatest((SELECT count(*) FROM o) - len(d.ws), 1) * CASE WHEN g3 IS NOT NULL THEN 0.4 * 0.4 WHEN g2 IS NOT NULL THEN 0.4 ELSE 1 END END) AS l
+  FROM o JOIN d USING (r) JOIN e1 f1 ON f1.r = o.r AND f1.k = g1 LEFT JOIN e2 f2 ON f2.r = o.r AND f2.k = g2 LEFT JOIN e3 f3 ON f3.r = o.r AND f3.k = g3
+  LEFT JOIN e1 x1 ON x1.r = o.r AND x1.k = b LEFT JOIN e2 x2 ON x2.r = o.r AND x2.k = ab
+), z AS (SELECT r, sum(l) AS l FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(coalesce(l, 0), 4) AS log_score, round(l / len(ws), 6) AS mean_log_score FROM d LEFT JOIN z USING (r)
+"""
+
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licences.TEMPLATES))
 
 OP6_SQL = rf"""
@@ -151,6 +179,8 @@ FROM b JOIN pat ON b.s = pat.s AND b.block % pat.q = pat.k
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rp_forest": op1_rp_forest,
+        "op2_backoff_lm": op2_backoff_lm,
+        "op3_line_templates": op3_line_templates,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
         "op6_licences": op6_licences,
@@ -163,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_licences": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_backoff_lm": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_licences": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
