@@ -15,10 +15,12 @@ linked when 100 * intersection >= 75 * union.
    candidates. Candidates are confirmed on the full sets, and the classes so far
    are connected components of confirmed links.
 4. A star may miss a link between two members that are not alike with the least
-   one. So for buckets that still hold several classes, members outside the
-   bucket's commonest class are compared with all members of other classes. Stars
-   are repeated on such buckets first, each time with other centres, so that this
-   happens between classes, not within them.
+   one. The members of buckets that still hold several classes are finished
+   exactly: two linked texts share one of their rarest shingles (prefix filter),
+   and those that share too few with any other text are out. What is left gets a
+   second star around the member that shares most. Then, for each rare shingle,
+   members outside the commonest class are compared with all members, in blocks
+   of bounded size that give links, not pairs.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 40
 = 2.5e-7. No bucket is capped. Results do not depend on partitioning.
@@ -36,8 +38,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.llm import textblocks as tb
 from corpusloom.operators.components import connected_components
@@ -45,8 +48,8 @@ from corpusloom.plans.session import checkpoint_ready, cut
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
-#: Rounds of stars before the rest of a bucket is compared class by class.
-STARS = 2
+#: Texts of one block of outsiders and of one slice that it is compared with.
+OUTSIDERS, OTHERS = 256, 2048
 _U = np.uint64
 
 _BINS = BANDS * ROWS
@@ -142,6 +145,104 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def _labelled(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Bucket members with their classes so far."""
+    named = classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
+    return buckets.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Keys of the buckets with several classes."""
+    return labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+
+
+def _stars(buckets: DataFrame, first: Column) -> DataFrame:
+    """Each member of a bucket beside the bucket's least one by `first`: other, m (and other_class, g)."""
+    centre = buckets.groupBy("key").agg(F.min(first).alias("c"))
+    named = {"id": "other", "n": "m", "class": "other_class", "g": "g"}
+    joined = buckets.join(centre, "key").where("id <> c.id")
+    inside = [f for f in joined.schema["c"].dataType.names if f in named]
+    return joined.select(*buckets.columns, *[F.col(f"c.{f}").alias(named[f]) for f in inside])
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).distinct()
+
+
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """id, n, f and key: the shingles by which a text can still be found.
+
+    f is how many of a text's n shingles another of the texts has too. With all
+    shingles ordered from rare to common, two linked texts have one in common
+    among the first n - ceil(0.75 n) + 1 of each. Those that no other text has
+    come first and find nothing, so a text with more than a quarter of them is out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            data, offsets = tb.column(b.column(1))
+            for lo, hi, block, at in tb.blocks(data, offsets):
+                sets = list(sets_of(block, at))
+                sizes = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo:hi], sizes), pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "key"])
+
+    each = texts.select("id", "text").mapInArrow(run, "id long, n long, key long")
+    common = each.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    by_text = W.partitionBy("id")
+    shared = each.join(common, "key").withColumn("f", F.count("*").over(by_text)).withColumn("place", F.row_number().over(by_text.orderBy("k", "key")))
+    first = F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")
+    return shared.where(F.col("n") - F.col("f") + F.col("place") <= first).select("id", "n", "f", "key")
+
+
+def _outsiders(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of the members outside the commonest class of each key, to any member with the same key.
+
+    Outsiders near the same class are put in blocks; a block is compared with all
+    texts that share a key with one of it, in slices, on the full sets.
+    """
+    common = members.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "class")).alias("most"))
+    outside = members.join(common, "key").where("class <> most.class").select("key", "id", F.col("most.k").alias("k"), F.col("most.class").alias("hub"))
+    hubs = outside.groupBy("id").agg(F.max(F.struct("k", "hub")).alias("h")).select("id", F.col("h.hub").alias("hub"))
+    many = hubs.groupBy("hub").agg(F.ceil(F.count("*") / OUTSIDERS).alias("parts"))
+    blocks = cut(hubs.join(many, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
+    asked = outside.select("key", "id").join(blocks, "id").select("key", "block").distinct()
+    others = cut(members.select("key", "id").join(asked, "key").select("block", "id").distinct())
+    slices = others.groupBy("block").agg(F.ceil(F.count("*") / OTHERS).alias("slices"))
+    left = blocks.join(texts, "id").join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    right = others.join(texts, "id").join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
+
+    def compare(few: pa.Table, many: pa.Table) -> pa.Table:
+        xs, ys = [], []
+        if few.num_rows and many.num_rows:
+            ids, sizes, parts = few.column("id").to_numpy(), [], []
+            data, offsets = tb.column(few.column("text"))
+            for _, _, block, at in tb.blocks(data, offsets):
+                for x in sets_of(block, at):
+                    sizes.append(len(x))
+                    parts.append(x)
+            owner, held = np.repeat(np.arange(len(ids)), sizes), np.concatenate(parts)
+            order = np.argsort(held, kind="stable")
+            owner, held, size = owner[order], held[order], np.array(sizes)
+            names = many.column("id").to_numpy()
+            data, offsets = tb.column(many.column("text"))
+            for lo, _, block, at in tb.blocks(data, offsets):
+                for k, y in enumerate(sets_of(block, at)):
+                    first, end = np.searchsorted(held, y), np.searchsorted(held, y, "right")
+                    n = end - first
+                    at_ = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at_], minlength=len(ids))
+                    hit = ids[(100 * both >= PERCENT * (size + len(y) - both)) & (ids != names[lo + k])]
+                    xs.append(hit)
+                    ys.append(np.full(len(hit), names[lo + k]))
+        x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (xs, ys))
+        return pa.table({"x": np.maximum(x, y), "y": np.minimum(x, y)})
+
+    fresh = [F.col(c).alias(c) for c in ("block", "slice", "id", "text")]  # both sides come from the same tables
+    pair = left.select(*fresh).groupBy("block", "slice").cogroup(right.select(*fresh).groupBy("block", "slice"))
+    return pair.applyInArrow(compare, "x long, y long").distinct()
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, class of each representative that is not alone)."""
     spark = docs.sparkSession
@@ -159,25 +260,29 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     texts.write.parquet(store)
     texts = spark.read.schema("id long, text string").parquet(store)
 
-    sizes_fit = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-    classes, confirmed, checked = None, None, None
-    for round_ in range(STARS + 1):
-        labelled = buckets.withColumn("class", F.col("id")) if classes is None else buckets.join(classes.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
-        mixed = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct("id", "n", "class")).alias("first"), F.max(F.struct("id", "n", "class")).alias("last")).where("lo < hi")
-        if round_ < STARS:
-            centre = mixed.select("key", F.col("first" if round_ == 0 else "last").alias("c"))
-            found = labelled.join(centre, "key").where("class <> c.class").select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("m"))
-        else:
-            open_ = labelled.join(mixed.select("key"), "key", "left_semi")
-            common = open_.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("class", F.struct("k", "class")).alias("common"))
-            outside = open_.join(common, "key").where("class <> common").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("class").alias("other_class"))
-            found = open_.join(outside, "key").where("class <> other_class").select("id", "n", "other", "m")
-        pairs = found.where(sizes_fit).select(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).distinct()
-        pairs = cut(pairs if checked is None else pairs.join(checked, ["x", "y"], "left_anti"))
-        new = _confirm(pairs, texts)
-        confirmed = cut(new if confirmed is None else confirmed.unionByName(new))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        classes = connected_components(confirmed, "x", "y")
+    fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    pairs = _pairs(_stars(buckets, F.struct("id", "n")).where(fits))
+    pairs = cut(pairs)
+    confirmed = cut(_confirm(pairs, texts))
+    classes = connected_components(confirmed, "x", "y")
+
+    # what is left: buckets with several classes, and of these the rows that can have a link at all
+    mixed = _mixed(_labelled(buckets, classes))
+    open_ = cut(buckets.join(mixed, "key", "left_semi"))
+    rare = cut(_rare_shingles(texts.join(open_.select("id").distinct(), "id", "left_semi")))
+    able = rare.groupBy("id").agg(F.first("f").alias("f"))
+    open_ = open_.join(able, "id")
+    enough = 100 * F.least("f", "g") >= PERCENT * (F.col("n") + F.col("m") - F.least("f", "g"))
+    best = F.struct((-F.col("f") / F.col("n")).alias("u"), "id", "n", "class", F.col("f").alias("g"))
+    found = _stars(_labelled(open_, classes), best).where((F.col("class") != F.col("other_class")) & enough)
+    new = _pairs(found).join(pairs, ["x", "y"], "left_anti")
+    confirmed = cut(confirmed.unionByName(_confirm(new, texts)))
+    classes = connected_components(confirmed, "x", "y")
+
+    rest = _labelled(rare, classes)
+    rest = cut(rest.join(_mixed(rest), "key", "left_semi"))
+    confirmed = confirmed.unionByName(_outsiders(rest, texts))
+    classes = connected_components(confirmed, "x", "y")
     _delete(spark, store)
     return sketches, classes
 
