@@ -8,8 +8,7 @@ document's own (leave one out), so a document does not vouch for itself.
 The n-grams meet their counts in a join on hash, in packed form:
 
 1. Documents are dealt into chunks of about ``CHUNK`` bytes by the hash of their id.
-2. Each chunk sends its distinct n-grams of each order (64-bit hashes, sorted, with
-   counts), cut by hash range into buckets of about ``BUCKET`` n-grams. A word or
+2. Each chunk sends its distinct n-grams of each order (hashes, sorted, with counts), cut by hash range into buckets of about ``BUCKET`` n-grams. A word or
    n-gram that is everywhere leaves each chunk once.
 3. Each bucket adds the counts of all chunks (this is the count table's partition)
    and joins the sums back to every chunk's n-grams.
@@ -38,7 +37,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textblocks as tb
 
 ORDER, ALPHA = 3, 0.4
-CHUNK, BUCKET = 4 << 20, 2_000_000
+CHUNK, BUCKET = 6 << 20, 2_000_000
+#: Hashes have so many bits more than the number of n-grams needs, up to 64: one n-gram in 2 ** SPARE_BITS meets another's hash.
+SPARE_BITS = 24
 _U = np.uint64
 
 
@@ -63,14 +64,19 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=_U)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def hash_bits(total: int, order: int) -> int:
+    return min(64, max(1, total * order).bit_length() + SPARE_BITS)
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that begin at each token, for n = 1 .. order, and each text's first token.
 
     A hash whose n-gram would reach into the next text is meaningless and never read.
     """
     starts, ends, first = tb.words(data, offsets)
     h = tb.hashes(data, starts, ends) if len(starts) else np.zeros(0, _U)
-    return [h] + [np.concatenate([tb.roll(h, n), np.zeros(min(n - 1, len(h)), _U)]) for n in range(2, order + 1)], first
+    rolled = [h] + [np.concatenate([tb.roll(h, n), np.zeros(min(n - 1, len(h)), _U)]) for n in range(2, order + 1)]
+    return [x >> _U(64 - bits) for x in rolled], first
 
 
 def whole(first: np.ndarray, n: int) -> np.ndarray:
@@ -88,9 +94,9 @@ def _chunk_texts(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) > 1 else (data[:0], np.zeros(1, np.int64))
 
 
-def _cuts(values: np.ndarray, buckets: int) -> np.ndarray:
+def _cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where the buckets' hash ranges begin in sorted hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=_U)
+    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=_U)
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
@@ -101,9 +107,9 @@ def _own_counts(ids: np.ndarray, text_of: np.ndarray, kinds: int) -> np.ndarray:
     return times[back]
 
 
-def score_texts(data: np.ndarray, offsets: np.ndarray, lookup, total: int, order: int = ORDER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(data: np.ndarray, offsets: np.ndarray, lookup, total: int, order: int = ORDER, alpha: float = ALPHA, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed log S of each text. lookup(n, sorted distinct hashes): their counts in the corpus."""
-    hashes, first = grams(data, offsets, order)
+    hashes, first = grams(data, offsets, order, bits)
     tokens = np.diff(first)
     text_of = np.repeat(np.arange(len(tokens)), tokens)
     counts = []  # counts[n - 1][i]: of the n-gram that begins at token i, without the own text's
@@ -143,17 +149,19 @@ def _totals(rows: DataFrame) -> tuple[int, int]:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score (sum of ln S) and mean_log_score."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    tb.small_batches(docs.sparkSession)
     size, total = _totals(rows)
     chunks, buckets = max(1, -(-size // chunk)), max(1, -(-total // bucket))
+    bits = hash_bits(total, order)
     dealt = rows.withColumn("chunk", F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(chunks)))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         data, offsets = _chunk_texts(table.column("text"))
-        hashes, first = grams(data, offsets, order)
+        hashes, first = grams(data, offsets, order, bits)
         out: list[tuple] = []
         for n in range(1, order + 1):
             kinds, times = np.unique(hashes[n - 1][whole(first, n)], return_counts=True)
-            cuts = _cuts(kinds, buckets)
+            cuts = _cuts(kinds, buckets, bits)
             for k in range(buckets):
                 a, b = cuts[k], cuts[k + 1]
                 if b > a:
@@ -179,7 +187,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             found = [unpack(parts[n * buckets + k]) for k in range(buckets) if n * buckets + k in parts]
             return np.concatenate(found) if found else np.zeros(0, _U)
 
-        tokens, sums = score_texts(data, offsets, lookup, total, order, alpha)
+        tokens, sums = score_texts(data, offsets, lookup, total, order, alpha, bits)
         return pa.table({"doc_id": texts.column("id"), "n_tokens": pa.array(tokens, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "part long, chunk long, grams binary, times binary")

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 500
 U64 = np.uint64
 
 #: [\x20\x09-\x0D]
@@ -53,6 +55,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small_batches(spark) -> None:
+    """Texts are long rows: hand them to Python in batches of BATCH_ROWS rather than Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
