@@ -177,6 +177,8 @@ def _signed(h: int) -> int:
 def _groups(rows: DataFrame, memory: int) -> DataFrame:
     """rows: (id long, text string, payload binary)."""
 
+    tb.small_batches(rows.sparkSession)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for b in batches:
@@ -255,6 +257,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
+    tb.small_batches(docs.sparkSession)
     packed = plain.mapInArrow(pack, "id long, text string, payload binary")
     out = _groups(packed, memory).select("payload").mapInArrow(unpack, fields)
     return out.toDF(*schema.names)

@@ -137,6 +137,7 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> Filters:
     """Filters learned from labelled rows."""
+    tb.small_batches(rows.sparkSession)
     usable = rows.where(rows[lang_col].isNotNull() & rows[text_col].isNotNull() & rows[id_col].isNotNull())
     named = usable.select(usable[id_col].alias("id"), usable[lang_col].cast("string").alias("lang"), usable[text_col].cast("string").alias("text"))
     key = F.xxhash64("id")
@@ -181,6 +182,7 @@ def annotate(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
 
 
 def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1) -> DataFrame:
+    tb.small_batches(rows.sparkSession)
     at = at if at >= 0 else rows.columns.index("text")
     kept = [rows.columns.index(c) for c in keep]
     shared = rows.sparkSession.sparkContext.broadcast(filters)

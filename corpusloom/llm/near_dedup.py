@@ -247,6 +247,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """(sketches of all rows, class of each representative that is not alone)."""
     spark = docs.sparkSession
     checkpoint_ready(spark)
+    tb.small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     sketches = cut(sketch(rows))
     one = sketches.where(F.col("id").isNotNull() & F.col("bands").isNotNull()).groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"))

@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corpusloom.llm import textblocks as tb
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Memoised runs of text and pairs of pieces; a full table is emptied.
-RUNS, PAIRS, LONGEST_RUN = 250_000, 400_000, 48
+#: Memoised runs of text (in two generations) and pairs of pieces (emptied when full).
+RUNS, PAIRS, LONGEST_RUN = 120_000, 200_000, 48
 
 _LATIN = "A-Za-z\u00c0-\u024f"
 #: The finest first. The last one doesn't cut.
@@ -116,6 +118,7 @@ class Transducer:
         self.byte_ids = np.zeros(len(pieces), dtype=bool)
         self.byte_ids[list(by_byte.values())] = True
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.timelines: dict[str, tuple | None] = {}
 
@@ -264,10 +267,13 @@ class Transducer:
         for run in self.cut.findall(text):
             ids = runs.get(run)
             if ids is None:
-                ids = self._run_ids(run)
+                ids = self.old_runs.get(run)
+                if ids is None:
+                    ids = self._run_ids(run)
                 if len(run) <= LONGEST_RUN:
-                    if len(runs) >= RUNS:
-                        runs.clear()
+                    if len(runs) >= RUNS // 2:  # what has not been met since the last turn is forgotten
+                        self.old_runs, self.runs = runs, {}
+                        runs = self.runs
                     runs[run] = ids
             out.append(ids)
         return b"".join(out)
@@ -307,6 +313,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
     where = [list(dict.fromkeys(at)).index(k) for k in at]
     fields = T.StructType([T.StructField(f"k{k}", docs.schema[docs.columns.index(c)].dataType, True) for k, c in enumerate(names)] + [T.StructField("ids", T.ArrayType(T.IntegerType()), True)])
 
+    tb.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:
@@ -328,6 +336,8 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: list[str]
     at = [rows.columns.index(c) for c in [ids_col, *names]]
     fields = T.StructType([T.StructField(f"k{k}", rows.schema[rows.columns.index(c)].dataType, True) for k, c in enumerate(names)] + [T.StructField("text", T.StringType(), True)])
 
+    tb.small_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:
@@ -347,6 +357,8 @@ def report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     decoding are done in one pass, so neither ids nor decoded texts leave the task.
     """
 
+    tb.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:
