@@ -18,7 +18,7 @@ def _tables(spark, d):
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     tags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "test"), F.when(F.col("quality") == 1, "security:reviewed")))
     concepts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), tags.alias("tags"), F.lit(1).alias("fan_in"))
-    hits = search.best(tq.bm25f_scores(spark, d), 50)
+    hits = search.best(tq.bm25f_scores(spark, d), None)  # the strong branch and the text factor need every match
     return hits, concepts, edges, members
 
 

@@ -209,3 +209,16 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_gather_takes_strong_matches_of_any_rank(spark, tmp_path):
+    from corpusloom.plans import context_queries
+
+    passage = "parser tokens header loops kernel"
+    rows = [(i, f"{passage} n{i}" if i <= 70 else "something else entirely", f"s{i % 3}", 10) for i in range(1, 91)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # toxic documents count as tests: they go, and use up no places
+    spark.createDataFrame([(i, 0, int(i <= 5)) for i in range(1, 91)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id for r in context_queries.gather_refactor(spark, str(tmp_path)).where("score >= 90").collect()}
+    assert got == set(range(6, 71))
