@@ -119,19 +119,19 @@ def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: Data
 def pack(items: DataFrame, budget: int) -> DataFrame:
     """query_id, doc, position, packed: greedy in order; what would exceed the budget is left out, later and smaller items still fit.
 
-    items: query_id, doc, position, size. A query's items (a ranking of bounded
-    depth) are folded in order in one expression.
+    items: query_id, doc, position, size. A query's items are folded in order in one
+    expression, which keeps only the positions of packed items.
     """
-    rows = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "doc", F.col("size").cast("long").alias("size")))).alias("i"))
-    kind = T.StructType([T.StructField("used", T.LongType()), T.StructField("kept", T.ArrayType(T.BooleanType()))])
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept")).cast(kind)
+    rows = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "doc", F.col("size").cast("long").alias("size")))).alias("i"))
+    kind = T.StructType([T.StructField("used", T.LongType()), T.StructField("kept", T.ArrayType(T.LongType()))])
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept")).cast(kind)
 
     def step(a, x):
-        fits = a["used"] + x["size"] <= budget
-        return F.struct((a["used"] + F.when(fits, x["size"]).otherwise(0)).alias("used"), F.concat(a["kept"], F.array(fits)).alias("kept")).cast(kind)
+        added = F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x["position"])).alias("kept")).cast(kind)
+        return F.when(a["used"] + x["size"] <= budget, added).otherwise(a)
 
     folded = rows.select("query_id", "i", F.aggregate("i", start, step)["kept"].alias("kept"))
-    return folded.select("query_id", F.explode(F.arrays_zip("i", "kept")).alias("z")).select("query_id", F.col("z.i.doc").alias("doc"), F.col("z.i.position").alias("position"), F.col("z.kept").alias("packed"))
+    return folded.select("query_id", "kept", F.explode("i").alias("z")).select("query_id", F.col("z.doc").alias("doc"), F.col("z.position").alias("position"), F.array_contains("kept", F.col("z.position")).alias("packed"))
 
 
 def as_json(gathered: DataFrame) -> DataFrame:

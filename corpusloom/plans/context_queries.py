@@ -48,10 +48,10 @@ def gather_ppr(spark, d):
 
 
 def context_pack(spark, d):
-    """Hits packed into 16,000 characters."""
-    hits = search.best(tq.bm25f_scores(spark, d), 25)
-    sizes = tq.documents(spark, d).select(F.col("doc_id").alias("doc"), F.length("text").alias("size"))
-    out = retrieve.pack(hits.join(sizes, "doc").select("query_id", "doc", F.col("rank").alias("position"), "size"), 16000)
+    """The whole ranking of gather_feature packed into 16,000 characters."""
+    ranked = retrieve.gather(*_tables(spark, d), "feature", retrieve.Settings(expansion="walk"))
+    sizes = tq.documents(spark, d).select(F.col("doc_id").alias("doc"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    out = retrieve.pack(ranked.join(sizes, "doc").select("query_id", "doc", "position", "size"), 16000)
     return out.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), F.col("position").cast("long").alias("position"), "packed")
 
 

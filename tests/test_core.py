@@ -222,3 +222,21 @@ def test_gather_takes_strong_matches_of_any_rank(spark, tmp_path):
     spark.createDataFrame([(i, 0, int(i <= 5)) for i in range(1, 91)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id for r in context_queries.gather_refactor(spark, str(tmp_path)).where("score >= 90").collect()}
     assert got == set(range(6, 71))
+
+
+def test_context_pack_takes_the_whole_ranking(spark, tmp_path):
+    from corpusloom.plans import context_queries
+
+    passage = "parser tokens header loops kernel"
+    texts = {i: f"{passage} n{i} {'x' * (9000 if i <= 40 else 100)}" for i in range(1, 61)} | {61: "something else entirely"}
+    spark.createDataFrame([(i, t, "s", 10) for i, t in texts.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(61, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ranked = [r.doc_id for r in context_queries.gather_feature(spark, str(tmp_path)).orderBy("position").collect()]
+    used, want = 0, []
+    for i in ranked:
+        want.append(used + len(texts[i]) <= 16000)
+        used += len(texts[i]) * want[-1]
+    got = context_queries.context_pack(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.doc_id, r.packed) for r in got] == list(zip(ranked, want))
+    assert {r.doc_id for r in got if r.packed} >= set(range(41, 61))
