@@ -15,8 +15,8 @@ from corpusloom.plans.session import checkpoint_ready, table
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
-    return language_id.keep_known(docs)
+    """Documents whose language cannot be told, or that no learned language supports, go."""
+    return language_id.keep_known(docs, least=language_id.SUPPORT)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

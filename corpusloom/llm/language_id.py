@@ -40,6 +40,10 @@ SIZES = (3, 4, 5)
 LEAST, SHARE = 4, 0.5
 #: Probes of the filter and log2 of its slots for each kept n-gram (at least 2 ** 20 slots in all).
 PROBES, SLOT_BITS = 3, 4
+#: Least score of a text that keep_known(..., least=SUPPORT) leaves. Of the documents of sf0.1
+#: and check_s none that has n-grams is below 0.36; gibberish, other scripts and sentences in Finnish, Polish and
+#: Turkish are below 0.14.
+SUPPORT = 0.15
 UNKNOWN = "und"
 
 _FOLD = tb.LOWER.copy()
@@ -174,14 +178,14 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return _apply(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), filters, ["id"])
 
 
-def annotate(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """All columns of docs and two more, by position: lang_pred and score."""
+def annotate(docs: DataFrame, filters: Filters, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """All columns of docs and two more, by position: lang_pred and score. A text with n-grams and a score under ``least`` gets ``und``."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = docs.columns.index(text_col)
-    return _apply(plain, filters, plain.columns, at)
+    return _apply(plain, filters, plain.columns, at, least)
 
 
-def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1) -> DataFrame:
+def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1, least: float = 0.0) -> DataFrame:
     tb.small_batches(rows.sparkSession)
     at = at if at >= 0 else rows.columns.index("text")
     kept = [rows.columns.index(c) for c in keep]
@@ -203,7 +207,8 @@ def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1) ->
                 true = (found - total[:, None] * model.false) / (1 - model.false)
                 best = true.argmax(axis=1)
                 score = np.clip(true.max(axis=1) / np.maximum(total, 1), 0, 1)
-                chosen.append(names[np.where(has, best, len(model.languages))])
+                known = has & ((total == 0) | (score >= least))  # a text too short for any n-gram says nothing against a language
+                chosen.append(names[np.where(known, best, len(model.languages))])
                 scores.append(np.where(has, score, 0.0))
             langs = pa.array(np.concatenate(chosen) if chosen else [], pa.string())
             score = pa.array(np.concatenate(scores) if scores else [], pa.float64())
@@ -224,8 +229,8 @@ def split_predict(docs: DataFrame, **fit_options) -> DataFrame:
     return predict(docs, filters).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", **fit_options) -> DataFrame:
-    """docs without the rows whose language cannot be told (null text, or no letter in it)."""
+def keep_known(docs: DataFrame, text_col: str = "text", least: float = 0.0, **fit_options) -> DataFrame:
+    """docs without the rows whose language cannot be told (null text, no letter in it, or n-grams that the filters support less than ``least``)."""
     filters = fit(docs.where(~held_out(docs["doc_id"])), **fit_options)
-    out = annotate(docs, filters, text_col)
+    out = annotate(docs, filters, text_col, least)
     return out.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*docs.columns)

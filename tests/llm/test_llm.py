@@ -146,6 +146,19 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.split_predict(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_pipeline_rejects_what_no_language_supports(spark):
+    import corpus_pipeline
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    random.seed(4)
+    noise = " ".join("".join(random.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60))
+    texts = {-1: "日本語の文章はここにあります", -2: noise, -3: "Это предложение написано на русском языке", -4: "A.", -5: None, -6: "123"}
+    row = given.where("lang is not null").limit(1).collect()[0].asDict()
+    more = spark.createDataFrame([tuple((row | {"doc_id": i, "text": t}).values()) for i, t in texts.items()], given.schema)
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, given.unionByName(more), "").collect()}
+    assert kept == {r.doc_id for r in given.collect() if any(c.isalpha() for c in r.text or "")} | {-4}
+
+
 # SentencePiece
 
 
