@@ -1,7 +1,7 @@
 """A training corpus in five stages over the documents table.
 
 Each stage reads what the one before has written and keeps the columns of
-documents; the last one adds the token ids.
+documents; the last one adds the token ids and the place in the mix.
 """
 
 from __future__ import annotations
@@ -35,8 +35,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each document."""
-    return piece_transducer.tokenised(docs, piece_transducer.read_model(), ["doc_id", "lang", "source"])
+    """doc_id, lang, source, position in the mix, n_tokens and ids of each document.
+
+    Files do not keep the order of rows, so the schedule, which follows from the
+    ids and sources alone, is made again for the output.
+    """
+    placed = mixing.with_position(docs)
+    return piece_transducer.tokenised(placed, piece_transducer.read_model(), ["doc_id", "lang", "source", "position"])
 
 
 STAGES = [

@@ -118,6 +118,12 @@ def placements(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     return out.select(F.col("c0").alias("doc_id"), F.col("c1").alias("source"), "block", "release", "deadline", "slot", "position")
 
 
+def with_position(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All rows and columns of docs, and position in the schedule."""
+    out = schedule(docs, id_col, source_col, **options)
+    return out.select(*[f"c{k}" for k in range(len(docs.columns))], "position").toDF(*docs.columns, "position")
+
+
 def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """All rows and columns of docs, dealt into ranges of the schedule and sorted by it, so that files written from it follow it."""
     out = schedule(docs, id_col, source_col, **options)

@@ -328,3 +328,37 @@ def test_pipeline(spark):
     classes = plain_classes(texts)
     want = {ids[k] for k, (_, root) in classes.items() if root == k}
     assert set(out.doc_id) == want and (out.n_tokens == out.ids.map(len)).all()
+
+
+def plain_positions(ids_by_source, resolution=1000, block=16):
+    """position of each id, by earliest deadline first over as many slots as it takes."""
+    key = lambda s: "" if s is None else "=" + s
+    weight = {key(s): int(len(ids) ** 0.5 * 1000) for s, ids in ids_by_source.items()}
+    free, total = resolution - len(weight), max(sum(weight.values()), 1)
+    quota = {s: 1 + w * free // total for s, w in weight.items()}
+    for s in sorted(weight, key=lambda s: (-(weight[s] * free % total), s))[: resolution - sum(quota.values())]:
+        quota[s] += 1
+    left = {key(s): sorted(ids, key=lambda i: (hashlib.md5(f"mix|{i}".encode()).hexdigest(), i)) for s, ids in ids_by_source.items()}
+    done, out, slot = dict.fromkeys(quota, 0), {}, 0
+    while any(left.values()):
+        due = [(-(-(done[s] + 1) * resolution // q), s) for s, q in quota.items() if done[s] * resolution // q <= slot]
+        if due:
+            s = min(due)[1]
+            done[s] += 1
+            for place, i in enumerate(left[s][:block]):
+                out[i] = slot * block + place
+            left[s] = left[s][block:]
+        slot += 1
+    return out
+
+
+def test_pipeline_carries_the_mix(spark):
+    import corpus_pipeline
+
+    rows = [(i, "big" if i % 3 else None if i % 2 else f"s{i % 7}") for i in range(1500)]
+    given = spark.createDataFrame([(i, f"word {i}", "en", s, 9) for i, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.tokens(spark, corpus_pipeline.mix(spark, given, ""), "").toPandas()
+    by_source: dict = {}
+    for i, s in rows:
+        by_source.setdefault(s, []).append(i)
+    assert dict(zip(out.doc_id, out.position)) == plain_positions(by_source)
