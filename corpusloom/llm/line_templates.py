@@ -2,8 +2,7 @@
 
 A line's tokens are separated by [\\x20\\x09-\\x0D]+; a token with a digit is a
 variable field from the start. The tree has a fixed depth: a line goes to the
-leaf of its number of tokens and its ``LEADING`` first tokens (of a leaf with
-more than ``CROWDED`` distinct lines, its ``DEEP`` first tokens). In a leaf, lines
+leaf of its number of tokens and its ``LEADING`` first tokens. In a leaf, lines
 are taken from the most frequent one on; a line joins the template with which it
 shares most tokens if these are at least ``ALIKE`` of all, and fields in which
 they differ become variable; else it begins a template.
@@ -24,6 +23,7 @@ table gives an empty result; further columns may have any names.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,8 +36,10 @@ from pyspark.sql import types as T
 from corpusloom.llm import textblocks as tb
 from corpusloom.plans.session import cut
 
-LEADING, DEEP, CROWDED = 3, 8, 20_000
+LEADING = 3
 ALIKE, DOCUMENTS = 0.7, 6
+#: From so many lines on, a leaf looks templates up by (position, token).
+INDEXED = 256
 ANY = b"<*>"
 _DIGIT, _FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^ ]*[0-9][^ ]*")
 
@@ -67,21 +69,36 @@ def grow(lines: list[tuple[bytes, int]]) -> list[int]:
     names: dict[bytes, int] = {ANY: 0}
     tokens = np.array([[names.setdefault(t, len(names)) for t in line.split(b" ")] for line, _ in lines], dtype=np.int64)
     width = tokens.shape[1]
+    need = math.ceil(ALIKE * width)
     templates, used, out = np.empty((16, width), dtype=np.int64), 0, []
+    at_token: dict[tuple[int, int], set[int]] | None = {} if len(lines) >= INDEXED else None
     for row in tokens:
         at = -1
-        if used:
-            same = ((templates[:used] == row) & (row != 0)).sum(axis=1)
-            wild = ((templates[:used] == 0) & (row == 0)).sum(axis=1)
-            k = int((same + wild).argmax())
-            if same[k] + wild[k] >= ALIKE * width:
-                at = k
+        if at_token is None:
+            near = np.arange(used)
+        else:
+            # a template that shares `need` tokens shares one of any width - need + 1; the rarest are looked up
+            keys = list(enumerate(row.tolist()))
+            found = sorted((at_token.get(key, ()) for key in keys), key=len)[: width - need + 1]
+            near = np.array(sorted(set().union(*found)), dtype=np.int64)
+        if len(near):
+            shared = (templates[near] == row).sum(axis=1)
+            k = int(shared.argmax())
+            if shared[k] >= need:
+                at = int(near[k])
         if at < 0:
             if used == len(templates):
                 templates = np.concatenate([templates, np.empty_like(templates)])
             templates[used], at, used = row, used, used + 1
+            if at_token is not None:
+                for key in keys:
+                    at_token.setdefault(key, set()).add(at)
         else:
-            templates[at][templates[at] != row] = 0
+            for place in np.flatnonzero(templates[at] != row).tolist():
+                if at_token is not None and templates[at][place]:
+                    at_token[place, int(templates[at][place])].discard(at)
+                    at_token.setdefault((place, 0), set()).add(at)
+                templates[at][place] = 0
         out.append(at)
     return out
 
@@ -91,7 +108,7 @@ def _lines_of(text: bytes) -> list[bytes]:
 
 
 def distinct_lines(texts: DataFrame) -> DataFrame:
-    """(text) to print, name, leaf, deep, line: the distinct masked lines of each text; print and name are hashes of text and line."""
+    """(text) to print, name, leaf, line: the distinct masked lines of each text; print and name are hashes of text and line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,24 +117,20 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
                 for text in dict.fromkeys(b.column(0).slice(lo, 500).cast(pa.binary()).to_pylist()):
                     if text:
                         print_ = _signed(text)
-                        rows += [(print_, text_hash(m), leaf(m, LEADING), leaf(m, DEEP), m) for m in _lines_of(text)]
-                columns = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["print", "name", "leaf", "deep", "line"])
+                        rows += [(print_, text_hash(m), leaf(m, LEADING), m) for m in _lines_of(text)]
+                columns = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["print", "name", "leaf", "line"])
 
-    return texts.mapInArrow(run, "print long, name binary, leaf long, deep long, line binary")
+    return texts.mapInArrow(run, "print long, name binary, leaf long, line binary")
 
 
 def recurring(texts: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(name of each line of a recurring template; print and name of all lines)."""
     lines = distinct_lines(texts)
-    facts = cut(lines.select("print", "name", "leaf"))  # lines by hash, so that their bytes are shuffled only to their leaves
+    facts = cut(lines.select("print", "name"))  # lines by hash, so that their bytes are shuffled only to their leaves
     counts = facts.groupBy("name").agg(F.count_distinct("print").alias("n"))
-    kinds = lines.groupBy("name").agg(F.first("leaf").alias("leaf"), F.first("deep").alias("deep"), F.first("line").alias("line"))
-    placed = kinds.join(counts, "name")
-    crowded = cut(facts.select("leaf", "name").distinct().groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > CROWDED).select("leaf", F.lit(True).alias("crowded")))
-    if not crowded.isEmpty():
-        placed = placed.join(crowded, "leaf", "left").withColumn("leaf", F.when(F.col("crowded"), F.col("deep")).otherwise(F.col("leaf")))
-    placed = placed.select("leaf", "line", "n")
+    kinds = lines.groupBy("name").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
+    placed = kinds.join(counts, "name").select("leaf", "line", "n")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple[bytes, int]]]:
@@ -154,7 +167,7 @@ def recurring(texts: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame,
     # of templates of one line the number of texts is known; with several, a text may have more than one of them
     several = named.where("size > 1").select("name", "template")
     spread = several.join(facts, "name").groupBy("template").agg(F.count_distinct("print").alias("n")).where(F.col("n") >= documents).select("template")
-    return named.where("size = 1").select("name").unionByName(several.join(spread, "template").select("name")), facts.select("print", "name")
+    return named.where("size = 1").select("name").unionByName(several.join(spread, "template").select("name")), facts
 
 
 def clean(docs: DataFrame, text_col: str = "text", documents: int = DOCUMENTS) -> DataFrame:

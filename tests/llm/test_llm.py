@@ -237,6 +237,39 @@ def test_line_templates(spark):
     assert line_templates.report(nothing(spark)).count() == 0
 
 
+def plain_grow(lines):
+    templates, out = [], []
+    for line, _ in lines:
+        row = line.split(b" ")
+        same = [sum(a == b for a, b in zip(t, row)) for t in templates]
+        at = max(range(len(same)), key=lambda k: (same[k], -k), default=-1)
+        if at >= 0 and same[at] >= line_templates.ALIKE * len(row):
+            templates[at] = [a if a == b else line_templates.ANY for a, b in zip(templates[at], row)]
+        else:
+            at = len(templates)
+            templates.append(row)
+        out.append(at)
+    return out
+
+
+def test_indexed_leaf_equals_plain():
+    random.seed(6)
+    for width in (4, 5, 7, 10, 20):
+        kinds = [[random.choice("pqrst") + random.choice("uvw") for _ in range(width - 3)] for _ in range(60)]
+        rows = {" ".join(["a", "b", "c", *(random.choice(["x", "y", "<*>"]) if random.random() < 0.2 else t for t in random.choice(kinds))]).encode() for _ in range(900)}
+        lines = [(r, 1) for r in sorted(rows, key=lambda r: hashlib.md5(r).digest())]
+        assert line_templates.grow(lines) == plain_grow(lines)
+
+
+def test_large_leaf_is_parsed_like_a_small_one(spark):
+    random.seed(7)
+    one = [f"only {w} here\na b c {w} e f g h i j" for w in ("red", "blue", "green", "big", "new", "old")]
+    many = "\n".join("a b c " + " ".join("".join(random.choices("klmnopq", k=5)) for _ in range(7)) for _ in range(21_000))
+    for texts in (one, [*one, many]):
+        out = {r.doc_id: r for r in line_templates.clean(docs(spark, texts)).collect()}
+        assert [out[k].n_dropped for k in range(6)] == [1] * 6 and out.get(6, out[0]).n_dropped == (0 if 6 in out else 1)
+
+
 # forest
 
 
