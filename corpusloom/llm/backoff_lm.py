@@ -38,8 +38,8 @@ from corpusloom.llm import textblocks as tb
 
 ORDER, ALPHA = 3, 0.4
 CHUNK, BUCKET = 6 << 20, 2_000_000
-#: Hashes have so many bits more than the number of n-grams needs, up to 64: one n-gram in 2 ** SPARE_BITS meets another's hash.
-SPARE_BITS = 24
+#: Nothing compares contents, so n-grams of equal hashes would add their counts; fewer bits save disk but make wrong scores.
+HASH_BITS = 64
 _U = np.uint64
 
 
@@ -64,10 +64,6 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=_U)
 
 
-def hash_bits(total: int, order: int) -> int:
-    return min(64, max(1, total * order).bit_length() + SPARE_BITS)
-
-
 def grams(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that begin at each token, for n = 1 .. order, and each text's first token.
 
@@ -152,7 +148,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     tb.small_batches(docs.sparkSession)
     size, total = _totals(rows)
     chunks, buckets = max(1, -(-size // chunk)), max(1, -(-total // bucket))
-    bits = hash_bits(total, order)
+    bits = HASH_BITS
     dealt = rows.withColumn("chunk", F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(chunks)))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:

@@ -220,6 +220,17 @@ def test_backoff_scores(spark):
     assert backoff_lm.score(nothing(spark)).count() == 0
 
 
+def test_backoff_hashes_do_not_meet(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    block, ends = np.frombuffer(" ".join(words).encode(), dtype=np.uint8), np.cumsum([len(w) + 1 for w in words]) - 1
+    high = textblocks.hashes(block, np.concatenate(([0], ends[:-1] + 1)), ends) >> np.uint64(36)
+    order = np.argsort(high, kind="stable")
+    k = int(np.flatnonzero(high[order][1:] == high[order][:-1])[0])  # two words that agree in the 28 bits that such a corpus had
+    a, b = words[order[k]], words[order[k + 1]]
+    got = {r.doc_id: r.log_score for r in backoff_lm.score(docs(spark, [a, f"{b} {b} {b}"])).collect()}
+    assert got[0] == pytest.approx(np.log(1 / 3))
+
+
 def test_packing():
     x = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64))
     assert (backoff_lm.unpack_sorted(backoff_lm.pack_sorted(x)) == x).all() and len(backoff_lm.unpack(backoff_lm.pack(x[:0]))) == 0
