@@ -157,22 +157,23 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v L
 
 OP10_SQL = r"""
 WITH RECURSIVE c AS (SELECT coalesce('=' || source, '') AS s, count(*) AS n FROM documents GROUP BY ALL),
-w AS (SELECT s, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS weight, 1000 - count(*) OVER () AS free, greatest(sum(floor(sqrt(n) * 1000)) OVER (), 1)::BIGINT AS total FROM c),
-r AS (SELECT s, weight * free // total AS whole, free - sum(weight * free // total) OVER () AS spare, row_number() OVER (ORDER BY weight * free % total DESC, s) AS place, count(*) OVER () AS k FROM w),
-q AS (SELECT s, CAST(1 + whole + floor((spare - place + k) / k) AS BIGINT) AS q FROM r),
-sim(t, s, q, j) AS (
-  SELECT 0, s, q, 0::BIGINT FROM q
+a AS (SELECT s, n, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS root FROM c),
+w AS (SELECT s, n, greatest(1, root * 16384 // (SELECT sum(root) FROM a))::BIGINT AS w FROM a),
+p AS (SELECT s, w, sum(w) OVER ()::BIGINT AS d, n FROM w),
+m AS (SELECT max((least((n + 15) // 16, w) * d + w - 1) // w) AS slots FROM p),
+sim(t, s, w, d, j) AS (
+  SELECT 0, s, w, d, 0::BIGINT FROM p
   UNION ALL
-  SELECT t + 1, s, q, j + CASE WHEN row_number() OVER (ORDER BY j * 1000 // q > t, ((j + 1) * 1000 + q - 1) // q, s) = 1 THEN 1 ELSE 0 END FROM sim WHERE t < 1000
-), pat AS (SELECT a.s, a.q, a.j AS k, a.t AS place_at FROM sim a JOIN sim b ON b.s = a.s AND b.t = a.t + 1 AND b.j = a.j + 1),
-d AS (
+  SELECT t + 1, s, w, d, j + CASE WHEN row_number() OVER (ORDER BY j * d // w > t, ((j + 1) * d + w - 1) // w, s) = 1 THEN 1 ELSE 0 END FROM sim WHERE t < (SELECT slots FROM m)
+), pat AS (SELECT a.s, a.w, a.d, a.j AS k, a.t AS place_at FROM sim a JOIN sim b ON b.s = a.s AND b.t = a.t + 1 AND b.j = a.j + 1),
+r AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS s,
          row_number() OVER (PARTITION BY source ORDER BY md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS number
   FROM documents
-), b AS (SELECT *, number // 16 AS block, number % 16 AS place FROM d)
-SELECT doc_id, source, block, block * 1000 // pat.q AS release, ((block + 1) * 1000 + pat.q - 1) // pat.q AS deadline,
-       block // pat.q * 1000 + place_at AS slot, (block // pat.q * 1000 + place_at) * 16 + place AS position
-FROM b JOIN pat ON b.s = pat.s AND b.block % pat.q = pat.k
+), b AS (SELECT *, number // 16 AS block, number % 16 AS place FROM r)
+SELECT doc_id, source, block, block * d // w AS release, ((block + 1) * d + w - 1) // w AS deadline,
+       block // w * d + place_at AS slot, (block // w * d + place_at) * 16 + place AS position
+FROM b JOIN pat ON b.s = pat.s AND b.block % pat.w = pat.k
 """
 
 
