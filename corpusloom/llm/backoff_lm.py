@@ -129,6 +129,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, lookup, total: int, order
 
 
 def _totals(rows: DataFrame) -> tuple[int, int]:
+    @tb.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = tokens = 0
         for b in batches:

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from corpusloom.llm import textblocks as tb
 
 #: Bytes of content that a task holds before it flushes or spills.
-MEMORY = 48 << 20
+MEMORY = 32 << 20
 #: Spill files of one level, and levels before a bucket is streamed into one table whatever its size.
 FANOUT, DEPTH = 16, 12
 
@@ -166,48 +166,81 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 4 << 20) ->
 
 _ENTRY = "h long, content binary, no_id int, id long, n long, payload binary"
 _ENTRY_ARROW = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("no_id", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
-_GROUP = "text_sha256 string, keep_id long, group_size long, payload binary"
-_GROUP_ARROW = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("payload", pa.binary())])
+_GROUP = "text_sha256 string, keep_id long, group_size long"
+_GROUP_ARROW = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _groups(rows: DataFrame, memory: int) -> DataFrame:
-    """rows: (id long, text string, payload binary)."""
+def _groups(plain: DataFrame, at_id: int, at_text: int, memory: int, whole_rows: bool) -> DataFrame:
+    """One row per distinct text: the row of the least id if ``whole_rows``, else text_sha256, keep_id and group_size.
 
-    tb.small_batches(rows.sparkSession)
+    A row travels as its pickled columns, without the text where the content is the text itself.
+    """
+    tb.small_batches(plain.sparkSession)
+    fields = plain.schema
 
+    @tb.lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for b in batches:
-                for content, i, payload in zip(normalise(b.column(1)), b.column(0).to_pylist(), b.column(2).to_pylist()):
+                ids, texts = b.column(at_id).cast(pa.int64()).to_pylist(), b.column(at_text).cast(pa.string())
+                columns = [c.to_pylist() for c in b.columns] if whole_rows else []
+                raw = texts.cast(pa.binary()).to_pylist() if whole_rows else []
+                for k, (i, content) in enumerate(zip(ids, normalise(texts))):
+                    payload = None
+                    if whole_rows:
+                        row = [c[k] for c in columns]
+                        same = raw[k] == content
+                        if same:
+                            row[at_text] = None
+                        payload = pickle.dumps((same, row), protocol=5)
                     yield content, _NO_ID if i is None else (0, i), 1, payload
 
         yield from _batches(((_signed(h), content, *key, n, p) for h, content, key, n, p in _flushing(records(), memory)), _ENTRY_ARROW)
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         def records() -> Iterator[tuple]:
             for b in batches:
                 for _, content, no_id, i, n, payload in zip(*(c.to_pylist() for c in b.columns)):
                     yield content, (no_id, i), n, payload
 
-        done = ((hashlib.sha256(content).hexdigest(), None if no_id else i, n, p) for _, content, (no_id, i), n, p in grace(records(), memory))
+        return grace(records(), memory)
+
+    @tb.lean
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = ((hashlib.sha256(content).hexdigest(), None if no_id else i, n) for _, content, (no_id, i), n, _ in merged(batches))
         yield from _batches(done, _GROUP_ARROW)
 
-    return rows.mapInArrow(local, _ENTRY).repartition("h").mapInArrow(final, _GROUP)
+    @tb.lean
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        def rows() -> Iterator[tuple]:
+            for _, content, _, _, payload in merged(batches):
+                same, row = pickle.loads(payload)
+                if same:
+                    row[at_text] = content.decode()
+                yield tuple(row)
+
+        yield from _batches(rows(), to_arrow_schema(fields))
+
+    dealt = plain.mapInArrow(local, _ENTRY).repartition("h")
+    return dealt.mapInArrow(restore, fields) if whole_rows else dealt.mapInArrow(name, _GROUP)
 
 
 def group_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """One row per distinct text: text_sha256, keep_id (least id), group_size."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("binary").alias("payload"))
-    return _groups(rows, memory).drop("payload")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return _groups(rows, 0, 1, memory, whole_rows=False)
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_sha256."""
 
+    @tb.lean
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shas = [hashlib.sha256(x).hexdigest() for x in normalise(b.column(1))]
@@ -234,30 +267,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row's other columns travel with its text as one payload, so the texts
     are shuffled once and no join follows.
     """
-    schema = docs.schema
-    names = [f"c{k}" for k in range(len(schema))]
-    plain = docs.toDF(*names)
-    positions = [docs.columns.index(id_col), docs.columns.index(text_col)]
-    fields = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, schema.fields)])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            ids = b.column(positions[0]).cast(pa.int64())
-            texts = b.column(positions[1]).cast(pa.string())
-            payload = pa.array([pickle.dumps(r, protocol=5) for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, texts, payload], ["id", "text", "payload"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(fields)
-        for b in batches:
-            rows = [pickle.loads(x) for x in b.column(0).to_pylist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
-
-    tb.small_batches(docs.sparkSession)
-    packed = plain.mapInArrow(pack, "id long, text string, payload binary")
-    out = _groups(packed, memory).select("payload").mapInArrow(unpack, fields)
-    return out.toDF(*schema.names)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    fields = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields)])
+    plain = docs.toDF(*names).to(fields)
+    return _groups(plain, docs.columns.index(id_col), docs.columns.index(text_col), memory, whole_rows=True).toDF(*docs.columns)

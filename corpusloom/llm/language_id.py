@@ -149,6 +149,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = named.select("id", "lang", key.alias("h")).distinct().withColumn("k", rank).where(F.col("k") <= per_language).select("id", "lang")
     picked = named.join(F.broadcast(chosen), ["id", "lang"])  # at most per_language ids of each language
 
+    @tb.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), dtype=object)
@@ -191,6 +192,7 @@ def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1, lea
     kept = [rows.columns.index(c) for c in keep]
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)

@@ -110,6 +110,7 @@ def _lines_of(text: bytes) -> list[bytes]:
 def distinct_lines(texts: DataFrame) -> DataFrame:
     """(text) to print, name, leaf, line: the distinct masked lines of each text; print and name are hashes of text and line."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
@@ -132,6 +133,7 @@ def recurring(texts: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame,
     kinds = lines.groupBy("name").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
     placed = kinds.join(counts, "name").select("leaf", "line", "n")
 
+    @tb.lean
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple[bytes, int]]]:
             last, held = None, []
@@ -181,11 +183,13 @@ def clean(docs: DataFrame, text_col: str = "text", documents: int = DOCUMENTS) -
     found, facts = recurring(texts, documents)
     dropped = facts.join(found, "name").groupBy("print").agg(F.collect_set("name").alias("drop"))
 
+    @tb.lean
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names_ = [None if x is None else _signed(x) for x in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_, pa.int64())], [*names, "print"])
 
+    @tb.lean
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, n_lines, n_dropped = [], [], []

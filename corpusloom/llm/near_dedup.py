@@ -103,6 +103,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame) -> DataFrame:
     """(id, text) to id, n, fingerprint of the set, bands (null for empty sets)."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tb.column(b.column(1))
@@ -123,6 +124,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (x, y) whose full sets are alike enough. texts: (id, text)."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_set = None, None
         for b in batches:
@@ -178,6 +180,7 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
     come first and find nothing, so a text with more than a quarter of them is out.
     """
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()

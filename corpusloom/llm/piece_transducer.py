@@ -315,6 +315,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str
 
     tb.small_batches(docs.sparkSession)
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:
@@ -338,6 +339,7 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: list[str]
 
     tb.small_batches(rows.sparkSession)
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:
@@ -359,6 +361,7 @@ def report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     tb.small_batches(docs.sparkSession)
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for b in batches:

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.llm import textblocks as tb
+
 TREES, LEAF, SAMPLE, SHARE = 10, 16, 16384, 1.3
 #: Vectors and queries of one block.
 TILE, QUERIES = 4096, 2048
@@ -164,6 +166,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     forest = spark.sparkContext.broadcast(grow(_matrix(taken.column("v").combine_chunks(), dim), trees, leaf))
     tiles, groups = -(-n // TILE), -(-asked // QUERIES)
 
+    @tb.lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
@@ -172,6 +175,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
                 packed = pa.array([x.tobytes() for x in leaves], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, packed], ["id", "v", "leaves"])
 
+    @tb.lean
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = forest.value
         for b in batches:
