@@ -2,27 +2,36 @@
 
 Fitting: a bounded sample (``SAMPLE`` vectors with the smallest hashes of their
 ids, equal vectors once) is split by hyperplanes between two random points, at
-the median, down to ``LEAF`` vectors of the sample. The forest is the only thing
-that reaches the driver; its size is bounded by trees * sample / leaf.
+the gap next to the median, ``DEPTH`` times. The forest with its sample is
+the only thing that reaches the driver and is broadcast; its size is bounded by
+the sample and the number of trees.
 
-Index: every vector goes down every tree.
+Index: every vector goes down every tree and lies in one leaf of each.
 
 Search: all trees of the forest share one priority queue. The branch with the
-smallest sum of squared margins is taken next, whichever tree it belongs to,
-until the leaves hold ``SHARE`` times the sample (vectors that several trees find
-count each time). Then all vectors in these leaves are candidates and are ranked
-by their exact inner products in double precision.
+smallest sum of squared margins is taken next, whichever tree it belongs to. It
+ends when the leaves hold ``SHARE`` times the sample (vectors that several trees
+find count each time), or when the next branch lies farther off than the k-th
+best of the sample vectors found so far, so queries in a cluster end early.
 
-The ranking runs over blocks of vectors against blocks of queries, so the memory
-of a task is fixed. SHARE is high because neighbours of vectors that spread
-evenly over 64 dimensions are hardly nearer than others (recall 0.9 needs about
-half of all vectors); clustered vectors reach it with a fraction of that.
+Ranking: queries and vectors meet by leaf in a join, so a query meets its leaves'
+vectors only; all of them are candidates and are ranked by their exact inner
+products in double precision. The k-th best of the sample vectors in a query's
+own leaves is a lower bound of its k-th best candidate, so no leaf sends back
+what lies below it. Leaves are joined in slices of ``TILE`` vectors by ``QUERIES``
+queries, so a task's memory is fixed however crowded a leaf is.
+
+SHARE is high because neighbours of vectors that spread evenly over 64
+dimensions are hardly nearer than others (recall 0.9 needs most of them);
+clustered vectors reach it with a fraction of that.
 
 Defined cases: vectors that are null, zero, of another than the commonest
 dimension, or hold null or non-finite components take no part; rows that repeat
-id and vector count once; another vector under the same id is another query and
-another candidate, and an id is never its own neighbour; ties go to the smaller
-id; an empty table gives an empty result; further columns may have any names.
+id and vector count once; another vector under the same id is another query (with
+a ranking of its own under the same id) and another candidate (the better of the
+two counts), and an id is never its own neighbour; rows with a null id take no
+part; ties go to the smaller id; an empty table gives an empty result; further
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,13 +44,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from corpusloom.llm import textblocks as tb
+from corpusloom.plans.session import checkpoint_ready, cut
 
-TREES, LEAF, SAMPLE, SHARE = 10, 16, 16384, 1.3
-#: Vectors and queries of one block.
-TILE, QUERIES = 4096, 2048
+TREES, DEPTH, SAMPLE, SHARE = 8, 7, 16384, 1.3
+#: Vectors of a leaf and queries that one task compares; leaves between two looks at whether the search can end.
+TILE, QUERIES, LOOK = 4096, 2048, 4
 
 
 @dataclass
@@ -50,8 +61,10 @@ class Forest:
     cuts: np.ndarray  # threshold of each node
     children: np.ndarray  # nodes x 2; a negative number is ~leaf
     roots: list[int]
-    weight: np.ndarray  # sample vectors in each leaf
-    sample: int
+    members: list[np.ndarray]  # rows of the sample in each leaf
+    sample: np.ndarray
+    ids: np.ndarray  # of the sample's rows
+    reach: float  # largest norm of the sample
 
     def leaves_of(self, vectors: np.ndarray) -> np.ndarray:
         """(vectors x trees) leaf that each vector falls into."""
@@ -67,32 +80,45 @@ class Forest:
                     stack += [(self.children[node, 0], rows[~right]), (self.children[node, 1], rows[right])]
         return out
 
-    def search(self, margins: np.ndarray, share: float) -> list[int]:
-        """Leaves in the order of the shared queue until they hold share * sample vectors. margins: of all nodes."""
-        queue = [(0.0, k, root) for k, root in enumerate(self.roots)]
+    def search(self, margins: np.ndarray, scores: np.ndarray, norm: float, share: float, k: int) -> tuple[list[int], float]:
+        """Leaves in the order of the shared queue, and a lower bound of the k-th best score in them.
+
+        margins: of all nodes; scores: of all rows of the sample (-inf for the query's own); norm: the query's.
+        """
+        queue = [(0.0, t, root) for t, root in enumerate(self.roots)]
         heapq.heapify(queue)
-        found, held, pushed = [], 0, len(queue)
+        found, held, pushed, bound = [], 0, len(queue), -np.inf
+        seen: set[int] = set()
         sides, costs = (margins >= 0).astype(np.int64).tolist(), (margins * margins).tolist()
-        children, weight = self.children.tolist(), self.weight
-        while queue and held < share * self.sample:
+        most = share * len(self.sample)
+        while queue and held < most:
             cost, _, node = heapq.heappop(queue)
+            if cost > max(0.0, norm * norm + self.reach * self.reach - 2 * bound):
+                break
             while node >= 0:
-                side = sides[node]
-                pushed += 1
-                heapq.heappush(queue, (cost + costs[node], pushed, children[node][1 - side]))
-                node = children[node][side]
+                side, pushed = sides[node], pushed + 1
+                heapq.heappush(queue, (cost + costs[node], pushed, int(self.children[node, 1 - side])))
+                node = int(self.children[node, side])
             found.append(~node)
-            held += weight[~node]
-        return found
+            held += len(self.members[~node])
+            seen.update(self.members[~node].tolist())
+            if len(found) % LOOK == 0 and len(seen) > k:
+                near = scores[np.fromiter(seen, dtype=np.int64, count=len(seen))]
+                bound = float(np.partition(near, len(near) - k)[len(near) - k])
+        near = scores[np.fromiter(seen, dtype=np.int64, count=len(seen))]
+        if len(near) >= k:
+            bound = float(np.partition(near, len(near) - k)[len(near) - k])
+        return found, bound
 
 
-def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 1) -> Forest:
-    sample = np.unique(sample, axis=0)
+def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
+    sample, first = np.unique(sample, axis=0, return_index=True)
+    ids = ids[first]
     rng = np.random.default_rng(seed)
-    planes, cuts, children, weight, roots = [], [], [], [], []
+    planes, cuts, children, members, roots = [], [], [], [], []
 
-    def split(rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
-        for _ in range(8 if len(rows) > leaf else 0):
+    def split(rows: np.ndarray, level: int) -> tuple[np.ndarray, float, np.ndarray] | None:
+        for _ in range(8 if level < depth and len(rows) > 1 else 0):
             i, j = rng.choice(len(rows), 2, replace=False)
             plane = sample[rows[i]] - sample[rows[j]]
             length = np.linalg.norm(plane)
@@ -100,71 +126,83 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 1
                 continue
             plane = plane / length
             on = sample[rows] @ plane
-            cut = float(np.median(on))
-            right = on >= cut
-            if 0 < right.sum() < len(rows):
-                return plane, cut, right
+            order = np.sort(on)
+            gaps = np.flatnonzero(order[1:] - order[:-1] > 1e-9 * max(1.0, float(np.abs(order).max())))  # no row may lie on a cut, where rounding decides
+            if len(gaps):
+                at = gaps[np.abs(gaps - (len(order) - 1) / 2).argmin()]
+                cut_at = float((order[at] + order[at + 1]) / 2)
+                return plane, cut_at, on >= cut_at
         return None
 
     for _ in range(trees):
-        todo = [(np.arange(len(sample)), -1, 0)]
+        todo = [(np.arange(len(sample)), -1, 0, 0)]
         while todo:
-            rows, parent, side = todo.pop()
-            found = split(rows)
+            rows, parent, side, level = todo.pop()
+            found = split(rows, level)
             if found is None:
-                name = ~len(weight)
-                weight.append(len(rows))
+                name = ~len(members)
+                members.append(rows)
             else:
                 name = len(planes)
                 planes.append(found[0])
                 cuts.append(found[1])
                 children.append([0, 0])
-                todo += [(rows[~found[2]], name, 0), (rows[found[2]], name, 1)]
+                todo += [(rows[~found[2]], name, 0, level + 1), (rows[found[2]], name, 1, level + 1)]
             if parent < 0:
                 roots.append(name)
             else:
                 children[parent][side] = name
-    dim = sample.shape[1]
-    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), np.array(children, dtype=np.int64).reshape(-1, 2), roots, np.array(weight), len(sample))
+    dim, reach = sample.shape[1], float(np.sqrt((sample * sample).sum(axis=1).max()))
+    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), np.array(children, dtype=np.int64).reshape(-1, 2), roots, members, sample, ids, reach)
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _best(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, allowed: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the allowed vectors by exact score, ties to the smaller id."""
-    at = np.flatnonzero(allowed)
-    if len(at) > k:
-        near = rough[at]
-        least = np.partition(near, len(near) - k)[len(near) - k]
-        at = at[near >= least - 1e-9 * max(1.0, abs(least))]
-    score = (vectors[at] * q).sum(axis=1)  # one order of summation for all, so equal vectors have equal scores
-    order = np.lexsort((ids[at], -score))[:k]
-    return at[order], score[order]
+def _hits(Q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, exact score) of the candidates at or above their query's bound, k at most for each query."""
+    rough = Q @ V.T
+    slack = 1e-9 * np.maximum(1.0, np.abs(bounds))
+    at_q, at_v = np.nonzero((rough >= np.where(np.isfinite(bounds), bounds - slack, -np.inf)[:, None]) & (ids[None, :] != q_ids[:, None]))
+    times = np.bincount(at_q, minlength=len(Q))
+    if len(at_q) and times.max() > k:  # equal vectors may come in any number
+        keep = []
+        ends = np.cumsum(times)
+        for r in np.flatnonzero(times):
+            part = np.arange(ends[r] - times[r], ends[r])
+            if len(part) > k:
+                score = (V[at_v[part]] * Q[r]).sum(axis=1)
+                part = part[np.lexsort((ids[at_v[part]], -score))[:k]]
+            keep.append(part)
+        keep = np.concatenate(keep)
+        at_q, at_v = at_q[keep], at_v[keep]
+    return at_q, at_v, (V[at_v] * Q[at_q]).sum(axis=1)  # one order of summation for all, so equal vectors have equal scores
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
-    v = rows[vector_col].cast("array<double>")
+    v = rows[vector_col]
     named = rows.select(rows[id_col].cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return named.where(fine).distinct()
 
 
-def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
+def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each vector whose id is divisible by ``every``."""
     spark = rows.sparkSession
+    checkpoint_ready(spark)
     result = "query_id long, rank int, vec_id long, score double"
     good = usable(rows, id_col, vector_col)
     sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).orderBy(F.desc("n"), "dim").first()
     if sizes is None or not sizes["asked"]:
         return spark.createDataFrame([], result)
-    dim, n, asked = sizes["dim"], sizes["n"], sizes["asked"]
+    dim = sizes["dim"]
     good = good.where(F.size("v") == dim)
     taken = good.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()  # bounded by `sample`
-    forest = spark.sparkContext.broadcast(grow(_matrix(taken.column("v").combine_chunks(), dim), trees, leaf))
-    tiles, groups = -(-n // TILE), -(-asked // QUERIES)
+    forest = spark.sparkContext.broadcast(grow(_matrix(taken.column("v"), dim), taken.column("id").to_numpy(), trees, depth))
 
     @tb.lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,48 +210,50 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 leaves = forest.value.leaves_of(_matrix(part.column(1), dim))
-                packed = pa.array([x.tobytes() for x in leaves], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, packed], ["id", "v", "leaves"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)), pa.array(leaves.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["id", "v", "leaves"])
 
     @tb.lean
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = forest.value
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                margins = _matrix(part.column(1), dim) @ model.planes.T - model.cuts
-                bits = np.zeros((part.num_rows, len(model.weight)), dtype=bool)
-                for r in range(part.num_rows):
-                    bits[r, model.search(margins[r], share)] = True
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["id", "v", "probes"])
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                ids, Q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                margins, scores = Q @ model.planes.T - model.cuts, Q @ model.sample.T
+                scores[ids[:, None] == model.ids[None, :]] = -np.inf
+                norms = np.sqrt((Q * Q).sum(axis=1))
+                found = [model.search(margins[r], scores[r], float(norms[r]), share, k) for r in range(len(ids))]
+                cuts = np.cumsum([0, *(len(x) for x, _ in found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.array([x for ls, _ in found for x in ls], dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x for _, x in found], pa.float64())], ["id", "v", "leaves", "bound"])
 
     def rank(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_h, out_id, out_score = [], [], [], []
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if vectors.num_rows and queries.num_rows:
-            vectors, queries = vectors.combine_chunks(), queries.combine_chunks()
-            ids, V = vectors.column("id").to_numpy(), _matrix(vectors.column("v").combine_chunks(), dim)
-            L = np.frombuffer(b"".join(vectors.column("leaves").to_pylist()), dtype=np.int32).reshape(len(ids), -1)
-            q_ids, q_hash, Q = queries.column("id").to_numpy(), queries.column("h").to_numpy(), _matrix(queries.column("v").combine_chunks(), dim)
-            P = np.unpackbits(np.frombuffer(b"".join(queries.column("probes").to_pylist()), dtype=np.uint8).reshape(len(q_ids), -1), axis=1).view(bool)
+            ids, V = vectors.column("id").to_numpy(), _matrix(vectors.column("v"), dim)
+            q_ids, q_hash, bounds, Q = queries.column("id").to_numpy(), queries.column("h").to_numpy(), queries.column("bound").to_numpy(), _matrix(queries.column("v"), dim)
             for lo in range(0, len(q_ids), 256):
                 part = slice(lo, lo + 256)
-                allowed = P[part][:, L[:, 0]]
-                for t in range(1, L.shape[1]):
-                    allowed |= P[part][:, L[:, t]]
-                allowed &= ids[None, :] != q_ids[part, None]
-                rough = Q[part] @ V.T
-                for r in range(len(rough)):
-                    at, score = _best(Q[lo + r], ids, V, allowed[r], rough[r], k)
-                    out_q.append(np.full(len(at), q_ids[lo + r]))
-                    out_h.append(np.full(len(at), q_hash[lo + r]))
-                    out_id.append(ids[at])
-                    out_score.append(score)
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"query_id": join(out_q, np.int64), "h": join(out_h, np.int64), "vec_id": join(out_id, np.int64), "score": join(out_score, np.float64)})
-
-    routed = good.mapInArrow(route, "id long, v array<double>, leaves binary").withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    probes = good.where(F.col("id") % every == 0).repartition("id").mapInArrow(probe, "id long, v array<double>, probes binary")
-    probes = probes.withColumn("h", F.xxhash64("v")).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-    found = routed.groupBy("tile", "group").cogroup(probes.groupBy("tile", "group")).applyInArrow(rank, "query_id long, h long, vec_id long, score double")
+                at_q, at_v, score = _hits(Q[part], q_ids[part], bounds[part], V, ids, k)
+                out.append((q_ids[part][at_q], q_hash[part][at_q], ids[at_v], score))
+        return pa.table(dict(zip(("query_id", "h", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+
+    leaves_field = T.StructField("leaves", T.ArrayType(T.IntegerType()))
+    routed = cut(good.mapInArrow(route, T.StructType([*good.schema.fields, leaves_field])))
+    probes = good.where(F.col("id") % every == 0).repartition("id", F.xxhash64("v"))
+    probes = cut(probes.mapInArrow(probe, T.StructType([*good.schema.fields, leaves_field, T.StructField("bound", T.DoubleType())])))
+    # as many rows as the forest has leaves
+    vectors_in = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / TILE).alias("slices"))
+    queries_in = probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
+    sizes_of = F.broadcast(cut(vectors_in.join(queries_in, "leaf")))
+    left = routed.select("id", "v", F.explode("leaves").alias("leaf")).join(sizes_of, "leaf")
+    left = left.withColumn("slice", F.pmod(F.xxhash64("id", "v"), "slices")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    right = probes.select("id", "v", "bound", F.xxhash64("v").alias("h"), F.explode("leaves").alias("leaf")).join(sizes_of, "leaf")
+    right = right.withColumn("group", F.pmod(F.xxhash64("id", "v"), "groups")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    by, fresh = ["leaf", "slice", "group"], [F.col(c).alias(c) for c in ("leaf", "slice", "group", "id", "v")]
+    met = left.select(*fresh).groupBy(*by).cogroup(right.select(*fresh, "bound", "h").groupBy(*by))
+    found = met.applyInArrow(rank, "query_id long, h long, vec_id long, score double")
+    each = found.groupBy("query_id", "h", "vec_id").agg(F.max("score").alias("score"))  # several trees may find the same
     place = F.row_number().over(W.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
