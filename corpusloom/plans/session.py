@@ -51,7 +51,20 @@ def checkpoint_ready(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager)
+#: Removes a plan's shuffle files once it has run; Spark reads it when the plan is made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared checkpoint folder.
+
+    Nothing goes back to what came before, so its shuffle files are removed at once.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
