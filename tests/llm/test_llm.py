@@ -263,13 +263,46 @@ def plain_grow(lines):
     return out
 
 
+def grow(lines):
+    tree = line_templates.Leaf(lines[0][0])
+    return [0, *(tree.add(line) for line, _ in lines[1:])]
+
+
+def plain_clean(texts):
+    """Each text without its dropped lines, by one dictionary of leaves."""
+    seen, leaves = {}, {}
+    for text in {t for t in texts if t}:
+        for m in {line_templates.masked(x) for x in text.encode().split(b"\n")} - {b""}:
+            seen.setdefault(m, set()).add(text)
+    for m in seen:
+        tokens = m.split(b" ")
+        leaves.setdefault((len(tokens), *tokens[: line_templates.LEADING]), []).append(m)
+    gone = set()
+    for lines in leaves.values():
+        lines = sorted(lines, key=lambda m: (-len(seen[m]), m))
+        members = {}
+        for m, at in zip(lines, plain_grow([(m, 0) for m in lines])):
+            members.setdefault(at, []).append(m)
+        for ms in members.values():
+            if len(set().union(*(seen[m] for m in ms))) >= line_templates.DOCUMENTS:
+                gone.update(ms)
+    return [None if t is None else "\n".join(x for x in t.split("\n") if line_templates.masked(x.encode()) not in gone) for t in texts]
+
+
+def test_lines_equal_plain(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = df.collect()
+    want = sorted(zip((r.doc_id for r in rows), plain_clean([r.text for r in rows])), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in line_templates.clean(df).collect()), key=repr) == want
+
+
 def test_indexed_leaf_equals_plain():
     random.seed(6)
     for width in (4, 5, 7, 10, 20):
         kinds = [[random.choice("pqrst") + random.choice("uvw") for _ in range(width - 3)] for _ in range(60)]
         rows = {" ".join(["a", "b", "c", *(random.choice(["x", "y", "<*>"]) if random.random() < 0.2 else t for t in random.choice(kinds))]).encode() for _ in range(900)}
         lines = [(r, 1) for r in sorted(rows, key=lambda r: hashlib.md5(r).digest())]
-        assert line_templates.grow(lines) == plain_grow(lines)
+        assert grow(lines) == plain_grow(lines)
 
 
 def test_large_leaf_is_parsed_like_a_small_one(spark):
