@@ -366,19 +366,52 @@ def test_url_filter(spark):
 
 
 def test_mixing(spark):
-    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "big" if i % 3 else f"s{i % 7}") for i in range(3000)], "doc_id long, source string")
-    p = mixing.placements(rows, block=4, resolution=100).toPandas()
-    assert len(p) == 3000 and p.position.is_unique and (p.slot >= p.release).all() and (p.slot < p.deadline).all()
-    slots = p.drop_duplicates(["source", "block"])
-    assert slots.slot.is_unique and slots.groupby("source", dropna=False).size().sum() == len(slots)
-    full = mixing.interleave(rows.withColumn("slot", F.lit(1)).withColumn("block", F.lit("x")), block=4, resolution=100)
-    assert full.columns == ["doc_id", "source", "slot", "block"] and full.count() == 3000
-    assert mixing.placements(rows.limit(0)).count() == 0
-    twice = rows.unionByName(rows)
-    assert mixing.placements(twice, block=4, resolution=100).count() == 6000
-
-
-# licences
+    rows = [(i, "big" if i % 3 else None if i % 2 else f"s{i % 7}") for i in range(1500)] + [(None, "big")] * 40 + [(7, "big")] * 300
+    df = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, slot int")
+    got = mixing.placements(df).collect()
+    assert sorted((r.doc_id or -1, r.source or "") for r in got) == sorted((i or -1, s or "") for i, s in rows)
+    by_source: dict = {}
+    for i, s in rows:
+        by_source.setdefault(s, []).append("" if i is None else i)
+    assert sorted(r.position for r in got) == sorted(windows_positions(by_source))
+    moved = mixing.interleave(df)
+    assert moved.columns == df.columns and sorted(map(tuple, moved.collect()), key=repr) == sorted(((i, s, 1) for i, s in rows), key=repr)
+    assert mixing.placements(df.limit(0)).count() == mixing.interleave(df.limit(0)).count() == 0
+    alone = mixing.placements(df.where("source = 's0'")).collect()
+    assert sorted(r.position for r in alone) == list(range(len(alone)))
+
+
+def windows_positions(ids_by_source, block=16):
+    """Positions that any order of a source's rows fills: those of as many ids as it has."""
+    return plain_positions({s: [f"{s}{k}" for k in range(len(ids))] for s, ids in ids_by_source.items()}, block).values()
+
+
+def test_mixing_deviates_by_less_than_a_block(spark):
+    weights = {"a": "1/3", "b": "1/7", "c": 0.001, "d": "10979/21000", "none": 0}
+    whole, total = mixing.exact_weights(weights)
+    assert (whole, total) == ({"a": 7000, "b": 3000, "c": 21, "d": 10979, "none": 0}, 21000)
+    rows = spark.range(200_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 0 THEN 'c' WHEN id < 66000 THEN 'a' WHEN id < 96000 THEN 'b' WHEN id < 199990 THEN 'd' WHEN id < 199995 THEN 'none' ELSE 'other' END AS source")
+    got = mixing.placements(rows, weights=weights, block=2).collect()
+    assert len(got) == 200_000 and {r.source for r in got if r.slot is None} == {"none", "other"}
+    slots: dict = {}
+    for r in got:
+        if r.slot is not None:
+            slots.setdefault(r.source, {})[r.block] = r.slot
+            assert r.release == r.block * total // whole[r.source] <= r.slot < r.deadline == -(-(r.block + 1) * total // whole[r.source])
+    end = min(max(x.values()) for x in slots.values())  # until then every source has rows
+    assert end > 3 * total
+    for s, at in slots.items():
+        at, w = np.sort(np.fromiter(at.values(), dtype=np.int64)), whole[s]
+        done = np.arange(1, len(at) + 1)  # blocks done after each of its slots, and one less just before
+        assert (np.abs(done * total - (at + 1) * w)[at <= end] < total).all() and (np.abs((done - 1) * total - at * w)[at <= end] < total).all()
+    with pytest.raises(ValueError, match="common denominator"):
+        mixing.exact_weights({"a": "1/9999991", "b": 1})
+
+
+def test_mixing_of_many_sources(spark):
+    got = mixing.placements(spark.range(3000).selectExpr("id AS doc_id", "'s' || id % 1200 AS source"), block=1).collect()
+    assert sorted({r.source for r in got}) == sorted(f"s{k}" for k in range(1200))
+    assert all(r.release <= r.slot < r.deadline for r in got) and len({r.slot for r in got}) == 3000
 
 
 def test_licences(spark):
@@ -407,14 +440,12 @@ def test_pipeline(spark):
     assert set(out.doc_id) == want and (out.n_tokens == out.ids.map(len)).all()
 
 
-def plain_positions(ids_by_source, resolution=1000, block=16):
+def plain_positions(ids_by_source, block=16):
     """position of each id, by earliest deadline first over as many slots as it takes."""
     key = lambda s: "" if s is None else "=" + s
-    weight = {key(s): int(len(ids) ** 0.5 * 1000) for s, ids in ids_by_source.items()}
-    free, total = resolution - len(weight), max(sum(weight.values()), 1)
-    quota = {s: 1 + w * free // total for s, w in weight.items()}
-    for s in sorted(weight, key=lambda s: (-(weight[s] * free % total), s))[: resolution - sum(quota.values())]:
-        quota[s] += 1
+    root = {key(s): int(len(ids) ** 0.5 * 1000) for s, ids in ids_by_source.items()}
+    quota = {s: max(1, r * mixing.PARTS // sum(root.values())) for s, r in root.items()}
+    resolution = sum(quota.values())
     left = {key(s): sorted(ids, key=lambda i: (hashlib.md5(f"mix|{i}".encode()).hexdigest(), i)) for s, ids in ids_by_source.items()}
     done, out, slot = dict.fromkeys(quota, 0), {}, 0
     while any(left.values()):
