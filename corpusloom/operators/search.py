@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions.text import terms
+from corpusloom.plans.session import small
 
+#: Saturation, length normalisation, weights of fields, and the cut of entry points.
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"name": 3.0, "doc": 2.0, "body": 1.0}
 ENTRY_SHARE, MOST_ENTRIES = 0.5, 4
@@ -48,38 +50,51 @@ def best(scores: DataFrame, k: int | None, by: str = "query_id", item: str = "do
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _grid(docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float]) -> DataFrame:
+    """doc, field, weight, terms, length: one row for each field of a document."""
+    each = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(weights[name]).alias("weight"), terms(text).alias("terms")) for name, text in fields.items()])
+    return docs.select(docs[id_col].alias("doc"), F.explode(each).alias("f")).select("doc", "f.field", "f.weight", "f.terms", F.size("f.terms").alias("length"))
+
+
+def _statistics(grid: DataFrame) -> DataFrame:
+    """field, n_docs, mean: over all documents, so an empty field counts as length 0; a mean of 0 counts as 1. One row per field."""
+    mean = F.avg("length")
+    return grid.groupBy("field").agg(F.count("*").alias("n_docs"), F.when(mean == 0, 1.0).otherwise(mean).alias("mean"))
+
+
+def _counted(grid: DataFrame, among: DataFrame | None) -> DataFrame:
+    """doc, field, weight, length, term, tf. With ``among`` (term) other terms are left out before anything is shuffled."""
+    each = grid.select("doc", "field", "weight", "length", F.explode("terms").alias("term"))
+    if among is not None:
+        each = each.join(small(among.select("term").distinct()), "term", "left_semi")
+    return each.groupBy("doc", "field", "weight", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def _normalised() -> Column:
+    return (1 - B) + B * F.col("length") / F.col("mean")
+
+
 def bm25(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, plus_one: bool = True) -> DataFrame:
     """query_id, doc, score > 0 of all matching documents. asked: query_terms."""
-    tf = term_frequency(docs, id_col, text)
-    weights = document_frequency(tf, docs)
-    lengths = docs.select(docs[id_col].alias("doc"), F.size(terms(text)).alias("length"))
-    mean = lengths.agg(F.avg("length").alias("mean"))
-    wanted = asked.join(weights, "term")
-    hits = tf.join(wanted, "term").join(lengths, "doc").join(F.broadcast(mean))  # one row
-    norm = K1 * ((1 - B) + B * F.col("length") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * ((K1 + 1) if plus_one else 1.0) / (F.col("tf") + norm)
+    grid = _grid(docs, id_col, {"all": text}, {"all": 1.0})
+    tf = _counted(grid, asked).join(F.broadcast(_statistics(grid)), "field")  # one row
+    idf = tf.groupBy("term", "n_docs").agg(F.count("*").alias("df")).select("term", inverse_frequency(F.col("df"), F.col("n_docs")).alias("idf"))
+    hits = tf.join(asked.join(idf, "term"), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * ((K1 + 1) if plus_one else 1.0) / (F.col("tf") + K1 * _normalised())
     return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 
-def field_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """doc, field, term, v: length-normalised weighted frequency of a term in a field.
-
-    Means go over all documents, so an empty field counts as length 0; a mean of 0 counts as 1.
-    """
-    each = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(weights[name]).alias("weight"), terms(text).alias("terms")) for name, text in fields.items()])
-    grid = docs.select(docs[id_col].alias("doc"), F.explode(each).alias("f")).select("doc", "f.field", "f.weight", "f.terms", F.size("f.terms").alias("length"))
-    means = grid.groupBy("field").agg(F.avg("length").alias("mean"))
-    tf = grid.select("doc", "field", "weight", "length", F.explode("terms").alias("term")).groupBy("doc", "field", "weight", "length", "term").agg(F.count("*").alias("tf"))
-    norm = (1 - B) + B * F.col("length") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
-    return tf.join(F.broadcast(means), "field").select("doc", "field", "term", (F.col("weight") * F.col("tf") / norm).alias("v"))  # one row per field
+def field_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS, among: DataFrame | None = None) -> DataFrame:
+    """doc, field, term, n_docs, v: length-normalised weighted frequency of a term (of those in ``among``) in a field."""
+    grid = _grid(docs, id_col, fields, weights)
+    tf = _counted(grid, among).join(F.broadcast(_statistics(grid)), "field")  # one row per field
+    return tf.select("doc", "field", "term", "n_docs", (F.col("weight") * F.col("tf") / _normalised()).alias("v"))
 
 
 def bm25f_parts(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame) -> DataFrame:
     """query_id, doc, term, v (all fields), part (of the score)."""
-    postings = field_postings(docs, id_col, fields).groupBy("doc", "term").agg(F.sum("v").alias("v"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term", "left_semi")
-    idf = df.join(F.broadcast(n)).select("term", inverse_frequency(F.col("df"), F.col("n_docs")).alias("idf"))
+    postings = field_postings(docs, id_col, fields, among=asked).groupBy("doc", "term").agg(F.sum("v").alias("v"), F.first("n_docs").alias("n_docs"))
+    idf = postings.groupBy("term", "n_docs").agg(F.count("*").alias("df")).select("term", inverse_frequency(F.col("df"), F.col("n_docs")).alias("idf"))
     return postings.join(asked.join(idf, "term"), "term").select("query_id", "doc", "term", "v", (F.col("times") * F.col("idf") * F.col("v") / (K1 + F.col("v"))).alias("part"))
 
 
@@ -90,7 +105,7 @@ def bm25f(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFr
 def field_share(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, doc, field, share: how much of a hit's score comes from a field."""
     parts = bm25f_parts(docs, id_col, fields, asked).join(hits.select("query_id", "doc"), ["query_id", "doc"])
-    by_field = parts.join(field_postings(docs, id_col, fields).withColumnRenamed("v", "fv"), ["doc", "term"])
+    by_field = parts.join(field_postings(docs, id_col, fields, among=asked).select("doc", "term", "field", F.col("v").alias("fv")), ["doc", "term"])
     total = F.sum("got").over(W.partitionBy("query_id", "doc"))
     summed = by_field.groupBy("query_id", "doc", "field").agg(F.sum(F.col("part") * F.col("fv") / F.col("v")).alias("got"))
     return summed.select("query_id", "doc", "field", (F.col("got") / total).alias("share"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.operators import retrieve, search
 from corpusloom.plans import text_queries as tq
-from corpusloom.plans.session import table
+from corpusloom.plans.session import cut, table
 
 
 def _tables(spark, d):
@@ -18,7 +18,7 @@ def _tables(spark, d):
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     tags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "test"), F.when(F.col("quality") == 1, "security:reviewed")))
     concepts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), tags.alias("tags"), F.lit(1).alias("fan_in"))
-    hits = search.best(tq.bm25f_scores(spark, d), None)  # the strong branch and the text factor need every match
+    hits = cut(search.best(tq.bm25f_scores(spark, d), None))  # the strong branch and the text factor need every match
     return hits, concepts, edges, members
 
 
@@ -66,7 +66,7 @@ lb AS (SELECT doc_id AS doc, max(toxic) AS toxic, max(quality) AS quality FROM l
 tests AS (SELECT doc FROM lb WHERE toxic = 1), flagged AS (SELECT doc FROM lb WHERE quality = 1),
 mem AS (SELECT source AS grp, doc_id AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS at_ FROM documents),
 ed AS (SELECT a.doc AS src, b.doc AS dst FROM mem a JOIN mem b ON a.grp = b.grp AND b.at_ = a.at_ + 1),
-h0 AS (SELECT q, doc, score, rank FROM rb ANTI JOIN tests USING (doc) WHERE rank <= 50),
+h0 AS (SELECT q, doc, score, rank FROM rb ANTI JOIN tests USING (doc)),
 h AS (SELECT q, doc, score, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank, max(score) OVER (PARTITION BY q) AS top FROM h0),
 en AS (SELECT q, doc, score, rank AS place FROM h WHERE rank <= 4 AND (score >= 0.5 * top OR rank = 1)),
 st AS (SELECT q, doc, 90 + score / top AS score, 5 AS branch, rank AS at_ FROM h ANTI JOIN en USING (q, doc) WHERE score >= 0.5 * top),
@@ -84,16 +84,18 @@ def _bfs_sql(a: str, b: str, depth: int, base: int) -> str:
 
 
 _END = """), br2 AS (SELECT * FROM br ANTI JOIN tests USING (doc)),
-z AS (SELECT q, doc, max(score)::DOUBLE AS score, min((branch, at_)) AS first FROM br2 GROUP BY ALL)
-SELECT q AS item_id, doc AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, first, doc) AS position FROM z"""
+z AS (SELECT q, doc, max(score)::DOUBLE AS score, min((branch, at_)) AS first FROM br2 GROUP BY ALL),
+gathered AS (SELECT q AS item_id, doc AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, first, doc) AS position FROM z)"""
+
+_FEATURE = _T + " UNION ALL SELECT q, dst, 40, 4, place FROM en JOIN ed ON src = doc UNION ALL SELECT q, mem.doc, 51 - at_, 3, v * 100 + at_ FROM (SELECT q, grp, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, min(place)) AS v FROM en JOIN mem USING (doc) GROUP BY q, grp) JOIN mem USING (grp) WHERE v <= 2 AND at_ <= 8" + _END
 
 SQL = {
-    "gather_feature": "WITH " + _T + " UNION ALL SELECT q, dst, 40, 4, place FROM en JOIN ed ON src = doc UNION ALL SELECT q, mem.doc, 51 - at_, 3, v * 100 + at_ FROM (SELECT q, grp, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, min(place)) AS v FROM en JOIN mem USING (doc) GROUP BY q, grp) JOIN mem USING (grp) WHERE v <= 2 AND at_ <= 8" + _END,
-    "gather_bug": "WITH " + _T + _bfs_sql("src", "dst", 2, 60) + " UNION ALL SELECT q, src, 45, 3, place FROM en JOIN ed ON dst = doc SEMI JOIN tests ON tests.doc = src" + _END,
-    "gather_security": "WITH " + _T + _bfs_sql("dst", "src", 2, 70) + " UNION ALL SELECT q, dst, 50, 4, place FROM en JOIN ed ON src = doc SEMI JOIN flagged ON flagged.doc = dst UNION ALL SELECT q, m2.doc, 55, 3, place * 1000 + m2.at_ FROM en JOIN mem m1 USING (doc) JOIN mem m2 USING (grp) SEMI JOIN flagged ON flagged.doc = m2.doc" + _END,
-    "gather_refactor": "WITH " + _T + _bfs_sql("dst", "src", 3, 80) + _END,
-    "context_pack": "WITH RECURSIVE " + tq._BASE + "," + tq._BM25F + """,
-      i AS (SELECT q, doc, rank, length(text) AS size FROM rb JOIN documents ON doc = doc_id WHERE rank <= 25),
+    "gather_feature": "WITH " + _FEATURE + " SELECT * FROM gathered",
+    "gather_bug": "WITH " + _T + _bfs_sql("src", "dst", 2, 60) + " UNION ALL SELECT q, src, 45, 3, place FROM en JOIN ed ON dst = doc SEMI JOIN tests ON tests.doc = src" + _END + " SELECT * FROM gathered",
+    "gather_security": "WITH " + _T + _bfs_sql("dst", "src", 2, 70) + " UNION ALL SELECT q, dst, 50, 4, place FROM en JOIN ed ON src = doc SEMI JOIN flagged ON flagged.doc = dst UNION ALL SELECT q, m2.doc, 55, 3, place * 1000 + m2.at_ FROM en JOIN mem m1 USING (doc) JOIN mem m2 USING (grp) SEMI JOIN flagged ON flagged.doc = m2.doc" + _END + " SELECT * FROM gathered",
+    "gather_refactor": "WITH " + _T + _bfs_sql("dst", "src", 3, 80) + _END + " SELECT * FROM gathered",
+    "context_pack": "WITH RECURSIVE " + _FEATURE + """,
+      i AS (SELECT item_id AS q, doc_id AS doc, position AS rank, length(coalesce(text, '')) AS size FROM gathered JOIN documents USING (doc_id)),
       k AS (SELECT q, doc, rank, size <= 16000 AS packed, CASE WHEN size <= 16000 THEN size ELSE 0 END AS used FROM i WHERE rank = 1
             UNION ALL SELECT i.q, i.doc, i.rank, used + size <= 16000, CASE WHEN used + size <= 16000 THEN used + size ELSE used END FROM k JOIN i ON i.q = k.q AND i.rank = k.rank + 1)
       SELECT q AS item_id, doc AS doc_id, rank AS position, packed FROM k""",

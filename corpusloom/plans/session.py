@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -68,3 +69,8 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(True)
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def small(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows; otherwise the planner chooses."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
