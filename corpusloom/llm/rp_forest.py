@@ -52,14 +52,14 @@ from corpusloom.plans.session import checkpoint_ready, cut
 
 TREES, DEPTH, SAMPLE, SHARE = 8, 7, 16384, 1.3
 #: Vectors of a leaf and queries that one task compares; leaves between two looks at whether the search can end.
-TILE, QUERIES, LOOK = 4096, 2048, 4
+TILE, QUERIES, LOOK = 4096, 2048, 8
 
 
 @dataclass
 class Forest:
     planes: np.ndarray  # nodes x dimensions
     cuts: np.ndarray  # threshold of each node
-    children: np.ndarray  # nodes x 2; a negative number is ~leaf
+    children: list[list[int]]  # of each node; a negative number is ~leaf
     roots: list[int]
     members: list[np.ndarray]  # rows of the sample in each leaf
     sample: np.ndarray
@@ -77,7 +77,7 @@ class Forest:
                     out[rows, t] = ~node
                 elif len(rows):
                     right = vectors[rows] @ self.planes[node] >= self.cuts[node]
-                    stack += [(self.children[node, 0], rows[~right]), (self.children[node, 1], rows[right])]
+                    stack += [(self.children[node][0], rows[~right]), (self.children[node][1], rows[right])]
         return out
 
     def search(self, margins: np.ndarray, scores: np.ndarray, norm: float, share: float, k: int) -> tuple[list[int], float]:
@@ -87,28 +87,32 @@ class Forest:
         """
         queue = [(0.0, t, root) for t, root in enumerate(self.roots)]
         heapq.heapify(queue)
-        found, held, pushed, bound = [], 0, len(queue), -np.inf
-        seen: set[int] = set()
+        found, held, pushed, best, looked = [], 0, len(queue), np.zeros(0), 0
+        seen = np.zeros(len(self.sample), dtype=bool)
         sides, costs = (margins >= 0).astype(np.int64).tolist(), (margins * margins).tolist()
-        most = share * len(self.sample)
-        while queue and held < most:
-            cost, _, node = heapq.heappop(queue)
-            if cost > max(0.0, norm * norm + self.reach * self.reach - 2 * bound):
+        most, reach = share * len(self.sample), norm * norm + self.reach * self.reach
+        while True:
+            done = not queue or held >= most
+            if done or len(found) - looked == LOOK:
+                new = np.concatenate([self.members[x] for x in found[looked:]]) if len(found) > looked else np.zeros(0, np.int64)
+                new = np.unique(new[~seen[new]])
+                seen[new] = True
+                best, looked = np.concatenate([best, scores[new]]), len(found)
+                if len(best) > k:
+                    best = np.partition(best, len(best) - k)[len(best) - k :]
+            if done:
                 break
+            cost, _, node = heapq.heappop(queue)
+            if len(best) == k and cost > max(0.0, reach - 2 * float(best.min())):
+                queue = []
+                continue
             while node >= 0:
-                side, pushed = sides[node], pushed + 1
-                heapq.heappush(queue, (cost + costs[node], pushed, int(self.children[node, 1 - side])))
-                node = int(self.children[node, side])
+                side, pushed, pair = sides[node], pushed + 1, self.children[node]
+                heapq.heappush(queue, (cost + costs[node], pushed, pair[1 - side]))
+                node = pair[side]
             found.append(~node)
             held += len(self.members[~node])
-            seen.update(self.members[~node].tolist())
-            if len(found) % LOOK == 0 and len(seen) > k:
-                near = scores[np.fromiter(seen, dtype=np.int64, count=len(seen))]
-                bound = float(np.partition(near, len(near) - k)[len(near) - k])
-        near = scores[np.fromiter(seen, dtype=np.int64, count=len(seen))]
-        if len(near) >= k:
-            bound = float(np.partition(near, len(near) - k)[len(near) - k])
-        return found, bound
+        return found, float(best.min()) if len(best) == k else -np.inf
 
 
 def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
@@ -153,7 +157,7 @@ def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = D
             else:
                 children[parent][side] = name
     dim, reach = sample.shape[1], float(np.sqrt((sample * sample).sum(axis=1).max()))
-    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), np.array(children, dtype=np.int64).reshape(-1, 2), roots, members, sample, ids, reach)
+    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), children, roots, members, sample, ids, reach)
 
 
 def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -241,7 +245,9 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
     leaves_field = T.StructField("leaves", T.ArrayType(T.IntegerType()))
     routed = cut(good.mapInArrow(route, T.StructType([*good.schema.fields, leaves_field])))
-    probes = good.where(F.col("id") % every == 0).repartition("id", F.xxhash64("v"))
+    # a number of tasks of its own, as small rows that cost much work would else be dealt to a single one
+    tasks = max(1, min(-(-sizes["asked"] // 128), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    probes = good.where(F.col("id") % every == 0).repartition(tasks, "id", F.xxhash64("v"))
     probes = cut(probes.mapInArrow(probe, T.StructType([*good.schema.fields, leaves_field, T.StructField("bound", T.DoubleType())])))
     # as many rows as the forest has leaves
     vectors_in = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / TILE).alias("slices"))
