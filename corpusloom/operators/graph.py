@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from corpusloom.operators.components import connected_components
 from corpusloom.plans.session import cut
 
+#: Fixed value: share of the mass that goes back to the seeds.
 RESTART = 0.15
 #: Weight of a transition along an edge and against it, by task.
 DIRECTIONS = {"bug": (1.0, 0.5), "feature": (1.0, 1.0), "security": (0.5, 1.0), "refactor": (0.5, 1.0)}
