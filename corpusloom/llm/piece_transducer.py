@@ -8,12 +8,16 @@
 A text's chain automaton is composed with these position by position, and the
 shortest path in the tropical semiring (min, +) is the segmentation.
 
-Weights. Unigram models: an arc costs minus the piece's score. BPE models: the
-states of the lexicon also remember the last piece, and the arc from piece a to
-piece b costs 0 if merging the text of a and b by the model's merge order gives
-exactly a, b, and infinity otherwise. A segmentation is the one that BPE makes
-if and only if all its neighbours are such pairs, so just one path is finite.
-The pair arcs are compiled as they are met and memoised.
+Weights. Unigram models: an arc costs minus the piece's score, and the costs of a
+text's nodes are relaxed in order of position. BPE models: the states of the
+lexicon also remember the last piece, and the arc from piece a to piece b costs 0
+if merging the text of a and b by the model's merge order gives exactly a, b, and
+infinity otherwise. A segmentation is the one that BPE makes if and only if all
+its neighbours are such pairs, so just one path is finite. As no finite arc costs
+more than another, the queue of the best-first search is a stack there: the
+composition is expanded lazily, longest pieces first, and the first path that
+reaches the end is the shortest. The pair arcs are compiled as they are met and
+memoised.
 
 No path crosses a border between two characters that are neighbours in no
 piece. CUTS lists ways to cut texts at borders between kinds of characters; the
@@ -21,7 +25,10 @@ finest one that cuts no piece of the lexicon is compiled in, texts are composed
 run by run, and frequent runs are memoised in a table of bounded size.
 
 Defined cases: null text gives null ids; empty text gives no ids; U+2581 in a
-text is white space after decoding; malformed UTF-8 counts as U+FFFD.
+text is white space after decoding; malformed UTF-8 counts as U+FFFD; a very long
+text is encoded whole; rows are independent of each other, so null ids and rows
+that repeat keep their places; an empty table gives an empty result; further
+columns may have any names, also that of the output.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from corpusloom.llm import textblocks as tb
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Memoised runs of text (in two generations) and pairs of pieces (emptied when full).
-RUNS, PAIRS, LONGEST_RUN = 120_000, 200_000, 48
+RUNS, PAIRS, LONGEST_RUN = 300_000, 200_000, 48
 
 _LATIN = "A-Za-z\u00c0-\u024f"
 #: The finest first. The last one doesn't cut.
@@ -210,6 +217,8 @@ class Transducer:
 
     def _by_pairs(self, run: str) -> list[str]:
         """All finite paths cost 0, so the first one that reaches the end is the shortest. Each state is left as dead once at most."""
+        if run in self.id and self.joins("", run):
+            return [run]
         n, i, last, path, dead, pairs = len(run), 0, "", [], set(), self.pairs
         ahead = [self._ahead(run, 0)]
         while i < n:
@@ -260,23 +269,26 @@ class Transducer:
                 ids.append(self.unknown)
         return ids.tobytes()
 
+    def _remembered(self, run: str) -> bytes:
+        """Ids of a run that the newer generation of the table doesn't have."""
+        ids = self.runs.get(run)  # met twice in one text
+        if ids is None:
+            ids = self.old_runs.get(run)
+            if ids is None:
+                ids = self._run_ids(run)
+            if len(run) <= LONGEST_RUN:
+                if len(self.runs) >= RUNS // 2:  # what has not been met since the last turn is forgotten
+                    self.old_runs, self.runs = self.runs, {}
+                self.runs[run] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers."""
-        text = self.normalise(text)
-        runs, out = self.runs, []
-        for run in self.cut.findall(text):
-            ids = runs.get(run)
-            if ids is None:
-                ids = self.old_runs.get(run)
-                if ids is None:
-                    ids = self._run_ids(run)
-                if len(run) <= LONGEST_RUN:
-                    if len(runs) >= RUNS // 2:  # what has not been met since the last turn is forgotten
-                        self.old_runs, self.runs = runs, {}
-                        runs = self.runs
-                    runs[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        runs = self.cut.findall(self.normalise(text))
+        found = list(map(self.runs.get, runs))
+        if None in found:
+            found = [self._remembered(run) if ids is None else ids for run, ids in zip(runs, found)]
+        return b"".join(found)
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
