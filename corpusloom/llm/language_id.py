@@ -14,9 +14,12 @@ driver. So the model's size is bounded by the two parameters times the number of
 languages. Predictions read whole texts.
 
 Defined cases: null text or text without any letter gives ``und`` and score 0;
-a tie goes to the language that sorts first; no labelled rows at all gives
-``und`` everywhere; null ids are never trained on; a text without any known
-n-gram gets the language that sorts first and score 0.
+a tie goes to the language that sorts first; no labelled rows at all (also an
+empty table to learn from) gives ``und`` everywhere; null ids are never trained
+on; rows that repeat are learned from once and each get a prediction; a text
+without any known n-gram gets the language that sorts first and score 0; very
+long texts count whole; an empty table gives an empty result; further columns may
+have any names, also lang_pred and score.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.llm import textblocks as tb
+from corpusloom.plans.session import cut, small
 
 #: Labelled rows of each language that a model is fitted on, and n-grams of each language that it keeps.
 PER_LANGUAGE, GRAMS = 600, 40_000
+#: Parts of a language's rows that are ranked apart at first.
+PARTS = 16
 #: Bytes of an n-gram.
 SIZES = (3, 4, 5)
 #: Fewest occurrences of an n-gram, and least share of its highest rate in any language.
@@ -143,11 +149,14 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Filters learned from labelled rows."""
     tb.small_batches(rows.sparkSession)
     usable = rows.where(rows[lang_col].isNotNull() & rows[text_col].isNotNull() & rows[id_col].isNotNull())
-    named = usable.select(usable[id_col].alias("id"), usable[lang_col].cast("string").alias("lang"), usable[text_col].cast("string").alias("text"))
-    key = F.xxhash64("id")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    chosen = named.select("id", "lang", key.alias("h")).distinct().withColumn("k", rank).where(F.col("k") <= per_language).select("id", "lang")
-    picked = named.join(F.broadcast(chosen), ["id", "lang"])  # at most per_language ids of each language
+    named = usable.select(usable[id_col].alias("id"), usable[lang_col].cast("string").alias("lang"), usable[text_col].cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    known = named.select("id", "lang", "print").distinct().withColumn("h", F.xxhash64("id"))
+    # the first of each part of a language are ranked against each other, so no task meets more than PARTS * per_language rows
+    order = ["h", "id", "print"]
+    first = known.withColumn("k", F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy(*order))).where(F.col("k") <= per_language)
+    chosen = first.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("k") <= per_language).select("id", "lang", "print")
+    # rows that repeat in all three count once
+    picked = named.join(small(cut(chosen)), ["id", "lang", "print"]).groupBy("id", "lang", "print").agg(F.first("text").alias("text"))
 
     @tb.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +174,9 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], ["lang", "code", "n"])
 
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = cut(counted)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counted.where(F.col("n") >= LEAST).join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rate = counted.where(F.col("n") >= LEAST).join(small(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = F.max("rate").over(W.partitionBy("code"))
     kept = rate.withColumn("best", best).where(F.col("rate") >= SHARE * F.col("best"))
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("rate"), "code"))

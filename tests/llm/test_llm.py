@@ -470,3 +470,42 @@ def test_pipeline_carries_the_mix(spark):
     for i, s in rows:
         by_source.setdefault(s, []).append(i)
     assert dict(zip(out.doc_id, out.position)) == plain_positions(by_source)
+
+
+def test_language_filters_equal_plain_counts(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").collect() if r.lang and r.text][:60]
+    rows += [rows[0]] * 5  # repeated rows count once
+    df = spark.createDataFrame(rows)
+    learned = language_id.fit(df, per_language=9, grams=700)
+    hashed = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+
+    def pieces(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        folded = language_id.fold(data, np.array([0, len(data)]))[0].tobytes()
+        return [folded[k : k + n] for n in language_id.SIZES for k in range(len(folded) - n + 1)]
+
+    counts = {}
+    for lang in {r.lang for r in rows}:
+        for r in sorted({r for r in rows if r.lang == lang}, key=lambda r: (hashed[r.doc_id], r.doc_id))[:9]:
+            counts.setdefault(lang, Counter()).update(pieces(r.text))
+    rate = {g: {lang: c[g] / c.total() for lang, c in counts.items() if c[g] >= language_id.LEAST} for c in counts.values() for g in c}
+    number = lambda g: int.from_bytes(bytes([len(g)]) + g, "big")
+    wanted = {}
+    for lang in counts:
+        own = [(-v[lang], number(g)) for g, v in rate.items() if lang in v and v[lang] >= language_id.SHARE * max(v.values())]
+        wanted[lang] = {g for _, g in sorted(own)[:700]}
+    plain = language_id.Filters.build({lang: np.array(sorted(g), dtype=np.uint64) for lang, g in wanted.items()})
+    assert plain.languages == learned.languages and all((a == b).all() for a, b in zip(plain.slots, learned.slots))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, learned).withColumnRenamed("id", "doc_id").collect()}
+    size = len(plain.slots[0])
+    for r in rows:
+        grams = pieces(r.text)
+        found = Counter()
+        for g in grams:
+            at = [int(p[0]) for p in language_id.probes(np.array([number(g)], dtype=np.uint64), size)]
+            mask = int(np.bitwise_and.reduce(plain.slots[0][at]))
+            found.update(k for k in range(len(plain.languages)) if mask >> k & 1)
+        true = [(found[k] - len(grams) * plain.false[k]) / (1 - plain.false[k]) for k in range(len(plain.languages))]
+        best = max(range(len(true)), key=lambda k: (true[k], -k))
+        if any(c.isalpha() for c in r.text):
+            assert got[r.doc_id][0] == plain.languages[best] and got[r.doc_id][1] == pytest.approx(min(1, max(0, true[best] / max(1, len(grams)))))
