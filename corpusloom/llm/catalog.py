@@ -118,19 +118,25 @@ ttf AS (SELECT t, licence, word, count(*) AS tf FROM tw GROUP BY ALL),
 df AS (SELECT word, ln((1 + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 AS idf FROM ttf GROUP BY word),
 tr AS (SELECT t, licence, word, tf * idf AS w, sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY t)) AS norm FROM ttf JOIN df USING (word)),
 f AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, coalesce(text, '') AS text FROM documents),
-g AS (
+g AS (SELECT path, regexp_replace(text, '(?m){licences.MARKS}', '', 'g') AS text FROM f WHERE regexp_matches(text, '{licences.CUES}')),
+p AS (
   SELECT path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licences.CUES}')) AS ls,
-         len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM f WHERE regexp_matches(text, '{licences.CUES}')
+         list_filter(string_split_regex(text, '{licences.BETWEEN}'), lambda x: regexp_matches(x, '{licences.CUES}')) AS bs,
+         len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.NAMES}') AS named FROM g
+), u AS (
+  SELECT path, n AS words, named OR 2 * coalesce(list_sum(list_transform(ls, lambda x: len(regexp_extract_all(lower(x), '[a-z0-9]+')))), 0) >= n AS is_file, ls,
+         list_concat(bs, CASE WHEN named OR 2 * coalesce(list_sum(list_transform(bs, lambda x: len(regexp_extract_all(lower(x), '[a-z0-9]+')))), 0) >= n THEN [text] ELSE [] END) AS bs FROM p
 ), l AS (
-  SELECT path, 2 * list_sum(list_transform(ls, lambda x: len(regexp_extract_all(lower(x), '[a-z0-9]+')))) >= n
-         OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.NAMES}') AS is_file, unnest(list_distinct(ls)) AS line FROM g
-), lw AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT line FROM l)),
+  SELECT path, line, bool_or(is_file) AS is_file, max(words) AS words, bool_or(is_block) AS is_block, len(regexp_extract_all(lower(line), '[a-z0-9]+')) AS n
+  FROM (SELECT path, words, is_file, unnest(ls) AS line, false AS is_block FROM u UNION ALL SELECT path, words, is_file, unnest(bs), true FROM u) GROUP BY path, line
+),
+lw AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT line FROM l)),
 ltf AS (SELECT line, word, count(*) AS tf FROM lw GROUP BY ALL),
 lr AS (SELECT line, word, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS w FROM ltf LEFT JOIN df USING (word)),
 ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lr GROUP BY line),
 sc AS (SELECT lr.line, tr.licence, tr.t, round(sum(lr.w * tr.w / tr.norm) / any_value(ln_.norm), 6) AS score FROM lr JOIN tr USING (word) JOIN ln_ USING (line) GROUP BY ALL),
 fit AS (SELECT line, licence, max(score) AS score FROM sc WHERE score >= {licences.THRESHOLD} GROUP BY ALL),
-own AS (SELECT path, bool_or(is_file) AS is_file, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM l JOIN fit USING (line) GROUP BY path),
+own AS (SELECT path, bool_or(is_file) OR 2 * sum(CASE WHEN is_block THEN n ELSE 0 END) >= max(words) AS is_file, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM l JOIN fit USING (line) GROUP BY path),
 d AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(licence, (-score, licence, path)) AS licence, max(score) AS score FROM own WHERE is_file GROUP BY ALL),
 x AS (SELECT f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir FROM f),
 a AS (SELECT x.dir, arg_max(d.dir, length(d.dir)) AS above, arg_max(licence, length(d.dir)) AS licence, arg_max(score, length(d.dir)) AS score

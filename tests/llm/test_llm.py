@@ -422,6 +422,30 @@ def test_licences(spark):
     assert got[""][0] == "Proprietary" and got["c/z.py"] == ("Proprietary", "inherited", "") and got["c/d"][1] == "inherited"
 
 
+def test_licence_blocks(spark):
+    filler = "\n".join(f"word{k} other{k}" for k in range(400))
+    rows = [
+        ("g/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + filler),
+        ("g/src/a.c", "int main;"),
+        ("m/a.js", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\n" + filler),
+        ("b/x.py", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n" + filler),
+        ("t/text.txt", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"),
+        ("t/sub/y.py", "y"),
+        ("c/z.py", "Copyright (c) 2020 Foo. All rights reserved.\n" + filler),
+        ("c/z.py", "x"),
+        ("c/z.py", "x"),
+        ("l/long.txt", filler * 300 + "\n// Licensed under the Apache License, Version 2.0.\n"),
+        ("p/prose.txt", " ".join(["they talked about a license for hours and"] * 40)),
+    ]
+    df = spark.createDataFrame([(p, t, 1, "x") for p, t in rows], "path string, text string, licence int, line string")
+    out = licences.scan(df, df["path"], df["text"], {"id": df["path"]}).collect()
+    got = {r.path: (r.licence, r.origin) for r in out}
+    assert len(out) == len(rows) and got["g/COPYING"] == ("GPL-3.0", "own") and got["g/src/a.c"] == ("GPL-3.0", "inherited")
+    assert got["m/a.js"] == ("MPL-2.0", "own") and got["b/x.py"] == ("BSD-3-Clause", "own") and got["t/text.txt"] == ("MIT", "own") and got["t/sub/y.py"] == ("MIT", "inherited")
+    assert got["c/z.py"] == ("Proprietary", "own") and got["l/long.txt"] == ("Apache-2.0", "own") and got["p/prose.txt"] == (None, None)
+    assert licences.scan(df.limit(0), df["path"], df["text"], {"id": df["path"]}).count() == 0
+
+
 # pipeline
 
 
