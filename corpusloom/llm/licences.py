@@ -87,7 +87,7 @@ def words(text: Column) -> Column:
 
 
 def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """line, licence and score of the distinct lines that a template fits."""
+    """print (SHA-256), licence and score of the distinct lines that a template fits. Only prints travel with words."""
     spark, total = lines.sparkSession, len(templates)
     given = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "t int, licence string, text string")
     counted = given.select("t", "licence", F.explode(words(F.col("text"))).alias("word")).groupBy("t", "licence", "word").agg(F.count("*").alias("tf"))
@@ -97,15 +97,15 @@ def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     norms = rated.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = rated.join(norms, "t").groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("t", "licence", (F.col("w") / F.col("norm")).alias("w"))).alias("at"))
 
-    distinct = lines.select("line").distinct()
-    tf = distinct.select("line", F.explode(words(F.col("line"))).alias("word")).groupBy("line", "word").agg(F.count("*").alias("tf"))
+    distinct = lines.groupBy(F.sha2("line", 256).alias("print")).agg(F.first("line").alias("line"))
+    tf = distinct.select("print", F.explode(words(F.col("line"))).alias("word")).groupBy("print", "word").agg(F.count("*").alias("tf"))
     known = tf.join(F.broadcast(index), "word", "left")  # as many rows as the templates have words
     rated = known.withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0))))
-    norm = rated.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = rated.where("at is not null").select("line", "w", F.explode("at").alias("at")).groupBy("line", "at.t", "at.licence").agg(F.sum(F.col("w") * F.col("at.w")).alias("dot"))
-    scored = dots.join(norm, "line").select("line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    norm = rated.groupBy("print").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = rated.where("at is not null").select("print", "w", F.explode("at").alias("at")).groupBy("print", "at.t", "at.licence").agg(F.sum(F.col("w") * F.col("at.w")).alias("dot"))
+    scored = dots.join(norm, "print").select("print", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("print").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("print", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -126,7 +126,7 @@ def scan(files: DataFrame, path: Column, text: Column, keep: dict[str, Column],
     units = F.concat(F.transform("lines", unit(False)), F.transform(F.concat("blocks", whole), unit(True)))
     each = cued.select("path", ((2 * count(F.col("lines")) >= F.col("words")) | named).alias("is_file"), "words", F.explode(units).alias("u"))
     own_lines = cut(each.groupBy("path", "u.line").agg(F.max("is_file").alias("is_file"), F.max("words").alias("words"), F.max("u.is_block").alias("is_block"), F.max("u.n").alias("n")))
-    found = own_lines.join(line_licences(own_lines, templates, threshold), "line")
+    found = own_lines.withColumn("print", F.sha2("line", 256)).drop("line").join(line_licences(own_lines, templates, threshold), "print")
     in_blocks = F.sum(F.when(F.col("is_block"), F.col("n")).otherwise(0))
     own = found.groupBy("path").agg((F.max("is_file") | (2 * in_blocks >= F.max("words"))).alias("is_file"), F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", "is_file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
