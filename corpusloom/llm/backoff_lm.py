@@ -7,7 +7,8 @@ document's own (leave one out), so a document does not vouch for itself.
 
 The n-grams meet their counts in a join on hash, in packed form:
 
-1. Documents are dealt into chunks of about ``CHUNK`` bytes by the hash of their id.
+1. Documents are dealt into chunks of about ``CHUNK`` bytes by the hash of id and
+   text; a task sends what it has for a chunk as one compressed block.
 2. Each chunk sends its distinct n-grams of each order (hashes, sorted, with counts), cut by hash range into buckets of about ``BUCKET`` n-grams. A word or
    n-gram that is everywhere leaves each chunk once.
 3. Each bucket adds the counts of all chunks (this is the count table's partition)
@@ -15,13 +16,15 @@ The n-grams meet their counts in a join on hash, in packed form:
 4. Each chunk, joined with the counts of its n-grams, scores its tokens; the
    scores are summed per document.
 
-What is shuffled is the texts once and about six bytes for each distinct n-gram of
+What is shuffled is the compressed texts once and about six bytes for each distinct n-gram of
 a chunk, and a byte or less for each count on its way back. All sizes follow from
 the number of bytes and tokens of the input by the same rule for any input.
 
 Defined cases: null and empty texts have 0 tokens and a null mean; rows with a
-null id are dealt by their text and keep their null id; rows that repeat are
-documents of their own; an empty table gives an empty result.
+null id are dealt by their text and keep their null id; rows that repeat an id or
+a text are documents of their own; very long texts are scored whole, in a chunk
+that may be larger for them; an empty table gives an empty result; further columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from corpusloom.llm import textblocks as tb
 
 ORDER, ALPHA = 3, 0.4
 CHUNK, BUCKET = 6 << 20, 2_000_000
+#: Bytes of texts that a task holds before it sends them to their chunks.
+HELD = 16 << 20
 #: Nothing compares contents, so n-grams of equal hashes would add their counts; fewer bits save disk but make wrong scores.
 HASH_BITS = 64
 _U = np.uint64
@@ -85,9 +90,27 @@ def whole(first: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _chunk_texts(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = tb.column(texts)
-    return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) > 1 else (data[:0], np.zeros(1, np.int64))
+def pack_rows(ids: list[int | None], texts: list[bytes | None]) -> bytes:
+    """Ids and texts as one compressed block; null text counts as empty."""
+    texts = [t or b"" for t in texts]
+    head = np.array([len(ids), *(i or 0 for i in ids), *(i is None for i in ids), *map(len, texts)], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(texts))
+
+
+def unpack_rows(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of the texts of several blocks."""
+    ids, nulls, sizes, data = [], [], [], []
+    for block in blocks:
+        raw = zstandard.ZstdDecompressor().decompress(block)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        head = np.frombuffer(raw, np.int64, 3 * n, 8)
+        ids.append(head[:n])
+        nulls.append(head[n : 2 * n])
+        sizes.append(head[2 * n :])
+        data.append(np.frombuffer(raw, np.uint8, offset=8 + 24 * n))
+    none = [np.zeros(0, np.int64)]
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes or none)))).astype(np.int64)
+    return pa.array(np.concatenate(ids or none), pa.int64(), mask=np.concatenate(nulls or none).astype(bool)), np.concatenate(data or [np.zeros(0, np.uint8)]), offsets
 
 
 def _cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -150,10 +173,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     size, total = _totals(rows)
     chunks, buckets = max(1, -(-size // chunk)), max(1, -(-total // bucket))
     bits = HASH_BITS
-    dealt = rows.withColumn("chunk", F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(chunks)))
+    chunk_of = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", "text")), F.lit(chunks))
+
+    @tb.lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def blocks() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack_rows(*x) for x in held.values()], pa.binary())], ["chunk", "block"])
+
+        for b in batches:
+            for key, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+                ids, texts = held.setdefault(key, ([], []))
+                ids.append(i)
+                texts.append(text)
+                size += 100 + len(text or b"")
+                if size > HELD:
+                    yield blocks()
+                    held, size = {}, 0
+        yield blocks()
+
+    dealt = rows.select(chunk_of.alias("chunk"), "id", "text").mapInArrow(deal, "chunk long, block binary")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        data, offsets = _chunk_texts(table.column("text"))
+        _, data, offsets = unpack_rows(table.column("block").to_pylist())
         hashes, first = grams(data, offsets, order, bits)
         out: list[tuple] = []
         for n in range(1, order + 1):
@@ -177,7 +221,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "counts": pa.array(found, pa.binary())})
 
     def finish(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        data, offsets = _chunk_texts(texts.column("text"))
+        ids, data, offsets = unpack_rows(texts.column("block").to_pylist())
         parts = dict(zip(counts.column("part").to_pylist(), counts.column("counts").to_pylist()))
 
         def lookup(n: int, kinds: np.ndarray) -> np.ndarray:
@@ -185,7 +229,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             return np.concatenate(found) if found else np.zeros(0, _U)
 
         tokens, sums = score_texts(data, offsets, lookup, total, order, alpha, bits)
-        return pa.table({"doc_id": texts.column("id"), "n_tokens": pa.array(tokens, pa.int64()), "log_score": pa.array(sums, pa.float64())})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(tokens, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "part long, chunk long, grams binary, times binary")
     answered = asked.groupBy("part").applyInArrow(answer, "part long, chunk long, counts binary")
