@@ -7,6 +7,8 @@ query's term is ever scored.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -102,6 +104,14 @@ def bm25f(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFr
     return bm25f_parts(docs, id_col, fields, asked).groupBy("query_id", "doc").agg(F.sum("part").alias("score")).where(F.col("score") > 0)
 
 
+def search(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame, metadata: Column | None = None) -> DataFrame:
+    """BM25F where the documents' full text (field ``body``) is there, else BM25 over their metadata, with a warning."""
+    if "body" in fields:
+        return bm25f(docs, id_col, fields, asked)
+    warnings.warn("no full text: search goes over metadata only", stacklevel=2)
+    return bm25(docs, id_col, metadata if metadata is not None else F.concat_ws(" ", *fields.values()), asked)
+
+
 def field_share(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, doc, field, share: how much of a hit's score comes from a field."""
     parts = bm25f_parts(docs, id_col, fields, asked).join(hits.select("query_id", "doc"), ["query_id", "doc"])
