@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.functions.text import slug
+
 MOST_MEMBERS = 15
 
 
@@ -110,3 +112,47 @@ def ranked(membership: DataFrame, rank: DataFrame) -> DataFrame:
     """membership with each member's place in its group by centrality, then name. rank: node, rank."""
     order = W.partitionBy("grp").orderBy(F.desc(F.round("rank", 12)), "node")
     return membership.join(rank, "node", "left").withColumn("place", F.row_number().over(order))
+
+
+def isolated(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, grp: nodes without a link, by their top directory ('(root)' at the top)."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    top = F.when(F.contains("node", F.lit("/")), F.substring_index("node", "/", 1)).otherwise("(root)")
+    return nodes.select("node").join(ends, "node", "left_anti").select("node", top.alias("grp"))
+
+
+def merge_singletons(membership: DataFrame, links: DataFrame) -> DataFrame:
+    """node, grp: groups of one join the larger group that they are linked with most, without links the largest; ties to the smaller group.
+
+    Nothing changes where all groups are of one.
+    """
+    m = membership.select("node", "grp")
+    sizes = m.groupBy("grp").agg(F.count("*").alias("n"))
+    single = m.join(sizes.where("n = 1").select("grp"), "grp").select("node", F.col("grp").alias("own"))
+    big = m.join(sizes.where("n > 1"), "grp")
+    largest = sizes.where("n > 1").agg(F.min(F.struct((-F.col("n")).alias("s"), "grp"))["grp"].alias("largest"))
+    both = links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    pull = single.join(both, single["node"] == both["a"]).join(big.select(F.col("node").alias("b"), "grp"), "b").groupBy(single["node"], "grp").agg(F.sum("weight").alias("w")).where("w > 0")
+    best = pull.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("s"), "grp"))["grp"].alias("best"))
+    moved = single.join(best, "node", "left").join(F.broadcast(largest))  # one row
+    return big.select("node", "grp").unionByName(moved.select("node", F.coalesce("best", "largest", "own").alias("grp")))
+
+
+def named_groups(membership: DataFrame, unlinked: Column | None = None, prefix: Column | None = None) -> DataFrame:
+    """grp, slug, hub, size of groups (grp, node, place): the last directory that all members share and the hub's stem.
+
+    Equal names are told apart by -2, -3, ... in order of size, then hub.
+    """
+    folder = F.filter(F.split(F.regexp_extract("node", r"^(.*)/[^/]*$", 1), "/"), lambda x: x != "")
+    rows = membership.select("grp", "node", "place", folder.alias("dirs"), *([unlinked.alias("loose")] if unlinked is not None else [F.lit(False).alias("loose")]), *([prefix.alias("prefix")] if prefix is not None else [F.lit("").alias("prefix")]))
+    # what the first and the last of a group's sorted directories share, all between them share
+    of = rows.groupBy("grp").agg(F.count("*").alias("size"), F.min_by("node", "place").alias("hub"), F.min("dirs").alias("lo"), F.max("dirs").alias("hi"), F.max("loose").alias("loose"), F.max("prefix").alias("prefix"))
+    same = F.aggregate(F.arrays_zip("lo", "hi"), F.struct(F.lit(True).alias("on"), F.lit("").alias("last")), lambda a, x: F.when(a["on"] & x["lo"].eqNullSafe(x["hi"]), F.struct(F.lit(True).alias("on"), x["lo"].alias("last"))).otherwise(F.struct(F.lit(False).alias("on"), a["last"].alias("last"))))
+    base = F.regexp_replace(F.substring_index("hub", "/", -1), r"\.py$", "")
+    parent = F.coalesce(F.try_element_at(F.split("hub", "/"), F.lit(-2)), F.lit("root"))
+    named = of.withColumn("dir", same["last"]).withColumn("stem", F.when(base == "__init__", parent).otherwise(base))
+    linked_name = F.when((F.col("dir") != "") & (F.col("dir") != F.col("stem")), F.concat("dir", F.lit("-"), "stem")).otherwise(F.col("stem"))
+    loose_name = F.concat(F.lit("unlinked-"), F.when(F.col("dir") != "", F.col("dir")).otherwise(F.col("stem")))
+    sluged = named.withColumn("base", slug(F.concat("prefix", F.when(F.col("loose"), loose_name).otherwise(linked_name))))
+    k = F.row_number().over(W.partitionBy("base").orderBy(F.desc("size"), "hub"))
+    return sluged.withColumn("k", k).select("grp", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k").cast("string"))).alias("slug"), "hub", "size", "loose")
