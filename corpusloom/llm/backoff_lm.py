@@ -51,7 +51,7 @@ _U = np.uint64
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 64-bit numbers by byte planes, compressed; planes of zeros cost nothing."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -94,7 +94,7 @@ def pack_rows(ids: list[int | None], texts: list[bytes | None]) -> bytes:
     """Ids and texts as one compressed block; null text counts as empty."""
     texts = [t or b"" for t in texts]
     head = np.array([len(ids), *(i or 0 for i in ids), *(i is None for i in ids), *map(len, texts)], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(texts))
+    return zstandard.ZstdCompressor(level=9).compress(head.tobytes() + b"".join(texts))
 
 
 def unpack_rows(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
