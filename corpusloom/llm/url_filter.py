@@ -114,6 +114,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     explicit = judged.select("node", "own").unionByName(targets).where("own is not null")
     decided = parts.join(explicit, "node").groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
     by_alias = parts.join(decided, "component").select("node", "allowed", "blocked")
-    out = judged.join(by_alias, "node", "left")
+    # pages without a host have no aliases, and would all meet in one key
+    alone = judged.where(~F.col("has_host")).withColumn("allowed", F.lit(None).cast("boolean")).withColumn("blocked", F.lit(None).cast("boolean"))
+    out = judged.where("has_host").join(by_alias, "node", "left").unionByName(alone)
     through = F.when(F.col("has_host") & F.col("blocked") & ~F.col("allowed"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce(F.col("own.verdict"), through).alias("verdict"))
