@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from corpusloom.plans.session import cut
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", most_rounds: int = 1000) -> DataFrame:
     """node and component (least node that it is connected with) for every node with an edge to another node.
 
-    Rows with a null end and self-edges are ignored; an empty table gives an empty result.
+    Rows with a null end and self-edges are ignored; an empty table gives an empty
+    result. Rounds go on to the fixed point; an error says so if ``most_rounds`` are not enough.
     """
     low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     links = edges.where(F.col(a) != F.col(b)).select(high.alias("v"), low.alias("m")).distinct()
@@ -34,6 +35,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", most_
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = links.select(F.col("m").alias("v"), "m").distinct()
     return links.unionByName(roots).select(F.col("v").alias("node"), F.col("m").alias("component"))
 

@@ -1,0 +1,41 @@
+"""A search index kept in files: postings with their document frequencies, and a manifest that says what they were made from."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators import search
+from corpusloom.sources import files
+
+VERSION = 1
+_POSTINGS = "doc string, term string, v double, df long, n_docs long"
+
+
+def build(docs: DataFrame, id_col: str, fields: dict[str, Column], path: str, digest: str) -> None:
+    """Writes the index of all documents. digest: of the content they were made from."""
+    postings = search.field_postings(docs, id_col, fields).groupBy("doc", "term").agg(F.sum("v").alias("v"), F.first("n_docs").alias("n_docs"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    rows = postings.join(df, "term").select(F.col("doc").cast("string").alias("doc"), "term", "v", "df", "n_docs")
+    files.replace_table(rows, path)
+    files.write_text(docs.sparkSession, f"{path}/MANIFEST", json.dumps({"version": VERSION, "digest": digest, "documents": docs.count()}))
+
+
+def load(spark: SparkSession, path: str, digest: str, documents: int) -> DataFrame | None:
+    """doc, term, v, df, n_docs; None if there is no index of this version, content and number of documents."""
+    try:
+        manifest = json.loads(files.read_text(spark, f"{path}/MANIFEST") or "{}")
+    except json.JSONDecodeError:
+        return None
+    if manifest != {"version": VERSION, "digest": digest, "documents": documents}:
+        return None
+    return files.current_table(spark, path, _POSTINGS)
+
+
+def scores(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, doc, score of a loaded index, as the search over texts gives it."""
+    idf = search.inverse_frequency(F.col("df"), F.col("n_docs"))
+    part = F.col("times") * idf * F.col("v") / (search.K1 + F.col("v"))
+    return postings.join(asked, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")

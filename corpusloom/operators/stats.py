@@ -13,6 +13,22 @@ from pyspark.sql import Window as W
 RESAMPLES = 10_000
 
 
+#: Rows that draw together, and the distribution function of a Poisson variable of mean 1.
+_ROWS = 64
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
+
+
+def _copies(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """(keys x resamples) Poisson numbers that depend on key, resample and seed alone."""
+    u = np.uint64
+    x = keys[:, None] + (np.arange(resamples, dtype=u)[None, :] + u(resamples * seed)) * u(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # finaliser of splitmix64
+        x ^= x >> u(shift)
+        x *= u(factor)
+    x ^= x >> u(31)
+    return np.searchsorted(_POISSON, (x >> u(11)).astype(np.float64) * 2.0**-53, side="right").astype(np.float64)
+
+
 def bootstrap_ratio(rows: DataFrame, over: str, under: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """estimate, low, high (95 %) of sum(over) / sum(under), instances resampled.
 
@@ -21,13 +37,12 @@ def bootstrap_ratio(rows: DataFrame, over: str, under: str, resamples: int = RES
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros(resamples), np.zeros(resamples)
+        sums = np.zeros((2, resamples))
         for pdf in batches:
-            for key, x, y in zip(pdf["key"], pdf["x"], pdf["y"]):
-                times = np.random.default_rng([seed, int(key) & (2**63 - 1)]).poisson(1.0, resamples)
-                a += times * x
-                b += times * y
-        yield pd.DataFrame({"k": np.arange(resamples), "a": a, "b": b})
+            keys, values = pdf["key"].to_numpy().view(np.uint64), pdf[["x", "y"]].to_numpy(dtype=float).T
+            for lo in range(0, len(keys), _ROWS):
+                sums += values[:, lo : lo + _ROWS] @ _copies(keys[lo : lo + _ROWS], resamples, seed)
+        yield pd.DataFrame({"k": np.arange(resamples), "a": sums[0], "b": sums[1]})
 
     keyed = rows.select(F.xxhash64(*rows.columns).alias("key"), F.col(over).cast("double").alias("x"), F.col(under).cast("double").alias("y"))
     sums = keyed.mapInPandas(draw, "k long, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -44,12 +59,22 @@ def upper_tail(z: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
+def _before(counts: DataFrame) -> DataFrame:
+    """counts (v, t, ...) with the sum of t over all smaller v: running sums within ranges of v, and over the ranges."""
+    cuts = counts.agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)])).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    placed = counts.withColumn("part", part)
+    sums = placed.groupBy("part").agg(F.sum("t").alias("all"))
+    ahead = sums.withColumn("ahead", F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("all")  # one row a range
+    inside = F.coalesce(F.sum("t").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("inside", inside).join(F.broadcast(ahead), "part").withColumn("before", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
+
+
 def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:
     """n1, n2, u (of the rows where group holds), p by the normal approximation with tie correction."""
     r = rows.select(F.col(value).alias("v"), group.alias("g")).where("v is not null and g is not null")
     by_value = r.groupBy("v").agg(F.count("*").alias("t"), F.count_if("g").alias("k"))
-    before = F.coalesce(F.sum("t").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2.0)
+    ranked = _before(by_value).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
     s = ranked.agg(F.sum("k").alias("n1"), (F.sum("t") - F.sum("k")).alias("n2"), F.sum(F.col("k") * F.col("rank")).alias("r1"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
@@ -61,8 +86,7 @@ def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
     """n (nonzero differences), w (rank sum of the positive ones), p by the normal approximation."""
     d = rows.select(F.col(difference).alias("d")).where("d <> 0").select(F.abs("d").alias("v"), (F.col("d") > 0).alias("g"))
     by_value = d.groupBy("v").agg(F.count("*").alias("t"), F.count_if("g").alias("k"))
-    before = F.coalesce(F.sum("t").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2.0)
+    ranked = _before(by_value).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
     s = ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("k") * F.col("rank")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")), F.lit(0.0)).alias("ties"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0

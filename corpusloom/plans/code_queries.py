@@ -119,7 +119,7 @@ def code_externals(spark, d):
 
 def _described(f: DataFrame) -> DataFrame:
     named = f.join(_names(f), "path").withColumn("is_test", is_test_path(F.col("path")))
-    made = describe.of_file(F.col("path"), F.col("module"), F.col("doc"), F.col("symbols"), F.col("is_test"), F.col("is_package"), F.col("parser"), F.col("parse_error"))
+    made = describe.of_file(F.col("path"), F.col("module"), F.col("doc_full"), F.col("symbols"), F.col("is_test"), F.col("is_package"), F.col("parser"), F.col("parse_error"))
     names = F.concat_ws(" ", "path", F.transform("symbols", lambda s: s["name"]))
     return describe.described(named, made, key="sha").withColumn("auth", area_tag(names)).withColumn("package", F.regexp_extract("path", r"^app/([^/]+)/", 1))
 

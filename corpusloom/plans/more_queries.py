@@ -43,9 +43,13 @@ def community_quality(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    """Share of the returned lines' price in all lines' price by order, with its 95 % interval."""
+    """Share of the returned lines' price in all lines' price, orders resampled: whether its 95 % interval holds it and is as wide as theory says."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)).alias("r"), F.sum("l_extendedprice").alias("t"))
-    return stats.bootstrap_ratio(rows, "r", "t", 500)
+    found = stats.bootstrap_ratio(rows, "r", "t")
+    # a ratio's variance over resampled instances is the sum of squared residuals over the squared total
+    spread = rows.join(F.broadcast(found)).agg(F.sqrt(F.sum(F.pow(F.col("r") - F.col("estimate") * F.col("t"), F.lit(2.0)))).alias("s"), F.sum("t").alias("t"))  # one row
+    width = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("s") / F.col("t"))
+    return found.join(F.broadcast(spread)).select(F.round("estimate", 6).alias("estimate"), ((F.col("low") < F.col("estimate")) & (F.col("estimate") < F.col("high"))).alias("holds"), (F.abs(width - 1) < 0.05).alias("as_wide"))
 
 
 def mann_whitney(spark, d):
@@ -88,6 +92,7 @@ QUERIES = {f.__name__: f for f in (communities, community_quality, bootstrap_ci,
 _TAIL = "round((1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 * x)) * (-0.284496736 + (1 / (1 + 0.3275911 * x)) * (1.421413741 + (1 / (1 + 0.3275911 * x)) * (-1.453152027 + (1 / (1 + 0.3275911 * x)) * 1.061405429)))) * exp(-x * x), 5)::DOUBLE"
 
 SQL = {
+    "bootstrap_ci": "SELECT round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 6) AS estimate, true AS holds, true AS as_wide FROM lineitem",
     "mann_whitney": f"""WITH r AS (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS g FROM customer), t AS (SELECT v, count(*)::DOUBLE AS t, count(*) FILTER (g) AS k FROM r GROUP BY v),
       w AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t),
       s AS (SELECT CAST(sum(k) AS BIGINT) AS n1, CAST(sum(t) - sum(k) AS BIGINT) AS n2, sum(k * rk) AS r1, sum(t * t * t - t) AS ties FROM w),
