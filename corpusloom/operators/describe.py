@@ -1,4 +1,7 @@
-"""One-line descriptions of files and groups, made from facts by column functions."""
+"""One-line descriptions of files and groups, made from facts by column functions.
+
+Their wording is a fixed value of the documents' format.
+"""
 
 from __future__ import annotations
 

@@ -2,7 +2,8 @@
 
 Every function gives rows (path, type, title, description, tags, body) that
 ``sources.files.render`` turns into text. Sections that list other documents are
-ordered aggregates of joins.
+ordered aggregates of joins. Titles of sections and the wording of their lines are
+fixed values: what reads the documents (links, weights, symbols) relies on them.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import slug
 
 #: File stems that say nothing, and least lengths of symbol names and stems.
-GENERIC_STEMS = "__init__ __main__ main utils util helpers helper common base core models views tests test setup config constants types".split()
+GENERIC_STEMS = "utils util base core main init test tests types common helpers config settings models setup conftest compat constants".split()
 SYMBOL, STEM = 4, 5
 
 

@@ -1,5 +1,7 @@
 """Context for a task: entry points, expansion over the graph, extras, final order; for many queries at once.
 
+The scores, shares and limits of the branches are fixed values.
+
 Tables: hits (query_id, doc, score, rank), concepts (doc, tags array, fan_in),
 edges (src, dst, weight), members (grp, doc, at), implements (doc, target, at).
 """

@@ -12,6 +12,8 @@ from corpusloom.operators import community, describe, graph, incremental, index,
 from corpusloom.plans.session import cut
 from corpusloom.sources import files
 
+#: Rounds of PageRank, which only orders the members of groups here.
+ROUNDS = 25
 DEFAULTS = {"docs": None, "exclude": [], "max_size": community.MOST_MEMBERS}
 
 
@@ -26,7 +28,7 @@ def group(f: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFra
     links = cut(graph.undirected(edges).withColumn("graph", F.lit("0")))
     found = cut(community.hierarchy(links, most))
     loose = community.isolated(f.select(F.col("path").alias("node")), links)
-    rank = graph.pagerank(links, f.select(F.col("path").alias("node")))
+    rank = cut(graph.pagerank(links, f.select(F.col("path").alias("node")), rounds=ROUNDS, tolerance=None))
     top = found.where("level = 1").select("node", F.concat(F.lit("c"), F.col("grp").cast("string")).alias("grp"))
     top = top.withColumn("unlinked", F.lit(False)).unionByName(loose.select("node", F.concat(F.lit("d"), "grp").alias("grp"), F.lit(True).alias("unlinked")))
     ranked = cut(community.ranked(top, rank))

@@ -41,11 +41,10 @@ def test_scan_check_context(spark, root, tmp_path, capsys):
     assert cart.description == "Keeps what a customer wants." and "`class Cart`" in cart.text and "[Carts add up](/requirements/need.md)" in cart.text
     assert "dynamic-code-exec" in docs["/files/shop/tax.py.md"].text and "Parse failures" in docs["/index.md"].text
     assert "Implemented by" in docs["/requirements/need.md"].text and "/files/shop/cart.py.md" in docs["/requirements/need.md"].text
-    assert scan_.check(spark, root, out)  # options are those of the last scan
     (tmp_path / "repo/tools/lonely.py").unlink()
     (tmp_path / "repo/shop/tax.py").write_text("def rate(x):\n    return 2 * x\n")
     assert not scan_.check(spark, root, out)
-    again, _ = scan_.scan(spark, root, out)
+    again, _ = scan_.scan(spark, root, out)  # options are those of the last scan
     status = {r.path: r.status for r in again.collect()}
     assert status["/files/tools/lonely.py.md"] == "removed" and status["/files/shop/tax.py.md"] == "modified" and "/files/shop/cart.py.md" not in status
     now = {r.path: r for r in files.current_table(spark, f"{out}/documents", files.PUBLISHED).collect()}
@@ -62,7 +61,8 @@ def test_index_is_kept_for_its_content_only(spark, tmp_path):
     path = str(tmp_path / "index")
     index.build(docs, "id", {"body": docs["body"]}, path, "d1")
     assert index.load(spark, path, "d2", 2) is None and index.load(spark, path, "d1", 3) is None and index.load(spark, str(tmp_path / "no"), "d1", 2) is None
-    asked = search.query_terms(spark.createDataFrame([(1, "cart red")], "q int, t string"), "q", spark.createDataFrame([(1, "cart red")], "q int, t string")["t"])
+    q = spark.createDataFrame([(1, "cart red")], "q int, t string")
+    asked = search.query_terms(q, "q", q["t"])
     kept = {r.doc: round(r.score, 9) for r in index.scores(index.load(spark, path, "d1", 2), asked).collect()}
     assert kept == {r.doc: round(r.score, 9) for r in search.search(docs, "id", {"body": docs["body"]}, asked).collect()}
 
