@@ -216,7 +216,7 @@ def _apply(rows: DataFrame, filters: Filters, keep: list[str], at: int = -1, lea
                     scores.append(np.zeros(len(has)))
                     continue
                 found, total = model.counts(*fold(block, cuts))
-                true = (found - total[:, None] * model.false) / (1 - model.false)
+                true = np.maximum((found - total[:, None] * model.false) / (1 - model.false), 0)
                 best = true.argmax(axis=1)
                 score = np.clip(true.max(axis=1) / np.maximum(total, 1), 0, 1)
                 known = has & ((total == 0) | (score >= least))  # a text too short for any n-gram says nothing against a language

@@ -64,6 +64,7 @@ class Forest:
     members: list[np.ndarray]  # rows of the sample in each leaf
     sample: np.ndarray
     ids: np.ndarray  # of the sample's rows
+    again: np.ndarray  # which rows have the id of an earlier one; an id counts once among the k best
     reach: float  # largest norm of the sample
 
     def leaves_of(self, vectors: np.ndarray) -> np.ndarray:
@@ -157,7 +158,9 @@ def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = D
             else:
                 children[parent][side] = name
     dim, reach = sample.shape[1], float(np.sqrt((sample * sample).sum(axis=1).max()))
-    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), children, roots, members, sample, ids, reach)
+    again = np.ones(len(ids), dtype=bool)
+    again[np.unique(ids, return_index=True)[1]] = False
+    return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), children, roots, members, sample, ids, again, reach)
 
 
 def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -225,7 +228,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
                 part = b.slice(lo, 128)
                 ids, Q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
                 margins, scores = Q @ model.planes.T - model.cuts, Q @ model.sample.T
-                scores[ids[:, None] == model.ids[None, :]] = -np.inf
+                scores[(ids[:, None] == model.ids[None, :]) | model.again[None, :]] = -np.inf
                 norms = np.sqrt((Q * Q).sum(axis=1))
                 found = [model.search(margins[r], scores[r], float(norms[r]), share, k) for r in range(len(ids))]
                 cuts = np.cumsum([0, *(len(x) for x, _ in found)], dtype=np.int32)

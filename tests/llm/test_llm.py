@@ -529,7 +529,7 @@ def test_language_filters_equal_plain_counts(spark):
             at = [int(p[0]) for p in language_id.probes(np.array([number(g)], dtype=np.uint64), size)]
             mask = int(np.bitwise_and.reduce(plain.slots[0][at]))
             found.update(k for k in range(len(plain.languages)) if mask >> k & 1)
-        true = [(found[k] - len(grams) * plain.false[k]) / (1 - plain.false[k]) for k in range(len(plain.languages))]
+        true = [max(0, (found[k] - len(grams) * plain.false[k]) / (1 - plain.false[k])) for k in range(len(plain.languages))]
         best = max(range(len(true)), key=lambda k: (true[k], -k))
         if any(c.isalpha() for c in r.text):
             assert got[r.doc_id][0] == plain.languages[best] and got[r.doc_id][1] == pytest.approx(min(1, max(0, true[best] / max(1, len(grams)))))
