@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.operators import retrieve, search
+from corpusloom.plans import graph_queries as gq
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
 
@@ -89,7 +90,18 @@ gathered AS (SELECT q AS item_id, doc AS doc_id, round(score, 6) AS score, row_n
 
 _FEATURE = _T + " UNION ALL SELECT q, dst, 40, 4, place FROM en JOIN ed ON src = doc UNION ALL SELECT q, mem.doc, 51 - at_, 3, v * 100 + at_ FROM (SELECT q, grp, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, min(place)) AS v FROM en JOIN mem USING (doc) GROUP BY q, grp) JOIN mem USING (grp) WHERE v <= 2 AND at_ <= 8" + _END
 
+_PPR = gq._walk_sql(
+    "SELECT u, v, w FROM (SELECT src AS u, dst AS v, w * 1.0::DOUBLE AS w FROM ew UNION ALL SELECT dst, src, w * 0.5::DOUBLE FROM ew)", "(SELECT q AS seed_set, doc AS node FROM en)", 0.15, retrieve.Settings().rounds
+).replace("st AS (", "sd AS (").replace("FROM st", "FROM sd")
+_PPR_SQL = f"""{_T[: _T.index("br AS (")]}
+ew AS (SELECT src, dst, 1 + n_chars % 5 AS w FROM ed JOIN documents ON doc_id = src WHERE src NOT IN (SELECT doc FROM tests) AND dst NOT IN (SELECT doc FROM tests)), {_PPR},
+ra8 AS (SELECT seed_set AS q, node AS doc, mass * (1 + coalesce(score / top, 0)) AS sc FROM r{retrieve.Settings().rounds} LEFT JOIN h ON h.q = seed_set AND h.doc = node ANTI JOIN en ON en.q = seed_set AND en.doc = node),
+ex AS (SELECT q, doc, sc, row_number() OVER (PARTITION BY q ORDER BY sc DESC, doc) AS k, max(sc) OVER (PARTITION BY q) AS best FROM ra8 WHERE sc > 0),
+br AS (SELECT q, doc, 100 + score AS score, 1 AS branch, place AS at_ FROM en UNION ALL FROM st UNION ALL SELECT q, doc, 10 + 70 * sc / best, 2, k FROM ex WHERE k <= 25
+  UNION ALL SELECT q, src, 45, 3, place FROM en JOIN ed ON dst = doc SEMI JOIN tests ON tests.doc = src"""
+
 SQL = {
+    "gather_ppr": "WITH " + _PPR_SQL + _END + " SELECT * FROM gathered",
     "gather_feature": "WITH " + _FEATURE + " SELECT * FROM gathered",
     "gather_bug": "WITH " + _T + _bfs_sql("src", "dst", 2, 60) + " UNION ALL SELECT q, src, 45, 3, place FROM en JOIN ed ON dst = doc SEMI JOIN tests ON tests.doc = src" + _END + " SELECT * FROM gathered",
     "gather_security": "WITH " + _T + _bfs_sql("dst", "src", 2, 70) + " UNION ALL SELECT q, dst, 50, 4, place FROM en JOIN ed ON src = doc SEMI JOIN flagged ON flagged.doc = dst UNION ALL SELECT q, m2.doc, 55, 3, place * 1000 + m2.at_ FROM en JOIN mem m1 USING (doc) JOIN mem m2 USING (grp) SEMI JOIN flagged ON flagged.doc = m2.doc" + _END + " SELECT * FROM gathered",

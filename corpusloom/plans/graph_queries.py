@@ -264,10 +264,10 @@ m AS (SELECT n_nationkey AS node, n_regionkey AS grp FROM nation),
 s AS (SELECT grp AS seed_set, node FROM m QUALIFY row_number() OVER (PARTITION BY grp ORDER BY node) <= 2)"""
 
 
-def _walk_sql(steps: str, start: str, restart: float) -> str:
+def _walk_sql(steps: str, start: str, restart: float, rounds: int = ROUNDS) -> str:
     """The same rounds as a chain of CTEs."""
     out = [f"t0 AS ({steps}), t1 AS (SELECT u, v, sum(w) AS w FROM t0 GROUP BY ALL), t AS (SELECT u, v, w / sum(w) OVER (PARTITION BY u) AS p FROM t1), st AS (SELECT seed_set, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY seed_set) AS share FROM {start}), r0 AS (SELECT seed_set, node, share AS mass FROM st)"]
-    for k in range(ROUNDS):
+    for k in range(rounds):
         out.append(f"""r{k + 1} AS MATERIALIZED (SELECT seed_set, node, sum(mass) AS mass FROM (
           SELECT seed_set, v AS node, {1 - restart} * mass * p AS mass FROM r{k} JOIN t ON node = u
           UNION ALL SELECT seed_set, node, share * ({restart} + {1 - restart} * coalesce(stuck, 0)) FROM st LEFT JOIN (SELECT seed_set, sum(mass) AS stuck FROM r{k} WHERE node NOT IN (SELECT u FROM t) GROUP BY seed_set) USING (seed_set)) GROUP BY ALL)""")

@@ -1,29 +1,14 @@
-"""Communities, statistics and facts."""
+"""Communities, statistics and paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import facts as facts_
-from corpusloom.functions.text import area_tag, code_lines, is_test_path
+from corpusloom.functions.text import AREA, area_tag, code_lines, is_test_path
 from corpusloom.operators import community, graph, pages, stats
-from corpusloom.operators.modules import module_names
 from corpusloom.plans import graph_queries as gq
 from corpusloom.plans.session import table
 
-SOURCES = [
-    ("app/__init__.py", "from .core import Engine\n"),
-    ("app/core.py", '"""Core of the app.\n\nMore."""\nimport hashlib as h\nimport subprocess\n\nclass Engine:\n    """Runs."""\n    def __init__(self): pass\n    def run(self, cmd):\n        subprocess.run(cmd, shell=True)\n        return h.md5(cmd).hexdigest()\n'),
-    ("app/store.py", 'import sqlite3\nfrom app import Engine\nAPI_TOKEN = "abcdefgh12345"\ndef load(db, name):\n    # a comment\n    return db.execute(f"select * from t where n = {name}")\n'),
-    ("tests/test_app.py", "from app.core import Engine\ndef test_run():\n    assert Engine()\n"),
-    ("old/legacy.py", "import os\nprint 'x'\ndef go(): pass\n"),
-]
-
-
-def _sources(spark):
-    return spark.createDataFrame(SOURCES, "path string, text string").select("path", F.col("text"), F.encode("text", "UTF-8").alias("content"))
-
-
 def _links(spark, d):
     return graph.undirected(gq.edges(spark, d)).select(F.lit(0).alias("graph"), "a", "b", "weight")
 
@@ -64,18 +49,17 @@ def wilcoxon(spark, d):
     return out.select("n", F.round("w", 1).alias("w"), F.round("p", 5).alias("p"))
 
 
-def ast_facts(spark, d):
-    out = facts_.facts(_sources(spark))
-    return out.select("path", "parser", "loc", "doc", F.size("symbols").alias("symbols"), F.size("imports").alias("imports"), F.array_sort(F.transform("findings", lambda f: f["rule"])).alias("rules"))
-
-
-def module_naming(spark, d):
-    return module_names(_sources(spark)).select("path", "module", F.array_join("aliases", ",").alias("aliases"), "is_package")
+_FORMS = ("tests/a{}.py", "src/test/b{}.py", "pkg/test_c{}.py", "pkg/d{}_test.py", "pkg/x{}/conftest.py", "lib/e{}.py", "lib/tests{}.py", "lib/testing/f{}.py")
 
 
 def path_tags(spark, d):
-    s = _sources(spark)
-    return s.select("path", is_test_path(F.col("path")).alias("is_test"), code_lines(F.col("text")).cast("long").alias("loc"), area_tag(F.concat_ws(" ", "path", "text")).alias("auth"))
+    """Tests, lines of code and authentication matters of documents taken as files of eight forms of paths."""
+    docs = table(spark, d, "documents")
+    n = docs["doc_id"].cast("string")
+    forms = F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in (f.split("{}") for f in _FORMS)])
+    path = F.element_at(forms, (docs["doc_id"] % len(_FORMS) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(path.alias("path"), is_test_path(path).alias("is_test"), code_lines(text).cast("long").alias("loc"), area_tag(text).alias("auth"))
 
 
 def document_check(spark, d):
@@ -87,7 +71,7 @@ def document_check(spark, d):
     return pages.validate(p.select(F.col("page_id").alias("path"), F.col("url").alias("type")), links, known)
 
 
-QUERIES = {f.__name__: f for f in (communities, community_quality, bootstrap_ci, mann_whitney, wilcoxon, ast_facts, module_naming, path_tags, document_check)}
+QUERIES = {f.__name__: f for f in (communities, community_quality, bootstrap_ci, mann_whitney, wilcoxon, path_tags, document_check)}
 
 _TAIL = "round((1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 * x)) * (-0.284496736 + (1 / (1 + 0.3275911 * x)) * (1.421413741 + (1 / (1 + 0.3275911 * x)) * (-1.453152027 + (1 / (1 + 0.3275911 * x)) * 1.061405429)))) * exp(-x * x), 5)::DOUBLE"
 
@@ -102,7 +86,7 @@ SQL = {
       w AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t),
       s AS (SELECT CAST(sum(t) AS BIGINT) AS n, sum(k * rk) AS w, sum(t * t * t - t) AS ties FROM w),
       x AS (SELECT n, w, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM s) SELECT n, round(w, 1) AS w, {_TAIL} AS p FROM x""",
-    "module_naming": "SELECT * FROM (VALUES ('app/__init__.py', 'app', '', true), ('app/core.py', 'app.core', '', false), ('app/store.py', 'app.store', '', false), ('tests/test_app.py', 'test_app', 'tests.test_app', false), ('old/legacy.py', 'legacy', 'old.legacy', false)) t(path, module, aliases, is_package)",
-    "path_tags": "SELECT path, is_test, CAST(loc AS BIGINT) AS loc, auth FROM (VALUES ('app/__init__.py', false, 1, false), ('app/core.py', false, 10, false), ('app/store.py', false, 5, true), ('tests/test_app.py', true, 3, false), ('old/legacy.py', false, 3, false)) t(path, is_test, loc, auth)",
+    "path_tags": "SELECT replace([" + ", ".join(f"'{f}'" for f in _FORMS) + f"""][doc_id % {len(_FORMS)} + 1], '{{}}', doc_id::VARCHAR) AS path, doc_id % 8 IN (0, 1, 2, 3, 4, 7) AS is_test,
+      len(list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')))::BIGINT AS loc, regexp_matches(coalesce(text, ''), '{AREA}') AS auth FROM documents""",
     "document_check": f"WITH {gq._LINKS}, k AS (SELECT DISTINCT '/' || unnest(string_split_regex(text, '[ \\n]')) AS target FROM documents) SELECT (SELECT count(*) FROM pages WHERE coalesce(url, '') = '') AS untyped, (SELECT count(*) FROM l ANTI JOIN k USING (target)) AS broken, (SELECT count(*) FROM pages WHERE coalesce(url, '') = '') = 0 AND (SELECT count(*) FROM l ANTI JOIN k USING (target)) = 0 AS valid",
 }
