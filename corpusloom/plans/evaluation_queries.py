@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.functions import text
 from corpusloom.operators import community, evaluate, fusion, graph, metrics, requirements, retrieve, search
 from corpusloom.plans import code_queries as cq
 from corpusloom.plans import context_queries as xq
+from corpusloom.plans import graph_queries as gq
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
 
@@ -146,7 +148,6 @@ def isolated_groups(spark, d):
 
 def community_invariants(spark, d):
     """What holds for any partition found: each node once, groups hang together, no worse than the regions."""
-    from corpusloom.plans import graph_queries as gq
     from corpusloom.plans.more_queries import _links
 
     links = _links(spark, d)
@@ -159,11 +160,57 @@ def community_invariants(spark, d):
     return one.select("nodes", "once", "disconnected", (F.col("modularity") >= F.col("given")).alias("no_worse"))
 
 
+def _numbered(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.col("doc_id").cast("string").alias("n"))
+
+
+def patch_gold(spark, d):
+    """Python files that patches touch."""
+    i = _numbered(spark, d)
+    part = lambda name, suffix: F.concat(F.lit(f"diff --git a/{name}"), "n", F.lit(f"{suffix} b/{name}"), "n", F.lit(f"{suffix}\n--- a/{name}"), "n", F.lit(f"{suffix}\n+++ b/{name}"), "n", F.lit(f"{suffix}\n@@ -1 +1 @@\n-x\n+y\n"))
+    patch = F.concat(part("src/a", ".py"), F.when(F.col("i") % 2 == 0, part("doc/b", ".md")).otherwise(part("src/c", ".py")))
+    return i.select("i", F.array_join(text.patch_files(patch), ",").alias("files"))
+
+
+def markdown_parse(spark, d):
+    """Front matter, sections and links of documents made from their numbers."""
+    i = _numbered(spark, d)
+    doc = F.concat(F.lit("---\ntype: Note\ntitle: \"Note "), "n", F.lit("\"\n---\n\n# One\n\nsee [a](/x/"), "n", F.lit(".md) and [b](http://c.d)\n\n# Two\n\nfirst\n\n# Two\n\nlast "), "n", F.lit("\n"))
+    front, body = text.front_matter(doc), text.body(doc)
+    parts = text.sections(body)
+    return i.select("i", text.field(front, "type").alias("type"), text.field(front, "title").alias("title"), parts["One"].alias("one"), parts["Two"].alias("two"), F.array_join(text.markdown_links(body), ",").alias("links"))
+
+
+def names_and_addresses(spark, d):
+    """Slugs, addresses of remotes, absolute names of relative imports and prefixes of paths."""
+    i = _numbered(spark, d)
+    remote = F.concat(F.element_at(F.array(F.lit("git@host.org:team/repo"), F.lit("https://host.org/team/repo"), F.lit("ssh://git@host.org/team/repo")), (F.col("i") % 3 + 1).cast("int")), "n", F.when(F.col("i") % 2 == 0, ".git").otherwise(""))
+    level = (F.col("i") % 3 + 1).cast("int")
+    module = text.relative_module(F.concat(F.lit("top.mid.m"), "n"), F.col("i") % 5 == 0, level, F.when(F.col("i") % 4 != 0, F.concat(F.lit("x"), "n")))
+    path = F.concat(F.lit("a/b"), "n", F.lit("/c.py"))
+    return i.select("i", text.slug(F.concat(F.lit("  The _Name_ No. "), "n", F.lit(" !"))).alias("slug"), text.web_address(remote).alias("address"), module.alias("module"), text.under(path, F.lit("a/b1/")).alias("under"))
+
+
+def failure_modes(spark, d):
+    """Why gold was missed, for cases that follow from their numbers, and buckets of distances."""
+    i = F.col("i")
+    mode = metrics.failure_class(i % 2 == 0, i % 3 != 0, i % 5 != 0, i % 20, 10, i % 7 == 0)
+    far = metrics.distance_bucket(F.when(i % 6 != 5, i % 6))
+    return _numbered(spark, d).select(mode.alias("mode"), far.alias("distance")).groupBy("mode", "distance").agg(F.count("*").alias("n"))
+
+
+def hub_share(spark, d):
+    """Share of a walk's mass on the nations with most ways in."""
+    e = gq.edges(spark, d)
+    mass = graph.walk(graph.transitions(e, *graph.DIRECTIONS["bug"]), gq.seeds(spark, d), gq.ROUNDS, tolerance=None)
+    return graph.hub_share(mass, graph.fan(e).select("node", "fan_in")).select("seed_set", F.round("hub_share", 6).alias("hub_share"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         length_summary, macro_recall, picked_documents, random_ranking, anchored_pairs, relation_flags, parse_error_causes, reason_components, merged_instances, seeded_walk, ablations,
-        cochange_rankers, group_names, isolated_groups, community_invariants,
+        cochange_rankers, group_names, isolated_groups, community_invariants, patch_gold, markdown_parse, names_and_addresses, failure_modes, hub_share,
     )
 }
 
@@ -221,5 +268,13 @@ SQL = {
     "group_names": cq._with("""SELECT grp, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug, hub, size FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY -size, hub) AS k FROM (
       SELECT i // 4 AS grp, CASE WHEN count(DISTINCT package) = 1 THEN lower(regexp_replace(min(package), '[^a-zA-Z0-9]+', '-', 'g')) ELSE 'app' END || '-m' || min(i) AS base, arg_min(path, i) AS hub, count(*) AS size FROM m GROUP BY i // 4))"""),
     "isolated_groups": cq._with("SELECT 'app' AS grp, count(*) AS n FROM f WHERE path NOT IN (SELECT src FROM e) AND path NOT IN (SELECT dst FROM e)"),
+    "patch_gold": "SELECT doc_id AS i, 'src/a' || doc_id || '.py' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',src/c' || doc_id || '.py' END AS files FROM documents",
+    "markdown_parse": "SELECT doc_id AS i, 'Note' AS type, 'Note ' || doc_id AS title, 'see [a](/x/' || doc_id || '.md) and [b](http://c.d)' AS one, 'last ' || doc_id AS two, '/x/' || doc_id || '.md' AS links FROM documents",
+    "names_and_addresses": """SELECT doc_id AS i, 'the-name-no-' || doc_id AS slug, 'https://host.org/team/repo' || doc_id AS address,
+      array_to_string(list_concat(['top', 'mid', 'm' || doc_id][:3 - doc_id % 3 - (doc_id % 5 <> 0)::INT], CASE WHEN doc_id % 4 <> 0 THEN ['x' || doc_id] ELSE [] END), '.') AS module, doc_id = 1 AS under FROM documents""",
+    "failure_modes": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'recovered' WHEN doc_id % 3 = 0 THEN 'bad seeds' WHEN doc_id % 5 = 0 THEN 'unreachable' WHEN doc_id % 20 > 10 THEN 'outranked' WHEN doc_id % 7 = 0 THEN 'crowded out' ELSE 'other' END AS mode,
+      CASE doc_id % 6 WHEN 5 THEN 'unreachable' WHEN 4 THEN '3+' WHEN 3 THEN '3+' ELSE (doc_id % 6)::VARCHAR END AS distance, count(*) AS n FROM documents GROUP BY ALL""",
+    "hub_share": f"""WITH {gq._E}, {gq._walk_sql(gq._steps(1.0, 0.5), 's', 0.15)}, fi AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS n FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), li AS (SELECT quantile_cont(n, 0.95) AS l FROM fi)
+      SELECT seed_set, round(coalesce(sum(mass) FILTER (n >= l), 0) / sum(mass), 6) AS hub_share FROM r{gq.ROUNDS} LEFT JOIN fi USING (node) CROSS JOIN li GROUP BY seed_set""",
     "community_invariants": "SELECT 25::BIGINT AS nodes, true AS once, 0::BIGINT AS disconnected, true AS no_worse",
 }
