@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions.text import hub_damping
 from corpusloom.operators import graph
+from corpusloom.plans.session import cut
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: Data
         hits = hits.join(tests, "doc", "left_anti")
         hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     flagged = concepts.where(F.exists("tags", lambda t: t.startswith("security:"))).select("doc")
-    placed = entry_points(hits, implements, settings)
+    placed = cut(entry_points(hits, implements, settings))  # a few rows a query, met by every branch
     entries = placed.where("is_entry").select("query_id", "doc", "place")
     start = entries.select(F.col("query_id").alias("seed_set"), F.col("doc").alias("node"))
     branches = [_rows(placed, 100 + F.col("s"), F.lit("entry point"), 1, F.col("place"))]

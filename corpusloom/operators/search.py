@@ -8,13 +8,13 @@ query's term is ever scored.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions.text import terms
-from corpusloom.plans.session import small
 
 #: Saturation, length normalisation, weights of fields, and the cut of entry points.
 K1, B = 1.2, 0.75
@@ -64,11 +64,25 @@ def _statistics(grid: DataFrame) -> DataFrame:
     return grid.groupBy("field").agg(F.count("*").alias("n_docs"), F.when(mean == 0, 1.0).otherwise(mean).alias("mean"))
 
 
-def _counted(grid: DataFrame, among: DataFrame | None) -> DataFrame:
-    """doc, field, weight, length, term, tf. With ``among`` (term) other terms are left out before anything is shuffled."""
+#: Rows of query terms up to which they are broadcast.
+MOST_ASKED = 1 << 16
+
+
+def _hint(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts what has no more rows than the query terms, if these are few; otherwise the planner chooses."""
+    return F.broadcast if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else lambda df: df
+
+
+def _counted(grid: DataFrame, among: DataFrame | None, hint: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """doc, field, weight, length, term, tf.
+
+    With ``among`` (term) other terms are left out before anything is shuffled. The
+    rest is dealt by document, so that counts, sums of fields and scores of a
+    document are all made in one place without another shuffle.
+    """
     each = grid.select("doc", "field", "weight", "length", F.explode("terms").alias("term"))
     if among is not None:
-        each = each.join(small(among.select("term").distinct()), "term", "left_semi")
+        each = each.join(hint(among.select("term").distinct()), "term", "left_semi").repartition("doc")
     return each.groupBy("doc", "field", "weight", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -78,26 +92,27 @@ def _normalised() -> Column:
 
 def bm25(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, plus_one: bool = True) -> DataFrame:
     """query_id, doc, score > 0 of all matching documents. asked: query_terms."""
-    grid = _grid(docs, id_col, {"all": text}, {"all": 1.0})
-    tf = _counted(grid, asked).join(F.broadcast(_statistics(grid)), "field")  # one row
+    grid, hint = _grid(docs, id_col, {"all": text}, {"all": 1.0}), _hint(asked)
+    tf = _counted(grid, asked, hint).join(F.broadcast(_statistics(grid)), "field")  # one row
     idf = tf.groupBy("term", "n_docs").agg(F.count("*").alias("df")).select("term", inverse_frequency(F.col("df"), F.col("n_docs")).alias("idf"))
-    hits = tf.join(asked.join(idf, "term"), "term")
+    hits = tf.join(hint(asked.join(idf, "term")), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * ((K1 + 1) if plus_one else 1.0) / (F.col("tf") + K1 * _normalised())
     return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 
-def field_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS, among: DataFrame | None = None) -> DataFrame:
+def field_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS, among: DataFrame | None = None, hint: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """doc, field, term, n_docs, v: length-normalised weighted frequency of a term (of those in ``among``) in a field."""
     grid = _grid(docs, id_col, fields, weights)
-    tf = _counted(grid, among).join(F.broadcast(_statistics(grid)), "field")  # one row per field
+    tf = _counted(grid, among, hint).join(F.broadcast(_statistics(grid)), "field")  # one row per field
     return tf.select("doc", "field", "term", "n_docs", (F.col("weight") * F.col("tf") / _normalised()).alias("v"))
 
 
 def bm25f_parts(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame) -> DataFrame:
     """query_id, doc, term, v (all fields), part (of the score)."""
-    postings = field_postings(docs, id_col, fields, among=asked).groupBy("doc", "term").agg(F.sum("v").alias("v"), F.first("n_docs").alias("n_docs"))
+    hint = _hint(asked)
+    postings = field_postings(docs, id_col, fields, among=asked, hint=hint).groupBy("doc", "term").agg(F.sum("v").alias("v"), F.first("n_docs").alias("n_docs"))
     idf = postings.groupBy("term", "n_docs").agg(F.count("*").alias("df")).select("term", inverse_frequency(F.col("df"), F.col("n_docs")).alias("idf"))
-    return postings.join(asked.join(idf, "term"), "term").select("query_id", "doc", "term", "v", (F.col("times") * F.col("idf") * F.col("v") / (K1 + F.col("v"))).alias("part"))
+    return postings.join(hint(asked.join(idf, "term")), "term").select("query_id", "doc", "term", "v", (F.col("times") * F.col("idf") * F.col("v") / (K1 + F.col("v"))).alias("part"))
 
 
 def bm25f(docs: DataFrame, id_col: str, fields: dict[str, Column], asked: DataFrame) -> DataFrame:

@@ -74,3 +74,14 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = 1 << 16) -> DataFrame:
     """df, to be broadcast if it has at most ``most`` rows; otherwise the planner chooses."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files, dealt to all cores.
+
+    A file with one row group is read by a single task however large it is, and
+    so is everything done to its rows up to the next shuffle. Tables of many files
+    stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -15,13 +15,14 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions.text import STOP_WORDS, first_line, terms
 from corpusloom.operators import fusion, metrics, pages, search
-from corpusloom.plans.session import table
+from corpusloom.plans.session import cut, spread, table
 
 TOP = 10
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    """To be tokenised, so on all cores."""
+    return spread(table(spark, d, "documents"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ def gold_pairs(spark, d):
 
 
 def rankings(spark, d) -> DataFrame:
-    a, b = search.best(bm25_scores(spark, d), TOP), search.best(bm25f_scores(spark, d), TOP)
+    a, b = cut(search.best(bm25_scores(spark, d), TOP)), cut(search.best(bm25f_scores(spark, d), TOP))  # ten rows a query, used twice
     t = search.best(tfidf_scores(spark, d), TOP)
     cols = ["query_id", "doc", "rank"]
     out = [x.select(*cols, F.lit(m).alias("method")) for x, m in ((a, "bm25"), (b, "bm25f"), (t, "tfidf"), (fusion.reciprocal_rank([a, b]), "rrf"))]
