@@ -152,8 +152,11 @@ def tfidf_cosine(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))).alias("idf"))
     q = asked.join(idf, "term").select("query_id", "term", ((1 + F.log("times")) * F.col("idf")).alias("qw"))
     q = q.withColumn("norm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("query_id")))).where("norm > 0")
-    hits = tfidf_vectors(tf, docs).join(q, "term")
-    return hits.groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("qw") / F.col("norm")).alias("score")).where("score > 0")
+    # lengths need all terms of a document, and so one sum for each; only asked terms go further
+    w = (1 + F.log("tf")) * F.col("idf")
+    lengths = tf.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("length")).where("length > 0")
+    hits = tf.join(_hint(asked)(q.join(idf, "term")), "term").groupBy("query_id", "doc").agg(F.sum(w * F.col("qw") / F.col("norm")).alias("dot"))
+    return hits.join(lengths, "doc").select("query_id", "doc", (F.col("dot") / F.col("length")).alias("score")).where("score > 0")
 
 
 def boosted(scores: DataFrame, boosts: DataFrame) -> DataFrame:
