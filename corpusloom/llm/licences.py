@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.plans.session import cut
 
@@ -101,9 +102,13 @@ def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     tf = distinct.select("print", F.explode(words(F.col("line"))).alias("word")).groupBy("print", "word").agg(F.count("*").alias("tf"))
     known = tf.join(F.broadcast(index), "word", "left")  # as many rows as the templates have words
     rated = known.withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0))))
-    norm = rated.groupBy("print").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = rated.where("at is not null").select("print", "w", F.explode("at").alias("at")).groupBy("print", "at.t", "at.licence").agg(F.sum(F.col("w") * F.col("at.w")).alias("dot"))
-    scored = dots.join(norm, "print").select("print", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    # one pass gives the products with all templates and, as template -1, the squared length
+    none = F.array().cast("array<struct<t:int,licence:string,x:double>>")
+    products = F.coalesce(F.transform("at", lambda a: F.struct(a["t"].alias("t"), a["licence"].alias("licence"), (F.col("w") * a["w"]).alias("x"))), none)
+    square = F.array(F.struct(F.lit(-1).alias("t"), F.lit("").alias("licence"), (F.col("w") * F.col("w")).alias("x")))
+    sums = rated.select("print", F.explode(F.concat(products, square)).alias("p")).groupBy("print", "p.t", "p.licence").agg(F.sum("p.x").alias("x"))
+    length = F.sqrt(F.max(F.when(F.col("t") < 0, F.col("x"))).over(W.partitionBy("print")))
+    scored = sums.withColumn("length", length).where("t >= 0").select("print", "licence", F.round(F.col("x") / F.col("length"), 6).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("print").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     return best.select("print", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
