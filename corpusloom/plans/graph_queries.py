@@ -1,7 +1,7 @@
 """Graph, module, link and incremental queries on the driver's tables.
 
-The graph: supplier nation -> customer nation, weighted by order lines, the two
-heaviest edges of each nation. Commits: orders; files: parts.
+The graph: supplier nation -> customer nation, weighted by order lines, where more
+of them go than on average. Commits: orders; files: parts.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def flows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark, d):
-    place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return flows(spark, d).where("src <> dst").withColumn("k", place).where("k <= 2").select("src", "dst", "weight")
+    f = flows(spark, d).where("src <> dst")
+    return f.join(F.broadcast(f.agg(F.avg("weight").alias("mean")))).where("weight > mean").select("src", "dst", "weight")  # one row
 
 
 def regions(spark, d):
@@ -258,7 +258,7 @@ QUERIES = {
 
 _E = """
 fl AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-e AS (SELECT src, dst, weight FROM fl WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2),
+e AS (SELECT src, dst, weight FROM fl WHERE src <> dst AND weight > (SELECT avg(weight) FROM fl WHERE src <> dst)),
 u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM e GROUP BY ALL),
 m AS (SELECT n_nationkey AS node, n_regionkey AS grp FROM nation),
 s AS (SELECT grp AS seed_set, node FROM m QUALIFY row_number() OVER (PARTITION BY grp ORDER BY node) <= 2)"""
