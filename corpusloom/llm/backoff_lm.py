@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textblocks as tb
 
 ORDER, ALPHA = 3, 0.4
-CHUNK, BUCKET = 6 << 20, 2_000_000
+CHUNK, BUCKET = 8 << 20, 2_000_000
 #: Bytes of texts that a task holds before it sends them to their chunks.
 HELD = 16 << 20
 #: Nothing compares contents, so n-grams of equal hashes would add their counts; fewer bits save disk but make wrong scores.
