@@ -2,6 +2,12 @@
 
 Each stage reads what the one before has written and keeps the columns of
 documents; the last one adds the token ids and the place in the mix.
+
+Defined cases: null and empty texts, and texts without a letter, go in the first
+stage; rows with a null id are kept like others where their text stays (they win
+against no other id, and are linked with nothing); of rows that repeat, one
+stays; very long texts go through whole; an empty table gives an empty result;
+further columns of documents, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup, language_id, mixing, near_dedup, piece_transducer
-from corpusloom.plans.session import checkpoint_ready, table
+from corpusloom.plans.session import checkpoint_ready, remove, table
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:  # what the stage has read is not needed any more
+            remove(spark, f"{base}/{k - 1}")
     return docs
