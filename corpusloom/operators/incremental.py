@@ -48,6 +48,8 @@ def jaccard_match(previous: DataFrame, current: DataFrame, least: float = 0.5) -
 
     Only groups that share a member are compared. A previous group wanted by
     several goes to the one with the largest overlap, ties to the name that sorts first.
+    A group has a second choice only where two previous ones hold exactly half of it
+    each; a loser there gets none.
     """
     sizes = current.groupBy("grp").agg(F.count("*").alias("n")), previous.groupBy(F.col("grp").alias("old_grp")).agg(F.count("*").alias("m"))
     both = current.select("node", "grp").join(previous.select("node", F.col("grp").alias("old_grp")), "node").groupBy("grp", "old_grp").agg(F.count("*").alias("k"))
