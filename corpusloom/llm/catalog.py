@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import backoff_lm, exact_dedup, language_id, licences, line_templates, mixing, near_dedup, piece_transducer, rp_forest, url_filter
+from corpusloom.llm import backoff_lm, exact_dedup, language_id, licences, line_templates, mixing, near_dedup, piece_transducer, rp_forest, toxicity, url_filter, vector_codes, whitening
 from corpusloom.plans.session import table
 
 
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placements(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.split_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -183,6 +195,30 @@ FROM b JOIN pat ON b.s = pat.s AND b.block % pat.w = pat.k
 """
 
 
+def _op12_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Plain Lloyd rounds, each a full recount."""
+    assign = "{a} AS MATERIALIZED (SELECT r, p, k, far FROM (SELECT r, p, k, far, row_number() OVER (PARTITION BY r, p ORDER BY far, k) AS place FROM (SELECT x.r, x.p, b.k, sum((x.x - b.c) * (x.x - b.c)) AS far FROM x JOIN {b} b ON b.p = x.p AND b.j = x.j GROUP BY ALL)) WHERE place = 1)"
+    replace = "{b} AS MATERIALIZED (SELECT o.p, o.k, o.j, coalesce(m.c, o.c) AS c FROM {before} o LEFT JOIN (SELECT x.p, a.k, x.j, CAST(floor(sum(x.x) / count(*)) AS BIGINT) AS c FROM x JOIN {a} a ON a.r = x.r AND a.p = x.p GROUP BY ALL) m ON m.p = o.p AND m.k = o.k AND m.j = o.j)"
+    steps = [step for t in range(rounds) for step in (assign.format(a=f"a{t}", b=f"b{t}"), replace.format(b=f"b{t + 1}", before=f"b{t}", a=f"a{t}"))]
+    return f"""
+WITH g AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), w AS (SELECT greatest(1, (max(len(embedding)) + {parts - 1}) // {parts}) AS w FROM g),
+d AS (SELECT unnest(range({parts} * w)) AS d, w FROM w),
+x AS MATERIALIZED (SELECT r, d // w AS p, d % w AS j, CAST(floor(coalesce(embedding[d + 1], 0)::DOUBLE * {scale}) AS BIGINT) AS x FROM g, d),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, j, x AS c FROM x WHERE r <= {entries}),
+{", ".join(steps)}, {assign.format(a="final", b=f"b{rounds}")},
+o AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM final JOIN g USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, j)) FROM b{rounds}) AS codebooks_sha256
+FROM o
+"""
+
+
+OP12_SQL = _op12_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rp_forest": op1_rp_forest,
@@ -195,9 +231,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
+        "op11_toxicity": op11_toxicity,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_whitening": op13_whitening,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_backoff_lm": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_licences": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_backoff_lm": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_licences": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op12_vector_codes": OP12_SQL}
