@@ -9,16 +9,20 @@ The n-grams meet their counts in a join on hash, in packed form:
 
 1. Documents are dealt into chunks of about ``CHUNK`` bytes by the hash of id and
    text; a task sends what it has for a chunk as one compressed block.
-2. Each chunk sends its distinct n-grams of each order (hashes, sorted, with counts), cut by hash range into buckets of about ``BUCKET`` n-grams. A word or
-   n-gram that is everywhere leaves each chunk once.
-3. Each bucket adds the counts of all chunks (this is the count table's partition)
-   and joins the sums back to every chunk's n-grams.
+2. Each chunk sends its distinct n-grams of each order (hashes, sorted, with
+   counts), cut into at most ``RANGES`` ranges of hashes. A word or n-gram that is
+   everywhere leaves each chunk once, and a chunk sends no more messages in a larger corpus.
+3. The task of a range adds the counts of all chunks (this is the count table's
+   partition), about ``BUCKET`` n-grams at a time, and joins the sums back to every
+   chunk's n-grams.
 4. Each chunk, joined with the counts of its n-grams, scores its tokens; the
    scores are summed per document.
 
 What is shuffled is the compressed texts once and about six bytes for each distinct n-gram of
-a chunk, and a byte or less for each count on its way back. All sizes follow from
-the number of bytes and tokens of the input by the same rule for any input.
+a chunk, and a byte or less for each count on its way back. Messages grow with the
+chunks, and so with the input. A range holds BUCKET n-grams up to about 8 thousand
+million tokens; beyond, its share of all n-grams, some nine bytes each (by
+arithmetic 0.4 GB at 1 TB of text).
 
 Defined cases: null and empty texts have 0 tokens and a null mean; rows with a
 null id are dealt by their text and keep their null id; rows that repeat an id or
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textblocks as tb
 
 ORDER, ALPHA = 3, 0.4
-CHUNK, BUCKET = 8 << 20, 2_000_000
+CHUNK, BUCKET, RANGES = 8 << 20, 2_000_000, 4096
 #: Bytes of texts that a task holds before it sends them to their chunks.
 HELD = 16 << 20
 #: Nothing compares contents, so n-grams of equal hashes would add their counts; fewer bits save disk but make wrong scores.
@@ -166,13 +170,8 @@ def _totals(rows: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, n_tokens, log_score (sum of ln S) and mean_log_score."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    tb.small_batches(docs.sparkSession)
-    size, total = _totals(rows)
-    chunks, buckets = max(1, -(-size // chunk)), max(1, -(-total // bucket))
-    bits = HASH_BITS
+def _dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """chunk, block: the rows (id, text) of each chunk in compressed blocks."""
     chunk_of = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", "text")), F.lit(chunks))
 
     @tb.lean
@@ -194,7 +193,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                     held, size = {}, 0
         yield blocks()
 
-    dealt = rows.select(chunk_of.alias("chunk"), "id", "text").mapInArrow(deal, "chunk long, block binary")
+    return rows.select(chunk_of.alias("chunk"), "id", "text").mapInArrow(deal, "chunk long, block binary")
+
+
+def _asked(dealt: DataFrame, buckets: int, order: int = ORDER, bits: int = HASH_BITS) -> DataFrame:
+    """part (order and hash range), chunk, grams, times: what each chunk sends, at most ``order`` x ``buckets`` rows."""
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         _, data, offsets = unpack_rows(table.column("block").to_pylist())
@@ -203,22 +206,43 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for n in range(1, order + 1):
             kinds, times = np.unique(hashes[n - 1][whole(first, n)], return_counts=True)
             cuts = _cuts(kinds, buckets, bits)
-            for k in range(buckets):
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    out.append((n * buckets + k, key[0].as_py(), pack_sorted(kinds[a:b]), pack(times[a:b].astype(_U))))
+                out.append((n * buckets + k, key[0].as_py(), pack_sorted(kinds[a:b]), pack(times[a:b].astype(_U))))
         columns = list(zip(*out)) or [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "grams", "times"])
 
-    def answer(table: pa.Table) -> pa.Table:
+    return dealt.groupBy("chunk").applyInArrow(ask, "part long, chunk long, grams binary, times binary")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, chunk: int = CHUNK, bucket: int = BUCKET, ranges: int = RANGES) -> DataFrame:
+    """One row per document: doc_id, n_tokens, log_score (sum of ln S) and mean_log_score."""
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    tb.small_batches(docs.sparkSession)
+    size, total = _totals(rows)
+    buckets = max(1, min(ranges, -(-total // bucket)))
+    bits = HASH_BITS
+    dealt = _dealt(rows, max(1, -(-size // chunk)))
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
         blocks = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
-        times = [unpack(x) for x in table.column("times").to_pylist()]
-        kinds, back = np.unique(np.concatenate(blocks), return_inverse=True)
-        sums = np.zeros(len(kinds), dtype=np.int64)
-        np.add.at(sums, back, np.concatenate(times).astype(np.int64))
-        del back
-        found = [pack(sums[np.searchsorted(kinds, b)].astype(_U)) for b in blocks]
-        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "counts": pa.array(found, pa.binary())})
+        times = [(t := unpack(x)).astype(np.min_scalar_type(int(t.max()))) for x in table.column("times").to_pylist()]
+        lo, hi = (((key[0].as_py() % buckets + k) << bits) // buckets for k in (0, 1))
+        pieces = max(1, -(-sum(map(len, blocks)) // bucket))
+        edges = np.array([lo + (hi - lo) * k // pieces for k in range(1, pieces)], dtype=_U)
+        cuts = [np.concatenate(([0], np.searchsorted(b, edges), [len(b)])) for b in blocks]
+        found: list[list[np.ndarray]] = [[] for _ in blocks]
+        for k in range(pieces):
+            mine = [b[c[k] : c[k + 1]] for b, c in zip(blocks, cuts)]
+            kinds, back = np.unique(np.concatenate(mine), return_inverse=True)
+            sums = np.zeros(len(kinds), dtype=np.int64)
+            np.add.at(sums, back, np.concatenate([t[c[k] : c[k + 1]] for t, c in zip(times, cuts)]).astype(np.int64))
+            del back
+            sums = sums.astype(np.min_scalar_type(int(sums.max(initial=0))))
+            for out, b in zip(found, mine):
+                out.append(sums[np.searchsorted(kinds, b)])
+        packed = [pack(np.concatenate(x).astype(_U)) for x in found]
+        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "counts": pa.array(packed, pa.binary())})
 
     def finish(texts: pa.Table, counts: pa.Table) -> pa.Table:
         ids, data, offsets = unpack_rows(texts.column("block").to_pylist())
@@ -231,7 +255,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         tokens, sums = score_texts(data, offsets, lookup, total, order, alpha, bits)
         return pa.table({"doc_id": ids, "n_tokens": pa.array(tokens, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "part long, chunk long, grams binary, times binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "part long, chunk long, counts binary")
+    answered = _asked(dealt, buckets, order, bits).groupBy("part").applyInArrow(answer, "part long, chunk long, counts binary")
     scored = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

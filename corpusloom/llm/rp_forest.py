@@ -1,5 +1,11 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
+The largest inner product is found as the smallest distance: every vector x gets
+one more component, sqrt(M^2 - |x|^2) with M the largest norm of the whole table, so
+that all lie on one sphere; queries get 0 there and the length M, which changes no
+order of their inner products. Trees are grown and searched in this space, and
+scores are taken from the vectors as they are.
+
 Fitting: a bounded sample (``SAMPLE`` vectors with the smallest hashes of their
 ids, equal vectors once) is split by hyperplanes between two random points, at
 the gap next to the median, ``DEPTH`` times. The forest with its sample is
@@ -9,10 +15,14 @@ the sample and the number of trees.
 Index: every vector goes down every tree and lies in one leaf of each.
 
 Search: all trees of the forest share one priority queue. The branch with the
-smallest sum of squared margins is taken next, whichever tree it belongs to. It
-ends when the leaves hold ``SHARE`` times the sample (vectors that several trees
-find count each time), or when the next branch lies farther off than the k-th
-best of the sample vectors found so far, so queries in a cluster end early.
+smallest sum of squared margins is taken next, whichever tree it belongs to. A
+query's scores with the sample are known, so the search ends as soon as its leaves
+hold ``RECALL`` of the k best vectors of the sample: after few leaves in a
+cluster, after most of them where vectors spread evenly. All vectors together are
+nearer to a query than a sample of them, so their k best lie in the leaves that are
+taken first. With ``share`` the search ends when the leaves hold that many times the
+sample instead (vectors that several trees find count each time). In either case it
+ends when the next branch lies farther off than the k-th best found so far.
 
 Ranking: queries and vectors meet by leaf in a join, so a query meets its leaves'
 vectors only; all of them are candidates and are ranked by their exact inner
@@ -21,10 +31,6 @@ own leaves is a lower bound of its k-th best candidate, so no leaf sends back
 what lies below it. Leaves are joined in slices of ``TILE`` vectors by ``QUERIES``
 queries, so a task's memory is fixed however crowded a leaf is.
 
-SHARE is high because neighbours of vectors that spread evenly over 64
-dimensions are hardly nearer than others (recall 0.9 needs most of them);
-clustered vectors reach it with a fraction of that.
-
 Defined cases: vectors that are null, zero, of another than the commonest
 dimension, or hold null or non-finite components take no part; rows that repeat
 id and vector count once; another vector under the same id is another query (with
@@ -37,6 +43,7 @@ columns may have any names.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +57,7 @@ from pyspark.sql import Window as W
 from corpusloom.llm import textblocks as tb
 from corpusloom.plans.session import checkpoint_ready, cut
 
-TREES, DEPTH, SAMPLE, SHARE = 8, 7, 16384, 1.3
+TREES, DEPTH, SAMPLE, RECALL = 8, 7, 16384, 0.95
 #: Vectors of a leaf and queries that one task compares; leaves between two looks at whether the search can end.
 TILE, QUERIES, LOOK = 4096, 2048, 8
 
@@ -65,7 +72,7 @@ class Forest:
     sample: np.ndarray
     ids: np.ndarray  # of the sample's rows
     again: np.ndarray  # which rows have the id of an earlier one; an id counts once among the k best
-    reach: float  # largest norm of the sample
+    reach: float  # norm of all vectors
 
     def leaves_of(self, vectors: np.ndarray) -> np.ndarray:
         """(vectors x trees) leaf that each vector falls into."""
@@ -81,19 +88,22 @@ class Forest:
                     stack += [(self.children[node][0], rows[~right]), (self.children[node][1], rows[right])]
         return out
 
-    def search(self, margins: np.ndarray, scores: np.ndarray, norm: float, share: float, k: int) -> tuple[list[int], float]:
+    def search(self, margins: np.ndarray, scores: np.ndarray, k: int, recall: float = RECALL, share: float | None = None) -> tuple[list[int], float]:
         """Leaves in the order of the shared queue, and a lower bound of the k-th best score in them.
 
-        margins: of all nodes; scores: of all rows of the sample (-inf for the query's own); norm: the query's.
+        margins: of all nodes; scores: of all rows of the sample (-inf for the query's own).
         """
         queue = [(0.0, t, root) for t, root in enumerate(self.roots)]
         heapq.heapify(queue)
-        found, held, pushed, best, looked = [], 0, len(queue), np.zeros(0), 0
-        seen = np.zeros(len(self.sample), dtype=bool)
+        found, held, pushed, best, looked, met = [], 0, len(queue), np.zeros(0), 0, 0
+        seen, wanted = np.zeros(len(self.sample), dtype=bool), np.zeros(len(self.sample), dtype=bool)
+        order = np.argpartition(-scores, min(k, len(scores)) - 1)[:k] if len(scores) else np.zeros(0, np.int64)
+        wanted[order[np.isfinite(scores[order])]] = True
+        enough = math.ceil(recall * int(wanted.sum()) - 1e-9)
         sides, costs = (margins >= 0).astype(np.int64).tolist(), (margins * margins).tolist()
-        most, reach = share * len(self.sample), norm * norm + self.reach * self.reach
+        reach = 2 * self.reach * self.reach
         while True:
-            done = not queue or held >= most
+            done = not queue or (met >= enough if share is None else held >= share * len(self.sample))
             if done or len(found) - looked == LOOK:
                 new = np.concatenate([self.members[x] for x in found[looked:]]) if len(found) > looked else np.zeros(0, np.int64)
                 new = np.unique(new[~seen[new]])
@@ -112,11 +122,20 @@ class Forest:
                 heapq.heappush(queue, (cost + costs[node], pushed, pair[1 - side]))
                 node = pair[side]
             found.append(~node)
-            held += len(self.members[~node])
+            rows = self.members[~node]
+            held += len(rows)
+            met += int(wanted[rows].sum())
+            wanted[rows] = False
         return found, float(best.min()) if len(best) == k else -np.inf
 
 
-def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
+def lifted(vectors: np.ndarray, reach: float) -> np.ndarray:
+    """Vectors with the component that makes their norm ``reach``."""
+    return np.hstack([vectors, np.sqrt(np.maximum(reach * reach - (vectors * vectors).sum(axis=1), 0.0))[:, None]])
+
+
+def grow(sample: np.ndarray, ids: np.ndarray, reach: float, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
+    """A forest over lifted vectors."""
     sample, first = np.unique(sample, axis=0, return_index=True)
     ids = ids[first]
     rng = np.random.default_rng(seed)
@@ -157,7 +176,7 @@ def grow(sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = D
                 roots.append(name)
             else:
                 children[parent][side] = name
-    dim, reach = sample.shape[1], float(np.sqrt((sample * sample).sum(axis=1).max()))
+    dim = sample.shape[1]
     again = np.ones(len(ids), dtype=bool)
     again[np.unique(ids, return_index=True)[1]] = False
     return Forest(np.array(planes).reshape(-1, dim), np.array(cuts), children, roots, members, sample, ids, again, reach)
@@ -197,7 +216,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return named.where(fine).distinct()
 
 
-def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
+def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE, recall: float = RECALL, share: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each vector whose id is divisible by ``every``."""
     spark = rows.sparkSession
     checkpoint_ready(spark)
@@ -209,14 +228,15 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     dim = sizes["dim"]
     good = good.where(F.size("v") == dim)
     taken = good.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()  # bounded by `sample`
-    forest = spark.sparkContext.broadcast(grow(_matrix(taken.column("v"), dim), taken.column("id").to_numpy(), trees, depth))
+    reach = float(good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0])
+    forest = spark.sparkContext.broadcast(grow(lifted(_matrix(taken.column("v"), dim), reach), taken.column("id").to_numpy(), reach, trees, depth))
 
     @tb.lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                leaves = forest.value.leaves_of(_matrix(part.column(1), dim))
+                leaves = forest.value.leaves_of(lifted(_matrix(part.column(1), dim), reach))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)), pa.array(leaves.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], ["id", "v", "leaves"])
 
@@ -227,10 +247,12 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
                 ids, Q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                size = reach / np.sqrt((Q * Q).sum(axis=1))
+                Q = np.hstack([Q * size[:, None], np.zeros((len(Q), 1))])
                 margins, scores = Q @ model.planes.T - model.cuts, Q @ model.sample.T
                 scores[(ids[:, None] == model.ids[None, :]) | model.again[None, :]] = -np.inf
-                norms = np.sqrt((Q * Q).sum(axis=1))
-                found = [model.search(margins[r], scores[r], float(norms[r]), share, k) for r in range(len(ids))]
+                found = [model.search(margins[r], scores[r], k, recall, share) for r in range(len(ids))]
+                found = [(leaves, bound / s) for (leaves, bound), s in zip(found, size.tolist())]
                 cuts = np.cumsum([0, *(len(x) for x, _ in found)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.array([x for ls, _ in found for x in ls], dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x for _, x in found], pa.float64())], ["id", "v", "leaves", "bound"])

@@ -220,6 +220,28 @@ def test_backoff_scores(spark):
     assert backoff_lm.score(nothing(spark)).count() == 0
 
 
+def test_backoff_messages_grow_with_the_chunks(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
+    sent = []
+    for times in (1, 4, 16):
+        rows = docs(spark, [text() for _ in range(40 * times)]).selectExpr("doc_id as id", "text")
+        asked = backoff_lm._asked(backoff_lm._dealt(rows, 4 * times), min(16, 8 * times))
+        by_chunk = [r["count"] for r in asked.groupBy("chunk").count().collect()]
+        assert len(by_chunk) == 4 * times and max(by_chunk) <= 3 * 16
+        sent.append(sum(by_chunk))
+    assert sent[2] <= 4 * sent[1] and sent[2] <= 16 * 3 * 16 * 4
+
+
+def test_backoff_scores_do_not_depend_on_the_cut(spark):
+    rng = random.Random(5)
+    df = docs(spark, [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(40)])
+    one = sorted(map(tuple, backoff_lm.score(df).collect()), key=lambda r: r[0])
+    many = sorted(map(tuple, backoff_lm.score(df, chunk=100, bucket=7, ranges=3).collect()), key=lambda r: r[0])  # ranges hold many times `bucket` n-grams
+    assert [r[:2] for r in one] == [r[:2] for r in many]
+    assert [r[2] for r in one] == pytest.approx([r[2] for r in many])
+
+
 def test_backoff_hashes_do_not_meet(spark):
     words = [f"w{i}" for i in range(200_000)]
     block, ends = np.frombuffer(" ".join(words).encode(), dtype=np.uint8), np.cumsum([len(w) + 1 for w in words]) - 1

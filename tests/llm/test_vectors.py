@@ -1,11 +1,11 @@
-"""Vector codes and whitening against plain versions, and their defined cases."""
+"""Vector codes and whitening against plain versions, and their defined cases; recall of the forest where norms vary."""
 
 import hashlib
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import vector_codes, whitening
+from corpusloom.llm import rp_forest, vector_codes, whitening
 
 
 def table(spark, vectors, labels=None, ids=None):
@@ -116,3 +116,39 @@ def test_codes_sql(spark):
     wanted = sorted(con.execute(catalog.OP12_SQL).fetchall())
     got = sorted(tuple(r) for r in vector_codes.encode(rows).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect())
     assert got == wanted
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("kind", "sample", "most"), [("even", 4096, 0.8), ("lognormal", 4096, 0.8), ("clusters", 4096, 0.3), ("lognormal", 800, 0.8), ("clusters", 800, 0.3)])
+def test_recall_where_norms_vary(spark, kind, sample, most):
+    rng = np.random.default_rng(6)
+    n, d = 3000, 48
+    X = unit(rng.normal(size=(n, d)))
+    if kind == "clusters":
+        X = unit(unit(rng.normal(size=(30, d)))[rng.integers(0, 30, n)] + 0.05 * rng.normal(size=(n, d)))
+    if kind != "even":
+        X = X * np.exp(0.7 * rng.normal(size=(n, 1)))
+    X = X.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(X.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in rp_forest.search(df, sample=sample).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = X.astype(float)[::20] @ X.astype(float).T
+    recalls = []
+    for row, q in enumerate(range(0, n, 20)):
+        scores[row, q] = -np.inf
+        recalls.append(len(got[q] & set(np.argsort(-scores[row], kind="stable")[:20].tolist())) / 20)
+    assert np.mean(recalls) >= 0.9 and min(recalls) >= 0.6
+    reach = float(np.linalg.norm(X.astype(float), axis=1).max())
+    forest = rp_forest.grow(rp_forest.lifted(X.astype(float), reach), np.arange(n), reach)
+    met = []
+    for q in range(0, n, 200):
+        asked = np.append(X[q].astype(float) * reach / np.linalg.norm(X[q].astype(float)), 0)
+        known = forest.sample @ asked
+        known[forest.ids == q] = -np.inf
+        leaves, _ = forest.search(forest.planes @ asked - forest.cuts, known, 20)
+        met.append(len(np.unique(np.concatenate([forest.members[x] for x in leaves]))) / n)
+    assert np.mean(met) < most  # vectors that a query meets
