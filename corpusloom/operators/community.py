@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions.text import slug
+from corpusloom.operators.order import arranged
 
 MOST_MEMBERS = 15
 
@@ -110,8 +111,7 @@ def hierarchy(links: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
 
 def ranked(membership: DataFrame, rank: DataFrame) -> DataFrame:
     """membership with each member's place in its group by centrality, then name. rank: node, rank."""
-    order = W.partitionBy("grp").orderBy(F.desc(F.round("rank", 12)), "node")
-    return membership.join(rank, "node", "left").withColumn("place", F.row_number().over(order))
+    return arranged(membership.join(rank, "node", "left"), ["grp"], [F.desc(F.round("rank", 12)), F.col("node")])
 
 
 def isolated(nodes: DataFrame, links: DataFrame) -> DataFrame:

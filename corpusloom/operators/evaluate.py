@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.operators import fusion
+from corpusloom.operators import fusion, order, quantiles
 
 #: Messages of sources of an older language version, and words that name broken fixtures.
 OLD_MESSAGES = ["Missing parentheses in call to", "leading zeros in decimal integer literals", "multiple exception types must be parenthesized", "invalid hexadecimal literal"]
@@ -45,7 +45,11 @@ def parse_error_cause(path: Column, error: Column) -> Column:
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median, p90 and max of a value by group."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("max"))
+    plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    at = quantiles.quantiles(rows, by, value, [0.5, 0.9])
+    wide = at.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(F.when(F.col("share") == 0.5, F.col("quantile"))).alias("median"), F.max(F.when(F.col("share") == 0.9, F.col("quantile"))).alias("p90"))
+    same = reduce(lambda a, b: a & b, (plain[c].eqNullSafe(wide[f"_{c}"]) for c in by), F.lit(True))
+    return plain.join(wide, same, "left").select(*by, "n", "mean", "median", "p90", "max")
 
 
 def macro(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
@@ -62,7 +66,7 @@ def pick_one_each(rows: DataFrame, group: str, order: list[Column], n: int) -> D
 def shuffled(rows: DataFrame, by: str, item: str, seed: int = 0) -> DataFrame:
     """by, item and rank in an order that depends on the seed and both names alone."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col(item).cast("string")).cast("binary"))
-    return rows.select(by, item, F.row_number().over(W.partitionBy(by).orderBy(key, item)).alias("rank"))
+    return order.arranged(rows.select(by, item, key.alias("_key")), [by], [F.col("_key"), F.col(item)], place="rank").select(by, item, "rank")
 
 
 def anchored_pairs(found: DataFrame, missed: DataFrame, pool: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
@@ -104,7 +108,7 @@ def rankers(candidates: DataFrame, seed: int = 0) -> DataFrame:
     beyond reach), weight (of a direct link), same_part, same_group.
     """
     lex = F.coalesce("lexical", F.lit(0.0))
-    by = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.desc(F.round(lex, 9)), "doc"))
+    by = lambda *first: F.row_number().over(W.partitionBy("query_id").orderBy(*first, F.desc(F.round(lex, 9)), "doc"))
     near = F.when(F.col("distance").isNotNull(), 0).when(F.col("same_part"), 1).when(F.col("same_group"), 1).otherwise(2)
     orders = {
         "lexical": by(),

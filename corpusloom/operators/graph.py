@@ -7,11 +7,14 @@ lineage is cut every few rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.quantiles import quantiles
 from corpusloom.plans.session import cut
 
 #: Fixed value: share of the mass that goes back to the seeds.
@@ -67,12 +70,18 @@ def disconnected_groups(links: DataFrame, membership: DataFrame) -> DataFrame:
     return parts.groupBy("grp").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed_set, node, distance of everything within depth steps along edges. seeds: seed_set, node."""
+def distances(edges: DataFrame | None, seeds: DataFrame, depth: int, step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """seed_set, node, distance of everything within depth steps along edges. seeds: seed_set, node.
+
+    step: gives seed_set, node of what a frontier (seed_set, node, distance) leads to,
+    in place of edges; so a walk may go different ways for different seeds, kinds of nodes or distances.
+    """
+    if step is None:
+        step = lambda at: at.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed_set", F.col("dst").alias("node"))
     seen = seeds.select("seed_set", "node").distinct().withColumn("distance", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
-        near = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed_set", F.col("dst").alias("node")).distinct()
+        near = step(frontier).select("seed_set", "node").distinct()
         frontier = cut(near.join(seen, ["seed_set", "node"], "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
@@ -137,7 +146,7 @@ def pagerank(links: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
 
 def hub_share(mass: DataFrame, fan_in: DataFrame, hub: Column | None = None, quantile: float = 0.95) -> DataFrame:
     """seed_set, hub_share: mass on nodes at or above a quantile of fan-in (or where ``hub`` holds)."""
-    limit = fan_in.agg(F.percentile("fan_in", quantile).alias("limit"))
+    limit = quantiles(fan_in, [], "fan_in", [quantile]).select(F.col("quantile").alias("limit"))
     marked = fan_in.join(F.broadcast(limit)).withColumn("is_hub", (F.col("fan_in") >= F.col("limit")) | (hub if hub is not None else F.lit(False)))  # one row
     joined = mass.join(marked.select("node", "is_hub"), "node", "left")
     return joined.groupBy("seed_set").agg((F.sum(F.when(F.col("is_hub"), F.col("mass")).otherwise(0.0)) / F.sum("mass")).alias("hub_share"))

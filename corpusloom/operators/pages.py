@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of the passages of one automaton.
+MOST_BYTES = 32 << 20
 
 
 def html_links(pages: DataFrame, id_col: str, html: Column) -> DataFrame:
@@ -32,23 +39,49 @@ def rollup(paths: DataFrame, path: Column) -> DataFrame:
     return each.groupBy("parent").agg(F.count("*").alias("children"), F.sum("n").alias("entries"))
 
 
-def containing(passages: DataFrame, passage_id: str, passage: Column, docs: DataFrame, doc_id: str, text: Column, words: int = 4) -> DataFrame:
-    """passage id and document id where the document contains the passage.
+def containing(passages: DataFrame, passage_id: str, passage: Column, docs: DataFrame, doc_id: str, text: Column, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """passage id and document id where the document contains the passage, of any length.
 
-    An inner run of ``words`` words of a passage stands in a containing text as
-    whole words, so runs are matched by an equi-join and whole passages checked
-    afterwards. Passages too short for an inner run are compared with all texts.
+    An automaton of all passages (Aho-Corasick) goes over each text once, in the
+    task that reads it; texts are never moved. Passages are dealt into as many
+    automata as keep each within ``most_bytes``, and texts are read once for each.
+    Null and empty passages are in no document.
     """
-    split = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
-    p = passages.select(passages[passage_id].alias("pid"), passage.alias("passage"), split(passage).alias("w")).where(F.col("passage").isNotNull() & (F.col("passage") != ""))
-    long = p.where(F.size("w") >= words + 2).select("pid", "passage", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("run"))
-    d = docs.select(docs[doc_id].alias("did"), text.alias("text")).where(F.col("text").isNotNull())
-    w = split(F.col("text"))
-    runs = d.withColumn("w", w).where(F.size("w") >= words).select("did", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, words), " "))))).alias("run"))
-    near = runs.join(long.select("run", "pid", "passage"), "run").select("did", "pid", "passage").distinct()
-    found = near.join(d, "did").where(F.contains("text", "passage")).select("pid", "did")
-    short = p.where(F.size("w") < words + 2).select("pid", "passage")
-    return found.unionByName(short.join(d, F.contains("text", "passage")).select("pid", "did")).distinct()
+    p = passages.select(passages[passage_id].alias("pid"), passage.cast("string").alias("passage")).where("passage <> ''")
+    p = p.groupBy("passage").agg(F.collect_set("pid").alias("pids"))
+    d = docs.select(docs[doc_id].alias("did"), text.cast("string").alias("text")).where(F.col("text").isNotNull())
+    n_bytes = p.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    shards = -(-n_bytes // most_bytes)
+    fields = T.StructType([d.schema["did"], T.StructField("passage", T.StringType())])
+    found = None
+    for shard in range(shards):
+        mine = p.where(F.pmod(F.xxhash64("passage"), F.lit(shards)) == shard).select("passage")
+        met = d.mapInArrow(_finder([r[0] for r in mine.toLocalIterator()]), fields)  # at most about `most_bytes`
+        found = met if found is None else found.unionByName(met)
+    ids = p.select("passage", F.explode("pids").alias("pid"))
+    if found is None:
+        return ids.join(d.limit(0)).select("pid", "did")
+    return found.join(ids, "passage").select("pid", "did").distinct()
+
+
+def _finder(patterns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for pattern in patterns:
+            automaton.add_word(pattern, pattern)
+        if patterns:
+            automaton.make_automaton()
+        for b in batches:
+            rows, hits = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                in_text = {pattern for _, pattern in automaton.iter(text)} if patterns else ()
+                rows += [k] * len(in_text)
+                hits += sorted(in_text)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string())], ["did", "passage"])
+
+    return run
 
 
 def term_links(left: DataFrame, left_id: str, left_terms: Column, right: DataFrame, right_id: str, right_terms: Column, least: int = 5) -> DataFrame:

@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from corpusloom.functions.text import hub_damping
@@ -119,22 +118,47 @@ def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: Data
     return best.withColumn("position", F.row_number().over(order)).select("query_id", "doc", "score", "reason", "position")
 
 
+#: Positions of a query that are summed up in one task.
+_CHUNK = 4096
+
+
 def pack(items: DataFrame, budget: int) -> DataFrame:
     """query_id, doc, position, packed: greedy in order; what would exceed the budget is left out, later and smaller items still fit.
 
-    items: query_id, doc, position, size. A query's items are folded in order in one
-    expression, which keeps only the positions of packed items.
+    items: query_id, doc, position, size. Done in rounds, for all queries at once.
+    Of what is undecided, an item is large if it takes more than half of the room
+    that is left, so at most one of these can still be packed. The others are
+    packed in order up to the first event: a large item that fits behind them, which
+    is packed and takes half the room, or a small one that does not fit, which
+    means that half the room is used. Large items before the event do not fit. So
+    a round halves the room, and there are no more rounds than the budget has
+    bits. Running sums are made in chunks of positions. Items without a size are
+    left out.
     """
-    rows = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "doc", F.col("size").cast("long").alias("size")))).alias("i"))
-    kind = T.StructType([T.StructField("used", T.LongType()), T.StructField("kept", T.ArrayType(T.LongType()))])
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept")).cast(kind)
-
-    def step(a, x):
-        added = F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x["position"])).alias("kept")).cast(kind)
-        return F.when(a["used"] + x["size"] <= budget, added).otherwise(a)
-
-    folded = rows.select("query_id", "i", F.aggregate("i", start, step)["kept"].alias("kept"))
-    return folded.select("query_id", "kept", F.explode("i").alias("z")).select("query_id", F.col("z.doc").alias("doc"), F.col("z.position").alias("position"), F.array_contains("kept", F.col("z.position")).alias("packed"))
+    cols = ["query_id", "doc", "position", "size"]
+    rows = items.select("query_id", "doc", F.col("position").cast("long").alias("position"), F.col("size").cast("long").alias("size"))
+    left, taken = rows.where(F.col("size") <= budget).withColumn("room", F.lit(budget).cast("long")), None
+    while True:
+        large = F.col("size") * 2 > F.col("room")
+        left = left.withColumn("chunk", F.floor(F.col("position") / _CHUNK)).withColumn("small", F.when(large, 0).otherwise(F.col("size")))
+        chunks = left.groupBy("query_id", "chunk").agg(F.sum("small").alias("sum"))
+        ahead = chunks.select("query_id", "chunk", F.coalesce(F.sum("sum").over(W.partitionBy("query_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+        inside = F.coalesce(F.sum("small").over(W.partitionBy("query_id", "chunk").orderBy("position").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        placed = left.withColumn("inside", inside).join(ahead, ["query_id", "chunk"]).withColumn("before", F.col("ahead") + F.col("inside"))
+        fits = F.col("before") + F.col("size") <= F.col("room")
+        event = F.min(F.when(large == fits, F.struct("position", fits.alias("packs"), "before", "size"))).alias("event")  # a large one that fits, a small one that does not
+        ends = placed.groupBy("query_id").agg(event).select("query_id", "event.position", "event.packs", F.col("event.before").alias("used"), F.col("event.size").alias("event_size")).withColumnRenamed("position", "end")
+        both = placed.join(ends, "query_id")
+        packed = F.when(F.col("end").isNull() | (F.col("position") < F.col("end")), ~large).otherwise((F.col("position") == F.col("end")) & F.col("packs"))
+        rest = F.col("room") - F.col("used") - F.when(F.col("packs"), F.col("event_size")).otherwise(0)
+        open_ = (F.col("position") > F.col("end")) & (F.col("size") <= rest)
+        round_ = cut(both.where(packed | F.coalesce(open_, F.lit(False))).select(*cols, packed.alias("packed"), rest.alias("room")))
+        done = round_.where("packed").select("query_id", "position", "packed")
+        taken = done if taken is None else taken.unionByName(done)
+        left = round_.where("not packed").select(*cols, "room")
+        if left.isEmpty():
+            break
+    return rows.join(taken, ["query_id", "position"], "left").select("query_id", "doc", "position", F.coalesce("packed", F.lit(False)).alias("packed"))
 
 
 def as_json(gathered: DataFrame) -> DataFrame:

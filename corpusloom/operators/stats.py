@@ -29,27 +29,40 @@ def _copies(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (x >> u(11)).astype(np.float64) * 2.0**-53, side="right").astype(np.float64)
 
 
-def bootstrap_ratio(rows: DataFrame, over: str, under: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """estimate, low, high (95 %) of sum(over) / sum(under), instances resampled.
-
-    Every row draws its number of copies in each resample from a Poisson
-    distribution seeded by its content, in its own task; only sums travel.
+def bootstrap(rows: DataFrame, key: Column, sums: dict[str, Column], statistics: dict[str, Column], resamples: int = RESAMPLES, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """statistic, estimate, low, high: intervals of several statistics from one set of resamples.
+
+    sums: name -> value of a row; a statistic is an expression over the sums'
+    names (their ratios, means, lifts, and differences between them). Every row
+    draws its number of copies in each resample from a Poisson distribution, by
+    its key (a 64-bit integer), the resample and the seed alone, in its own task.
+    All sums of a resample share the draw, so the difference of two statistics
+    is taken within a resample. Only resamples x sums numbers of each task travel.
+    A statistic that is null in a resample (an empty divisor) does not count there.
     """
+    names = list(sums)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, resamples))
+        total = np.zeros((len(names), resamples))
         for pdf in batches:
-            keys, values = pdf["key"].to_numpy().view(np.uint64), pdf[["x", "y"]].to_numpy(dtype=float).T
+            keys, values = pdf["_key"].to_numpy().view(np.uint64), pdf[names].to_numpy(dtype=float).T
             for lo in range(0, len(keys), _ROWS):
-                sums += values[:, lo : lo + _ROWS] @ _copies(keys[lo : lo + _ROWS], resamples, seed)
-        yield pd.DataFrame({"k": np.arange(resamples), "a": sums[0], "b": sums[1]})
-
-    keyed = rows.select(F.xxhash64(*rows.columns).alias("key"), F.col(over).cast("double").alias("x"), F.col(under).cast("double").alias("y"))
-    sums = keyed.mapInPandas(draw, "k long, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ratios = sums.select(F.try_divide("a", "b").alias("r"))
-    interval = ratios.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
-    point = rows.agg(F.try_divide(F.sum(over).cast("double"), F.sum(under)).alias("estimate"))
-    return point.join(F.broadcast(interval))  # one row each
+                total += values[:, lo : lo + _ROWS] @ _copies(keys[lo : lo + _ROWS], resamples, seed)
+        yield pd.DataFrame({"k": np.arange(resamples)} | dict(zip(names, total)))
+
+    keyed = rows.select(key.cast("long").alias("_key"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in sums.items()])
+    drawn = keyed.mapInPandas(draw, "k long, " + ", ".join(f"`{n}` double" for n in names)).groupBy("k").agg(*[F.sum(n).alias(n) for n in names])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), v.cast("double").alias("v")) for name, v in statistics.items()])).alias("s")
+    tail = (1 - level) / 2
+    interval = drawn.select(each).select("s.*").groupBy("statistic").agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"))  # resamples rows each
+    point = keyed.agg(*[F.sum(n).alias(n) for n in names]).select(each).select("s.statistic", F.col("s.v").alias("estimate"))
+    return point.join(interval, "statistic")
+
+
+def bootstrap_ratio(rows: DataFrame, over: str, under: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """estimate, low, high (95 %) of sum(over) / sum(under), instances resampled, which draw by their content."""
+    found = bootstrap(rows, F.xxhash64(*rows.columns), {"a": F.col(over), "b": F.col(under)}, {"ratio": F.try_divide("a", "b")}, resamples, seed)
+    return found.select("estimate", "low", "high")
 
 
 def upper_tail(z: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import code_queries, context_queries, evaluation_queries, graph_queries, more_queries, text_queries
+from corpusloom.plans import code_queries, context_queries, evaluation_queries, graph_queries, index_queries, more_queries, text_queries
 
 FLAGSHIP = "bm25f_topk"
-_PARTS = (text_queries, graph_queries, context_queries, more_queries, code_queries, evaluation_queries)
+_PARTS = (text_queries, graph_queries, context_queries, more_queries, code_queries, evaluation_queries, index_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

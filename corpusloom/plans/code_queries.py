@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import facts as facts_
 from corpusloom.functions.text import area_tag, content_hash, is_test_path
-from corpusloom.operators import describe, graph, incremental, modules, render, requirements, retrieve, search
+from corpusloom.operators import describe, graph, incremental, modules, readback, render, requirements, retrieve, search
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
 from corpusloom.sources.files import render as rendered
@@ -165,11 +165,33 @@ def _grouped(f: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("slug", "path", "place"), cut(named)
 
 
-def source_file_documents(spark, d):
+def _source_documents(spark, d) -> DataFrame:
     f = cut(_described(facts(spark, d)))
     line = F.when(F.col("package") != "", F.concat(F.lit("Part of "), render.link(F.concat(F.lit("app/"), "package"), F.concat(F.lit("/subsystems/"), "package", F.lit(".md"))), F.lit(".")))
     needed = _needed(spark, d, f).join(requirements.requirements(_needs(spark, d)).select("slug", "title"), "slug")
-    return _hashed(render.source_files(f.withColumn("subsystem", F.col("package")).withColumn("group_line", line), _edges(f), _externals(f), needed.select("path", "title", "slug")))
+    return render.source_files(f.withColumn("subsystem", F.col("package")).withColumn("group_line", line), _edges(f), _externals(f), needed.select("path", "title", "slug"))
+
+
+def source_file_documents(spark, d):
+    return _hashed(_source_documents(spark, d))
+
+
+def edges_readback(spark, d):
+    """Edges as the documents of source files state them, and whether both ends agree."""
+    docs = cut(_source_documents(spark, d))
+    wrong = readback.asymmetric(docs, F.col("body")).select("src", "dst").distinct().withColumn("wrong", F.lit(True))
+    return readback.edges(docs, F.col("body")).join(wrong, ["src", "dst"], "left").select("src", "dst", "weight", F.array_join("names", ",").alias("names"), F.col("wrong").isNull().alias("symmetric"))
+
+
+def edges_asymmetric(spark, d):
+    """What is found where documents of every seventh module have lost what uses them, every eleventh's weights are stale, and every thirteenth is gone."""
+    docs = cut(_source_documents(spark, d))
+    i = F.regexp_extract("path", r"/m(\d+)\.py\.md$", 1)
+    number = F.when(i != "", i.cast("long"))
+    lost = F.regexp_replace("body", r"(?s)# Used by\n\n.*?(?=\n\n# |\z)", "# Used by\n\nNone.")
+    stale = F.regexp_replace("body", r"\(weight \d+\)", "(weight 9)")
+    body = F.when(F.coalesce(number % 7 == 0, F.lit(False)), lost).when(F.coalesce(number % 11 == 0, F.lit(False)), stale).otherwise(F.col("body"))
+    return readback.asymmetric(docs.withColumn("body", body).where(F.coalesce(number % 13 != 0, F.lit(True))), F.col("body"))
 
 
 def _group_parts(spark, d):
@@ -250,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_parse, code_findings, code_symbols, code_modules, code_edges, code_externals, file_descriptions, requirement_scan, requirement_matches,
-        source_file_documents, group_documents, requirement_documents, index_documents, root_document, rendered_text, scan_statistics, code_search, context_texts,
+        source_file_documents, edges_readback, edges_asymmetric, group_documents, requirement_documents, index_documents, root_document, rendered_text, scan_statistics, code_search, context_texts,
     )
 }
 _TEXT = " || chr(10) || ".join(
@@ -406,6 +428,12 @@ SQL = {
     "requirement_scan": _with("SELECT 'docs/need_' || n || '.md' AS source, slug, title, description, '# Need ' || n || chr(10) || chr(10) || description AS text FROM need"),
     "requirement_matches": _with("SELECT slug, path, array_to_string(reasons, ',') AS reasons FROM lk"),
     "source_file_documents": _with(_SOURCE_DOCS),
+    "edges_readback": _with("SELECT src, dst, weight, names, true AS symmetric FROM e"),
+    "edges_asymmetric": _with("""SELECT src, dst, fault FROM (
+      SELECT src, dst, a.i % 13 <> 0 AS down, b.i % 13 <> 0 AND b.i % 7 <> 0 AS up, CASE WHEN a.i % 7 <> 0 AND a.i % 11 = 0 THEN 9 ELSE weight END AS wa, CASE WHEN b.i % 11 = 0 THEN 9 ELSE weight END AS wb,
+             unnest([CASE WHEN down AND NOT up THEN 'not listed by the target' WHEN up AND NOT down THEN 'not listed by the source' WHEN down AND up AND wa <> wb THEN 'weights differ' END,
+                     CASE WHEN (down OR up) AND a.i % 13 = 0 THEN 'no such document' END, CASE WHEN (down OR up) AND b.i % 13 = 0 THEN 'no such document' END]) AS fault
+      FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst) WHERE fault IS NOT NULL"""),
     "group_documents": _with(_GROUP_DOCS),
     "requirement_documents": _with(_NEED_DOCS),
     "index_documents": _with(_INDEX_DOCS),

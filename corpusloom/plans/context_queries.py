@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from corpusloom.operators import retrieve, search
+from corpusloom.operators import order, retrieve, search
 from corpusloom.plans import graph_queries as gq
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
@@ -13,9 +12,9 @@ from corpusloom.plans.session import cut, table
 
 def _tables(spark, d):
     docs = tq.documents(spark, d).select("doc_id", "source", "n_chars")
-    by = W.partitionBy("source").orderBy("doc_id")
-    members = docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), F.row_number().over(by).alias("at"))
-    edges = docs.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(by).alias("dst"), (1 + F.col("n_chars") % 5).alias("weight")).where("dst is not null")
+    placed = cut(order.arranged(docs, ["source"], [F.col("doc_id")], following={"next": "doc_id"}, place="at"))  # met by several branches
+    members = placed.select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), "at")
+    edges = placed.select(F.col("doc_id").alias("src"), F.col("next").alias("dst"), (1 + F.col("n_chars") % 5).alias("weight")).where("dst is not null")
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     tags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "test"), F.when(F.col("quality") == 1, "security:reviewed")))
     concepts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), tags.alias("tags"), F.lit(1).alias("fan_in"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.functions import text
-from corpusloom.operators import community, evaluate, fusion, graph, metrics, requirements, retrieve, search
+from corpusloom.functions import front, text
+from corpusloom.operators import community, evaluate, fusion, graph, metrics, requirements, retrieve, search, stats
 from corpusloom.plans import code_queries as cq
 from corpusloom.plans import context_queries as xq
 from corpusloom.plans import graph_queries as gq
@@ -206,11 +209,74 @@ def hub_share(spark, d):
     return graph.hub_share(mass, graph.fan(e).select("node", "fan_in")).select("seed_set", F.round("hub_share", 6).alias("hub_share"))
 
 
+def front_fields(spark, d):
+    """Headers of five forms with documents' own first lines as values, read back by path; a malformed one and none give null."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.first_line(F.col("text")).alias("line"))
+    n = F.col("doc_id").cast("string")
+    quoted = F.regexp_replace(F.to_json(F.array("line")), r"\A\[|\]\z", "")
+    single = F.concat(F.lit("'"), F.replace("line", F.lit("'"), F.lit("''")), F.lit("'"))
+    flow = F.concat(F.lit("type: Note\ntitle: "), quoted, F.lit("\ntags: "), F.to_json(F.array("lang", "line")), F.lit("\nmeta: {size: "), n, F.lit(", done: true}"))
+    block = F.concat(F.lit("# made\ntype: 'Note'  # of one kind\ntitle: "), single, F.lit("\ntags:\n  - "), single, F.lit("\n  - "), quoted, F.lit("\nmeta:\n  size: "), n, F.lit("\n  owner:\n    name: x\n  done: false"))
+    plain = F.concat(F.lit("type: Plain\ntitle: Note "), n, F.lit("\ntags:\n- a:b\n- c\nmeta:\n- size: 1\n  done: ~\n- size: "), n)
+    broken = F.concat(F.lit("type: Note\ntitle: \"open "), n)
+    form = F.element_at(F.array(flow, block, plain, broken), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    header = F.when(F.pmod("doc_id", F.lit(5)) < 4, F.concat(F.lit("---\n"), form, F.lit("\n---\n\nbody"))).otherwise("no header")
+    read = docs.select("doc_id", front.front(header).alias("f"))
+    return read.select(
+        "doc_id", front.value(F.col("f"), "$.type").alias("type"), front.value(F.col("f"), "$.title").alias("title"), F.size(F.coalesce(front.value(F.col("f"), "$.tags", "array<string>"), F.array().cast("array<string>"))).cast("long").alias("tags"),
+        front.value(F.col("f"), "$.tags[1]").alias("second"), F.coalesce(front.value(F.col("f"), "$.meta.size", "long"), front.value(F.col("f"), "$.meta[1].size", "long")).alias("size"), front.value(F.col("f"), "$.meta.done", "boolean").alias("done"),
+    )
+
+
+#: Few resamples, so that SQL can draw the same; the statistics are those of returned lines, orders resampled.
+SHARED, SHARED_SEED = 40, 3
+
+
+def bootstrap_shared(spark, d):
+    """Intervals of two shares, a mean, a lift and a difference from one set of resamples of the orders."""
+    back = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(back * F.col("l_extendedprice")).alias("r"), F.sum("l_extendedprice").alias("t"), F.sum(back).alias("m"), F.count("*").alias("n"))
+    price, lines = F.try_divide("r", "t"), F.try_divide("m", "n")
+    found = stats.bootstrap(orders, F.col("l_orderkey"), {c: F.col(c) for c in ("r", "t", "m", "n")}, {"share of price": price, "share of lines": lines, "mean price": F.try_divide("t", "n"), "lift": F.try_divide(price, lines), "difference": price - lines}, SHARED, SHARED_SEED)
+    return found.select("statistic", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+
+
+#: The two settings of search that the loop compares: over metadata documents, and over weighted fields.
+SEARCHES = ("metadata", "fields")
+METHODS = ["random", "file bm25", "bm25 graph", *[f"{m} [{c}]" for c in SEARCHES for m in ("search", "context by task", "context bug", "fusion context", "fusion search")]]
+
+
+def evaluation_loop(spark, d):
+    """Thirteen rankings of every passage's documents against those that contain it, in one table.
+
+    Candidates are the documents that share a term with the passage; every ranking
+    is completed by BM25 over whole texts. The task of a passage is feature for even ids, else bug.
+    """
+    docs = tq.documents(spark, d)
+    tables = xq._tables(spark, d)
+    by_file = cut(search.best(search.bm25(docs, "doc_id", docs["text"], tq.asked(spark, d)), None).select("query_id", "doc", "rank"))
+    near = graph.distances(tables[2], by_file.where("rank <= 4").select(F.col("query_id").alias("seed_set"), F.col("doc").alias("node")), 2)
+    reached = near.select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance").join(by_file.where("rank <= 4").withColumnRenamed("rank", "seed"), ["query_id", "doc"], "left")
+    walk = reached.select("query_id", "doc", F.row_number().over(W.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("seed"), "doc")).alias("rank"))
+    single = {"random": evaluate.shuffled(by_file, "query_id", "doc"), "file bm25": by_file, "bm25 graph": fusion.complete(walk, by_file)}
+    even = F.pmod("query_id", F.lit(2)) == 0
+    for name, hits in zip(SEARCHES, (cut(search.best(tq.bm25_scores(spark, d), None)), tables[0])):
+        parts = {task: cut(retrieve.gather(hits, *tables[1:], task, retrieve.Settings(expansion="walk")).select("query_id", "doc", F.col("position").alias("rank"))) for task in ("feature", "bug")}
+        asked = parts["feature"].where(even).unionByName(parts["bug"].where(~even))
+        found, task, bug = (cut(fusion.complete(head, by_file)) for head in (hits.select("query_id", "doc", "rank"), asked, parts["bug"]))
+        single |= {f"search [{name}]": found, f"context by task [{name}]": task, f"context bug [{name}]": bug}
+        single |= {f"fusion context [{name}]": fusion.reciprocal_rank([by_file, task]), f"fusion search [{name}]": fusion.reciprocal_rank([by_file, found])}
+    ranked = reduce(DataFrame.unionByName, (r.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), F.lit(m).alias("method")) for m, r in single.items()))
+    methods = spark.createDataFrame([(m,) for m in METHODS], "method string")
+    return metrics.per_query(metrics.gold_ranks(ranked, tq.gold(spark, d), methods)).groupBy("method").agg(*metrics.means())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         length_summary, macro_recall, picked_documents, random_ranking, anchored_pairs, relation_flags, parse_error_causes, reason_components, merged_instances, seeded_walk, ablations,
         cochange_rankers, group_names, isolated_groups, community_invariants, patch_gold, markdown_parse, names_and_addresses, failure_modes, hub_share,
+        front_fields, bootstrap_shared, evaluation_loop,
     )
 }
 
@@ -229,6 +295,56 @@ def _gather(adaptive: int, strong: int, tests: int) -> str:
       gt AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, first, doc) AS position FROM z)"""
 
 
+def _context(p: str, hits: str, task: str) -> str:
+    """Items (q, doc, rank) of a task with the walk, from ranked hits, as CTEs with a prefix."""
+    own = lambda sql: sql.replace("FROM en", f"FROM {p}en").replace("JOIN en ", f"JOIN {p}en ")
+    more = {
+        "bug": xq._bfs_sql("src", "dst", 2, 60) + " UNION ALL SELECT q, src, 45, 3, place FROM en JOIN ed ON dst = doc SEMI JOIN tests ON tests.doc = src",
+        "feature": xq._FEATURE[xq._FEATURE.index(" UNION ALL SELECT q, dst, 40, 4") : xq._FEATURE.index("), br2 AS")],
+    }[task]
+    return f"""{p}h AS (SELECT q, doc, score, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank, max(score) OVER (PARTITION BY q) AS top FROM {hits} ANTI JOIN tests USING (doc)),
+      {p}en AS (SELECT q, doc, score, rank AS place FROM {p}h WHERE rank <= 4 AND (score >= 0.5 * top OR rank = 1)),
+      {p}br AS (SELECT q, doc, 100 + score AS score, 1 AS branch, place AS at_ FROM {p}en UNION ALL SELECT q, doc, 90 + score / top, 5, rank FROM {p}h ANTI JOIN {p}en USING (q, doc) WHERE score >= 0.5 * top {own(more)}),
+      {p}z AS (SELECT q, doc, max(score)::DOUBLE AS score, min((branch, at_)) AS first FROM {p}br ANTI JOIN tests USING (doc) GROUP BY q, doc),
+      {p}gt AS MATERIALIZED (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, first, doc) AS rank FROM {p}z)"""
+
+
+def _complete(name: str, head: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT f.q, f.doc, row_number() OVER (PARTITION BY f.q ORDER BY h.rank NULLS LAST, f.rank, f.doc) AS rank FROM fb f LEFT JOIN ({head}) h ON h.q = f.q AND h.doc = f.doc)"
+
+
+def _fused(name: str, other: str) -> str:
+    return f"{name} AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(1.0::DOUBLE / (60 + fb.rank) + 1.0::DOUBLE / (60 + o.rank), 12) DESC, fb.rank, doc) AS rank FROM fb JOIN {other} o USING (q, doc))"
+
+
+def _loop_sql() -> str:
+    okapi = tq._BM25.replace(tq._METADATA, "text")
+    for name in ("m0", "mtf", "mdf", "a", "ra"):  # CTEs of the same form beside those of the metadata
+        okapi = re.sub(rf"\b{name}\b(?! USING)", f"w{name}", okapi) if name != "a" else okapi.replace("\na AS", "\nwa AS").replace("FROM a)", "FROM wa)")
+    okapi = okapi.replace("JOIN mdf USING", "JOIN wmdf USING").replace("JOIN m0 USING", "JOIN wm0 USING")
+    parts = [_TABLES, tq._BM25, okapi, "fb AS MATERIALIZED (SELECT q, doc, rank FROM wra)", tq._GOLD,
+             "ws AS (SELECT q, doc, rank AS seed FROM fb WHERE rank <= 4)", "ww AS (SELECT q, doc, 0 AS d FROM ws UNION ALL SELECT q, dst, 1 FROM ws JOIN ed ON src = doc UNION ALL SELECT q, e2.dst, 2 FROM ws JOIN ed e1 ON e1.src = doc JOIN ed e2 ON e2.src = e1.dst)",
+             "wn AS (SELECT q, doc, min(d) AS d FROM ww GROUP BY ALL)", _complete("bg", "SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY d, seed NULLS LAST, doc) AS rank FROM wn LEFT JOIN ws USING (q, doc)"),
+             "rd AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY md5('0|' || q || '|' || doc), doc) AS rank FROM fb)"]
+    tables = ["rd", "fb", "bg"]
+    for p, hits in (("c1", "ra"), ("c2", "rb")):
+        parts += [_context(f"{p}f_", hits, "feature"), _context(f"{p}b_", hits, "bug"), _complete(f"{p}s", f"SELECT q, doc, rank FROM {hits}"),
+                  _complete(f"{p}t", f"SELECT * FROM {p}f_gt WHERE q % 2 = 0 UNION ALL SELECT * FROM {p}b_gt WHERE q % 2 <> 0"), _complete(f"{p}b", f"SELECT * FROM {p}b_gt"), _fused(f"{p}ft", f"{p}t"), _fused(f"{p}fs", f"{p}s")]
+        tables += [f"{p}s", f"{p}t", f"{p}b", f"{p}ft", f"{p}fs"]
+    r = " UNION ALL ".join(f"SELECT '{m}' AS method, q, doc, rank FROM {t}" for m, t in zip(METHODS, tables))
+    parts += [f"r AS ({r})", "ms AS (SELECT DISTINCT method FROM r)", tq._ALL[tq._ALL.index("gr AS") :].strip()]
+    return "WITH " + ", ".join(x.strip().rstrip(",") for x in parts) + f" SELECT method, {tq._MEANS} FROM pq GROUP BY method"
+
+
+def _poisson_sql(key: str, k: str) -> str:
+    """The number of copies that a row draws in a resample."""
+    whole, to = "18446744073709551616::UHUGEINT", lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    x = to(f"{key}::UHUGEINT + ({k} + {SHARED * SHARED_SEED})::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT % {whole}")
+    steps = f"(SELECT x2 AS x FROM (SELECT {to(f'xor(x1, x1 >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT')} AS x2 FROM (SELECT {to(f'xor(x0, x0 >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT')} AS x1 FROM (SELECT {x} AS x0))))"
+    cdf = ", ".join(repr(float(c)) + "::DOUBLE" for c in stats._POISSON)
+    return f"(SELECT len(list_filter([{cdf}], lambda c: c <= (xor(x, x >> 31) >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE)) FROM {steps})"
+
+
 _TABLES = xq._T[: xq._T.index("h0 AS (")].rstrip().rstrip(",")
 _ABLATION = " UNION ALL ".join(
     f"SELECT * FROM (WITH {_gather(a, s, t)} SELECT 'adaptive={a} strong={s} tests={t}' AS config, (SELECT count(*) FROM gt) AS items, (SELECT round(avg(r), 6) FROM (SELECT count(*) FILTER (position <= 10) / count(*) AS r FROM gold LEFT JOIN gt USING (q, doc) GROUP BY q)) AS recall10)"
@@ -276,5 +392,14 @@ SQL = {
       CASE doc_id % 6 WHEN 5 THEN 'unreachable' WHEN 4 THEN '3+' WHEN 3 THEN '3+' ELSE (doc_id % 6)::VARCHAR END AS distance, count(*) AS n FROM documents GROUP BY ALL""",
     "hub_share": f"""WITH {gq._E}, {gq._walk_sql(gq._steps(1.0, 0.5), 's', 0.15)}, fi AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS n FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), li AS (SELECT quantile_cont(n, 0.95) AS l FROM fi)
       SELECT seed_set, round(coalesce(sum(mass) FILTER (n >= l), 0) / sum(mass), 6) AS hub_share FROM r{gq.ROUNDS} LEFT JOIN fi USING (node) CROSS JOIN li GROUP BY seed_set""",
+    "front_fields": r"""WITH d AS (SELECT doc_id, doc_id % 5 AS f, coalesce(lang, '') AS lang, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents)
+      SELECT doc_id, CASE WHEN f < 2 THEN 'Note' WHEN f = 2 THEN 'Plain' END AS type, CASE WHEN f < 2 THEN line WHEN f = 2 THEN 'Note ' || doc_id END AS title, CASE WHEN f < 3 THEN 2 ELSE 0 END::BIGINT AS tags,
+             CASE WHEN f < 2 THEN line WHEN f = 2 THEN 'c' END AS second, CASE WHEN f < 3 THEN doc_id END AS size, CASE f WHEN 0 THEN true WHEN 1 THEN false END AS done FROM d""",
+    "bootstrap_shared": f"""WITH o AS (SELECT l_orderkey AS key, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END)::DOUBLE AS r, sum(l_extendedprice)::DOUBLE AS t, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS m, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
+      w AS (SELECT k, o.*, {_poisson_sql('key', 'k')} AS c FROM o, range({SHARED}) AS s(k)),
+      b AS (SELECT k, sum(c * r) AS r, sum(c * t) AS t, sum(c * m) AS m, sum(c * n) AS n FROM w GROUP BY k UNION ALL SELECT -1, sum(r), sum(t), sum(m), sum(n) FROM o),
+      s AS (SELECT k, unnest([{{'statistic': 'share of price', 'v': r / t}}, {{'statistic': 'share of lines', 'v': m / n}}, {{'statistic': 'mean price', 'v': t / n}}, {{'statistic': 'lift', 'v': (r / t) / (m / n)}}, {{'statistic': 'difference', 'v': r / t - m / n}}], recursive := true) FROM b)
+      SELECT statistic, round(max(v) FILTER (k = -1), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (k >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (k >= 0), 6) AS high FROM s GROUP BY statistic""",
+    "evaluation_loop": _loop_sql(),
     "community_invariants": f"WITH {gq._E} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, true AS once, 0::BIGINT AS disconnected, true AS no_worse",
 }

@@ -1,7 +1,9 @@
 """Search, fusion and evaluation over documents and benchmark passages.
 
 A document's name is its first line, its doc field the first 240 characters, its
-body the whole text; each benchmark passage is a query, and the documents that
+body the whole text; its metadata are title (first line), description (first
+paragraph), tags (language, source) and, as it is defined, the first 4,000
+characters of the text. Each benchmark passage is a query, and the documents that
 contain it are its gold.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.functions.text import STOP_WORDS, first_line, terms
+from corpusloom.functions.text import STOP_WORDS, first_line, one_paragraph, terms
 from corpusloom.operators import fusion, metrics, pages, search
 from corpusloom.plans.session import cut, spread, table
 
@@ -34,8 +36,12 @@ def fields(docs: DataFrame) -> dict:
     return {"name": first_line(docs["text"]), "doc": F.left(docs["text"], F.lit(240)), "body": docs["text"]}
 
 
+#: Fixed value: characters of a text in its metadata document.
+METADATA_TEXT = 4000
+
+
 def metadata(docs: DataFrame):
-    return F.concat_ws(" ", first_line(docs["text"]), F.left(docs["text"], F.lit(240)))
+    return F.concat_ws(" ", first_line(docs["text"]), one_paragraph(docs["text"]), docs["lang"], docs["source"], F.left(docs["text"], F.lit(METADATA_TEXT)))
 
 
 def bm25_scores(spark, d):
@@ -71,6 +77,12 @@ def bm25_topk(spark, d):
     return named(search.best(bm25_scores(spark, d), TOP), "score")
 
 
+def okapi_topk(spark, d):
+    """BM25 over the whole texts."""
+    docs = documents(spark, d)
+    return named(search.best(search.bm25(docs, "doc_id", docs["text"], asked(spark, d)), TOP), "score")
+
+
 def bm25f_topk(spark, d):
     return named(search.best(bm25f_scores(spark, d), TOP), "score")
 
@@ -205,7 +217,7 @@ def spearman_ranks(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens_tf, doc_freq_idf, bm25_topk, bm25f_topk, bm25f_field_share, tfidf_cosine_topk, boosted_search, adaptive_entries, strong_band, rrf_fusion,
+        tokens_tf, doc_freq_idf, bm25_topk, okapi_topk, bm25f_topk, bm25f_field_share, tfidf_cosine_topk, boosted_search, adaptive_entries, strong_band, rrf_fusion,
         interleave_hybrid, rank_completion, gold_pairs, retrieval_metrics, metrics_by_group, mcnemar_exact, recovered_pushed, venn_provenance,
         precision_lift, oracle_union, depth_curve, spearman_ranks,
     )
@@ -230,8 +242,9 @@ n AS (SELECT count(*) AS n FROM documents),
 q0 AS (SELECT item_id AS q, unnest({term_sql('text')}) AS term FROM benchmark),
 qt AS (SELECT q, term, count(*) AS times FROM q0 GROUP BY ALL)"""
 
+_METADATA = rf"concat_ws(' ', split_part(coalesce(text, ''), chr(10), 1), left(regexp_replace(trim(split_part(trim(text), chr(10) || chr(10), 1)), '\s+', ' ', 'g'), 240), lang, source, left(text, {METADATA_TEXT}))"
 _BM25 = f"""
-m0 AS (SELECT doc_id AS doc, {term_sql("concat_ws(' ', split_part(coalesce(text, ''), chr(10), 1), left(text, 240))")} AS ts FROM documents),
+m0 AS (SELECT doc_id AS doc, {term_sql(_METADATA)} AS ts FROM documents),
 mtf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ts) AS term FROM m0) GROUP BY ALL),
 mdf AS (SELECT term, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM mtf GROUP BY term),
 a AS (
@@ -296,6 +309,7 @@ SQL = {
     "tokens_tf": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({term_sql('text')}) AS term FROM documents) GROUP BY ALL",
     "doc_freq_idf": f"WITH t AS (SELECT DISTINCT doc_id, unnest({term_sql('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY term",
     "bm25_topk": _with(_BASE, _BM25) + f" SELECT {_OUT}, round(score, 6) AS score FROM ra WHERE rank <= 10",
+    "okapi_topk": _with(_BASE, _BM25.replace(_METADATA, "text")) + f" SELECT {_OUT}, round(score, 6) AS score FROM ra WHERE rank <= 10",
     "bm25f_topk": _with(_BASE, _BM25F) + f" SELECT {_OUT}, round(score, 6) AS score FROM rb WHERE rank <= 10",
     "tfidf_cosine_topk": _with(_BASE, _TFIDF) + f" SELECT {_OUT}, round(score, 6) AS score FROM rc WHERE rank <= 10",
     "bm25f_field_share": _with(_BASE, _BM25F) + ", s AS (SELECT q, doc, field, sum(part * fv / v) AS got FROM pt JOIN fp USING (doc, term) JOIN rb USING (q, doc) WHERE rank <= 10 GROUP BY ALL) SELECT q AS item_id, doc AS doc_id, field, round(got / sum(got) OVER (PARTITION BY q, doc), 6) AS share FROM s",

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text
 from corpusloom.operators.modules import latest
+from corpusloom.sources import git
 
 #: Directories that hold no sources.
 SKIPPED = (".git .hg .svn node_modules venv .venv env .env build dist __pycache__ .tox .nox .mypy_cache .pytest_cache site-packages .knowledge .eggs .idea .vscode").split()
@@ -84,8 +86,20 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def render(docs: DataFrame, fields: list[str], body: str = "body") -> DataFrame:
-    """path, text: front matter of the given fields (nulls left out) and body."""
-    lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f).cast("string"))) for f in fields]
+    """path, text: front matter of the given fields (nulls left out) and body.
+
+    Lists become lists; a text that would be read as something else is quoted.
+    """
+
+    def shown(f: str) -> Column:
+        if isinstance(docs.schema[f].dataType, T.ArrayType):
+            return F.to_json(f)
+        plain = F.col(f).cast("string")
+        quoted = F.regexp_replace(F.to_json(F.array(plain)), r"\A\[|\]\z", "")
+        unsafe = plain.rlike(r"\A[\s\[\]{},\"'#&*!|>%@`?-]|\A\z|\s\z|:\s|:\z|\s#|\n|\A[-+]?[0-9.]+\z|\A(?i:true|false|null|~)\z")
+        return F.when(unsafe, quoted).otherwise(plain)
+
+    lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), shown(f))) for f in fields]
     return docs.select("path", F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.col(body)).alias("text"))
 
 
@@ -111,16 +125,9 @@ def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def git_tree(spark: SparkSession, repo: str, commit: str = "HEAD", suffix: str = ".py") -> DataFrame:
-    """path, content of the blobs of a commit, read in tasks; the repository must lie where executors can read it."""
-    listed = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "-z", commit], check=True, capture_output=True).stdout.decode("utf-8", "replace")
-    entries = [(path, meta.split()[2]) for meta, path in (x.split("\t", 1) for x in listed.split("\0") if x) if meta.split()[1] == "blob" and path.endswith(suffix)]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [subprocess.run(["git", "-C", repo, "cat-file", "blob", sha], check=True, capture_output=True).stdout for sha in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["path", "content"])
-
-    return spark.createDataFrame(entries, "path string, sha string").mapInArrow(read, "path string, content binary")
+    """path, content of the files of a commit; the repository must lie where executors can read it."""
+    git.register(spark)
+    return spark.read.format("git_tree").option("repo", repo).option("commit", commit).option("suffix", suffix).load().select("path", "content")
 
 
 def git_log(spark: SparkSession, repo: str, commit: str = "HEAD") -> DataFrame:
