@@ -136,7 +136,7 @@ def pack(items: DataFrame, budget: int) -> DataFrame:
     left out.
     """
     cols = ["query_id", "doc", "position", "size"]
-    rows = items.select("query_id", "doc", F.col("position").cast("long").alias("position"), F.col("size").cast("long").alias("size"))
+    rows = cut(items.select("query_id", "doc", F.col("position").cast("long").alias("position"), F.col("size").cast("long").alias("size")))  # met several times
     left, taken = rows.where(F.col("size") <= budget).withColumn("room", F.lit(budget).cast("long")), None
     while True:
         large = F.col("size") * 2 > F.col("room")

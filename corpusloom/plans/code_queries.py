@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import facts as facts_
-from corpusloom.functions.text import area_tag, content_hash, is_test_path
+from corpusloom.functions.text import area_tag, content_hash, first_line, is_test_path
 from corpusloom.operators import describe, graph, incremental, modules, readback, render, requirements, retrieve, search
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
@@ -87,6 +87,48 @@ def code_findings(spark, d):
     return facts(spark, d).select("path", F.explode("findings").alias("f")).select("path", F.col("f.line").cast("long").alias("line"), "f.rule", "f.severity", "f.detail")
 
 
+#: Forms of the rules and near misses: a statement, and the rule, severity and name that are found in it.
+FORMS = [
+    ("sp.run(x, shell=True)", "shell-exec", "high", "subprocess.run"),
+    ('sp.run(x, shell="True")', "process-exec", "info", "subprocess.run"),
+    ("sp.Popen(x, shell=False)", "process-exec", "info", "subprocess.Popen"),
+    ("run_it(x)", "shell-exec", "high", "os.system"),
+    ("run(x)", "process-exec", "info", "subprocess.run"),
+    ("yl(x)", "unsafe-yaml", "medium", "yaml.load"),
+    ("yaml.load(x, Loader=yaml.SafeLoader)", None, None, None),
+    ("yaml.safe_load(x)", None, None, None),
+    ('requests.get(x, verify="False")', None, None, None),
+    ("requests.get(x, verify=False)", "tls-verify-disabled", "high", "requests.get"),
+    ("md5(x)", "weak-hash", "medium", "hashlib.md5"),
+    ("hashlib.sha256(x)", None, None, None),
+    ("p.load(x)", "unsafe-deserialization", "high", "pickle.load"),
+    ('c.execute("select %s" % x)', "sql-string-building", "high", "c.execute"),
+    ('c.execute("select ?", (x,))', None, None, None),
+    ('c.execute("a {}".format(x))', "sql-string-building", "high", "c.execute"),
+    ('password = "short"', None, None, None),
+    ('password = "two words here"', None, None, None),
+    ('self.api_key = "abcdefghij"', "hardcoded-secret", "high", "self.api_key"),
+    ("evaluate(x)", None, None, None),
+    ("tempfile.mktemp()", "insecure-tempfile", "medium", "tempfile.mktemp"),
+    ("tempfile.mkstemp()", None, None, None),
+    ("exec(x)", "dynamic-code-exec", "high", "exec"),
+    ("obj.eval(x)", None, None, None),
+    ('c.executemany("a" + x)', "sql-string-building", "high", "c.executemany"),
+]
+
+
+def code_rule_forms(spark, d):
+    """Findings in modules with one form of a rule or a near miss each, imported under other names, behind a docstring from a document's first line."""
+    docs = table(spark, d, "documents").select("doc_id", first_line(F.col("text")).alias("line"))
+    form = F.element_at(F.array(*[F.lit(f[0]) for f in FORMS]), (F.pmod("doc_id", F.lit(len(FORMS))) + 1).cast("int"))
+    quoted = F.regexp_replace(F.to_json(F.array("line")), r"\A\[|\]\z", "")
+    imports = "import hashlib, os, pickle as p, subprocess as sp, tempfile, yaml, requests\nfrom os import system as run_it\nfrom subprocess import run\nfrom yaml import load as yl\nfrom hashlib import md5\n"
+    source = F.concat(quoted, F.lit("\n" + imports + "\n\ndef f(x, c, self, obj):\n    "), form, F.lit("\n"))
+    files = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content"))
+    found = facts_.facts(files).select("path", "parser", F.explode_outer("findings").alias("f"))
+    return found.select("path", "parser", F.col("f.line").cast("long").alias("line"), "f.rule", "f.severity", "f.detail")
+
+
 def code_symbols(spark, d):
     return facts(spark, d).select("path", F.explode("symbols").alias("s")).select("path", "s.kind", "s.name", F.col("s.line").cast("long").alias("line"), "s.doc", F.array_join("s.methods", ",").alias("methods"))
 
@@ -271,7 +313,7 @@ def context_texts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        code_parse, code_findings, code_symbols, code_modules, code_edges, code_externals, file_descriptions, requirement_scan, requirement_matches,
+        code_parse, code_findings, code_rule_forms, code_symbols, code_modules, code_edges, code_externals, file_descriptions, requirement_scan, requirement_matches,
         source_file_documents, edges_readback, edges_asymmetric, group_documents, requirement_documents, index_documents, root_document, rendered_text, scan_statistics, code_search, context_texts,
     )
 }
@@ -420,6 +462,9 @@ _BLOCK = "'### ' || rb.doc || chr(10) || chr(10) || description || chr(10) || ch
 SQL = {
     "code_parse": _with("SELECT path, parser, loc::BIGINT AS loc, doc, failed, imports::BIGINT AS imports, symbols::BIGINT AS symbols FROM f"),
     "code_findings": _with("SELECT path, line::BIGINT AS line, rule, severity, detail FROM fd"),
+    "code_rule_forms": "SELECT 'f' || doc_id || '.py' AS path, 'ast' AS parser, CASE WHEN rule IS NOT NULL THEN 10 END::BIGINT AS line, rule, severity, detail FROM documents JOIN (VALUES "
+    + ", ".join(f"({k}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in form[1:]) + ")" for k, form in enumerate(FORMS))
+    + f") AS t(k, rule, severity, detail) ON doc_id % {len(FORMS)} = k",
     "code_symbols": _with("SELECT path, 'class' AS kind, 'C' || i AS name, 6::BIGINT AS line, CASE WHEN i % 12 = 11 THEN '' ELSE 'Keeps ' || i || '.' END AS doc, CASE WHEN i % 12 = 11 THEN '' ELSE '__init__,run' END AS methods FROM m UNION ALL SELECT path, 'function', 'f' || i, 12, '', '' FROM m"),
     "code_modules": _with("SELECT path, 'app.' || package || '.m' || i AS module, '' AS aliases, false AS is_package FROM m UNION ALL SELECT path, 'app.' || package, '', true FROM inits UNION ALL SELECT 'app/__init__.py', 'app', '', true"),
     "code_edges": _with("SELECT src, dst, weight, names FROM e"),

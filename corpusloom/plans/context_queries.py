@@ -11,7 +11,7 @@ from corpusloom.plans.session import cut, table
 
 
 def _tables(spark, d):
-    docs = tq.documents(spark, d).select("doc_id", "source", "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     placed = cut(order.arranged(docs, ["source"], [F.col("doc_id")], following={"next": "doc_id"}, place="at"))  # met by several branches
     members = placed.select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), "at")
     edges = placed.select(F.col("doc_id").alias("src"), F.col("next").alias("dst"), (1 + F.col("n_chars") % 5).alias("weight")).where("dst is not null")

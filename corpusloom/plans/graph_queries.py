@@ -108,11 +108,6 @@ def components(spark, d):
     return connected_components(lines.join(least, "o").select("hub", "part"), "hub", "part")
 
 
-#: Fixed small inputs, also spelled out in the SQL.
-_FILES = [("pkg/__init__.py", "pkg", ["lib.pkg"], True), ("pkg/a.py", "pkg.a", ["lib.pkg.a"], False), ("pkg/sub/__init__.py", "pkg.sub", [], True), ("pkg/sub/b.py", "pkg.sub.b", [], False), ("old/a.py", "old.a", ["pkg.a", "a"], False), ("zed/a.py", "zed.a", ["a"], False)]
-_HOPS = [("pkg", "X", "pkg.sub"), ("pkg.sub", "X", "pkg.sub.b"), ("pkg", "Y", "pkg.a"), ("pkg", "Z", "pkg"), ("a0", "W", "a1"), ("a1", "W", "a2"), ("a2", "W", "a3"), ("a3", "W", "a4")]
-
-
 def longest_prefix_join(spark, d):
     """Page paths and the deepest directory that is itself a page or holds ten pages."""
     p = table(spark, d, "pages").select(F.regexp_replace(F.regexp_extract("url", r"://([^?#]*)", 1), "/+$", "").alias("name")).where("name <> ''")
@@ -121,13 +116,22 @@ def longest_prefix_join(spark, d):
 
 
 def module_index_priority(spark, d):
-    return modules.module_index(spark.createDataFrame(_FILES, "path string, module string, aliases array<string>, is_package boolean"))
+    """Files of documents: three share a canonical name, many an alias, and aliases are canonical names of others."""
+    i = F.col("doc_id")
+    name = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    files = table(spark, d, "documents").select(
+        F.concat(F.coalesce("source", F.lit("none")), name("/m", i), F.lit(".py")).alias("path"), name("app.m", F.expr("doc_id div 3")).alias("module"),
+        F.array(name("lib.m", F.pmod(i, F.lit(50))), name("app.m", F.expr("doc_id div 2"))).alias("aliases"), F.lit(False).alias("is_package"),
+    )
+    return modules.module_index(files)
 
 
 def reexport_chain(spark, d):
-    hops = spark.createDataFrame(_HOPS, "path string, name string, target string")
-    defined = spark.createDataFrame([("pkg.sub.b", "X"), ("pkg.a", "Y")], "path string, name string")
-    return modules.reexport_sources(hops.select("path", "name").distinct(), hops, defined)
+    """File i passes name k on from file i div (2 + k), unless it defines the name itself."""
+    each = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
+    named = each.select(F.concat(F.lit("f"), F.col("i").cast("string")).alias("path"), F.concat(F.lit("x"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("f"), F.expr("i div (2 + k)").cast("string")).alias("target"), (F.pmod("i", F.lit(7)) == F.col("k")).alias("own"))
+    hops = named.select("path", "name", "target")
+    return modules.reexport_sources(hops.select("path", "name").distinct(), hops, named.where("own").select("path", "name"))
 
 
 def _links(spark, d):
@@ -309,8 +313,11 @@ SQL = {
     "hub_damped_ppr": _ppr(1.0, 1.0, True),
     "longest_prefix_join": r"""WITH p AS (SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS name FROM pages), v AS (SELECT name, string_split(name, '/') AS s FROM p WHERE name <> ''),
       x AS (SELECT name, unnest(list_transform(range(1, len(s) + 1), lambda n: array_to_string(s[1:n], '/'))) AS key FROM v), k AS (SELECT key FROM x GROUP BY key HAVING count(*) >= 10) SELECT name, arg_max(key, length(key)) AS prefix FROM x SEMI JOIN k USING (key) GROUP BY name""",
-    "module_index_priority": "SELECT * FROM (VALUES ('pkg', 'pkg/__init__.py'), ('lib.pkg', 'pkg/__init__.py'), ('pkg.a', 'pkg/a.py'), ('lib.pkg.a', 'pkg/a.py'), ('pkg.sub', 'pkg/sub/__init__.py'), ('pkg.sub.b', 'pkg/sub/b.py'), ('old.a', 'old/a.py'), ('a', 'old/a.py'), ('zed.a', 'zed/a.py')) t(module, path)",
-    "reexport_chain": "WITH RECURSIVE h(path, name, target) AS (VALUES ('pkg', 'X', 'pkg.sub'), ('pkg.sub', 'X', 'pkg.sub.b'), ('pkg', 'Y', 'pkg.a'), ('a0', 'W', 'a1'), ('a1', 'W', 'a2'), ('a2', 'W', 'a3'), ('a3', 'W', 'a4')), r AS (SELECT path, name, target, 1 AS n FROM h UNION ALL SELECT r.path, r.name, h.target, n + 1 FROM r JOIN h ON h.path = r.target AND h.name = r.name WHERE n < 3) SELECT path, name, arg_max(target, n) AS source FROM r GROUP BY ALL",
+    "module_index_priority": """WITH f AS (SELECT coalesce(source, 'none') || '/m' || doc_id || '.py' AS path, doc_id AS i FROM documents), c AS (SELECT 'app.m' || (i // 3) AS module, max(path) AS path FROM f GROUP BY 1),
+      a AS (SELECT module, min(path) AS path FROM (SELECT 'lib.m' || (i % 50) AS module, path FROM f UNION ALL SELECT 'app.m' || (i // 2), path FROM f) GROUP BY 1)
+      SELECT module, coalesce(c.path, a.path) AS path FROM c FULL JOIN a USING (module)""",
+    "reexport_chain": """WITH RECURSIVE h AS (SELECT DISTINCT 'f' || doc_id AS path, 'x' || k AS name, 'f' || (doc_id // (2 + k)) AS target FROM documents, range(2) t(k) WHERE doc_id % 7 <> k AND doc_id // (2 + k) <> doc_id),
+      r AS (SELECT path, name, target, 1 AS n FROM h UNION ALL SELECT r.path, r.name, h.target, n + 1 FROM r JOIN h ON h.path = r.target AND h.name = r.name WHERE n < 3) SELECT path, name, arg_max(target, n) AS source FROM r GROUP BY ALL""",
     "link_extract": f"WITH {_LINKS} SELECT page, ordinal, target FROM l",
     "broken_links": f"WITH {_LINKS}, k AS (SELECT '/' || unnest(string_split(split_part(coalesce(text, ''), chr(10), 1), ' ')) AS target FROM documents) SELECT page, ordinal, target FROM l ANTI JOIN k USING (target)",
     "directory_rollup": "WITH v AS (SELECT string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS s FROM pages WHERE contains(url, '://')), x AS (SELECT unnest(list_transform(range(1, len(s) + 1), lambda n: {'parent': array_to_string(s[1:n - 1], '/'), 'child': array_to_string(s[1:n], '/')}), recursive := true) FROM v) SELECT parent, count(DISTINCT child) AS children, count(*) AS entries FROM x GROUP BY parent",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import facts as facts_
 from corpusloom.functions.text import area_tag, is_test_path, relative_module, sections
-from corpusloom.operators import community, describe, graph, incremental, index, modules, render, requirements, retrieve, search
+from corpusloom.operators import community, describe, graph, incremental, modules, render, requirements, retrieve, search, segments
 from corpusloom.plans.session import cut
 from corpusloom.sources import files
 
@@ -94,21 +96,26 @@ def documents(spark: SparkSession, tree: DataFrame, needs: DataFrame | None, mos
 
 def scan(spark: SparkSession, root: str, out: str, dry_run: bool = False, **given) -> tuple[DataFrame, DataFrame]:
     """(changes, statistics): publishes the documents of a code tree at ``out``. Options not given are those of the last scan."""
+    began = time.monotonic()
     options = files.sticky_options(spark, f"{out}/options.json", DEFAULTS, given)
     tree = files.code_tree(spark, root, tuple(options["exclude"]))
     needs = files.requirement_texts(spark, f"{root}/{options['docs']}") if options["docs"] else None
     cache_name = files.read_text(spark, f"{out}/facts/CURRENT")
     cache = spark.read.parquet(f"{out}/facts/{cache_name}") if cache_name else None
     docs, f, stats = documents(spark, tree, needs, options["max_size"], root.rstrip("/").rsplit("/", 1)[-1], cache)
-    text = files.render(docs, ["type", "title", "description"])
+    docs = cut(docs)
+    text = files.render(docs, ["type", "title", "description", "tags"])
     changes = files.publish(docs.drop("body").join(text, "path"), f"{out}/documents", dry_run)
     if not dry_run:
         files.replace_table(f, f"{out}/facts")
         published = files.current_table(spark, f"{out}/documents", files.PUBLISHED)
         searchable = _searchable(published)
         digest = incremental.digest(published, [], "path", "hash").first()["digest"]
-        index.build(searchable, "path", _fields(searchable), f"{out}/index", digest)
-    return changes, stats
+        segments.refresh(searchable, "path", _fields(searchable), f"{out}/index", digest)
+    changed = changes.agg(F.count_if(F.col("status") != "removed").alias("changed_documents"))
+    stats = stats.join(F.broadcast(docs.agg(F.count("*").alias("documents")))).join(F.broadcast(changed))  # one row each
+    stats = stats.join(F.broadcast(facts_.cache_hits(tree, cache)))  # one row
+    return changes, stats.withColumn("seconds_total", F.lit(round(time.monotonic() - began, 3)))
 
 
 def check(spark: SparkSession, root: str, out: str) -> bool:
@@ -133,8 +140,8 @@ def context(spark: SparkSession, out: str, queries: DataFrame, task: str, budget
     digest = incremental.digest(published, [], "path", "hash").first()["digest"]
     docs = _searchable(published)
     asked = search.query_terms(queries, "query_id", queries["text"])
-    kept = index.load(spark, f"{out}/index", digest, docs.count())
-    found = index.scores(kept, asked) if kept is not None else search.search(docs, "path", _fields(docs), asked)
+    found = segments.scores(spark, f"{out}/index", asked) if segments.usable(spark, f"{out}/index", digest) else None
+    found = search.search(docs, "path", _fields(docs), asked) if found is None else found
     hits = cut(search.best(found, None))
     rows = published.where("type = 'Source File'")
     weights = rows.select("path", F.explode(F.regexp_extract_all(F.coalesce(F.try_element_at(sections(F.col("text")), F.lit("Depends on")), F.lit("")), F.lit(r"(\]\(/[^)\s]+\)[^\n]*\(weight \d+\))"), 1)).alias("line"))

@@ -5,8 +5,11 @@ import subprocess
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.__main__ import main, parser
-from corpusloom.operators import community, index, requirements, retrieve, search
+from corpusloom.functions import front
+from corpusloom.operators import community, requirements, retrieve, search, segments
 from corpusloom.plans import scan as scan_
 from corpusloom.sources import files
 
@@ -36,6 +39,7 @@ def test_scan_check_context(spark, root, tmp_path, capsys):
     row = stats.first()
     assert (row.files, row.parse_errors, row.requirements, row.security_findings) == (7, 1, 1, 1) and row.edges >= 4
     docs = {r.path: r for r in files.current_table(spark, f"{out}/documents", files.PUBLISHED).collect()}
+    assert (row.parse_cache_hits, row.documents, row.changed_documents) == (0, len(docs), len(docs)) and row.seconds_total > 0
     assert set(changes.where("status = 'added'").toPandas().path) == set(docs)
     cart = docs["/files/shop/cart.py.md"]
     assert cart.description == "Keeps what a customer wants." and "`class Cart`" in cart.text and "[Carts add up](/requirements/need.md)" in cart.text
@@ -44,8 +48,11 @@ def test_scan_check_context(spark, root, tmp_path, capsys):
     (tmp_path / "repo/tools/lonely.py").unlink()
     (tmp_path / "repo/shop/tax.py").write_text("def rate(x):\n    return 2 * x\n")
     assert not scan_.check(spark, root, out)
-    again, _ = scan_.scan(spark, root, out)  # options are those of the last scan
-    status = {r.path: r.status for r in again.collect()}
+    again, after = scan_.scan(spark, root, out)  # options are those of the last scan
+    status, row = {r.path: r.status for r in again.collect()}, after.first()
+    assert row.parse_cache_hits == row.files - 1 and row.changed_documents == sum(x != "removed" for x in status.values()) < row.documents
+    tags = files.current_table(spark, f"{out}/documents", files.PUBLISHED).where("path = '/files/shop/tax.py.md'").select("tags", front.value(front.front(F.col("text")), "$.tags", "array<string>").alias("read")).first()
+    assert tags.read == tags.tags and "python" in tags.read
     assert status["/files/tools/lonely.py.md"] == "removed" and status["/files/shop/tax.py.md"] == "modified" and "/files/shop/cart.py.md" not in status
     now = {r.path: r for r in files.current_table(spark, f"{out}/documents", files.PUBLISHED).collect()}
     assert "/files/tools/lonely.py.md" not in now and now["/files/shop/cart.py.md"].timestamp == cart.timestamp
@@ -59,11 +66,11 @@ def test_scan_check_context(spark, root, tmp_path, capsys):
 def test_index_is_kept_for_its_content_only(spark, tmp_path):
     docs = spark.createDataFrame([("a", "red cart"), ("b", "blue cart cart")], "id string, body string")
     path = str(tmp_path / "index")
-    index.build(docs, "id", {"body": docs["body"]}, path, "d1")
-    assert index.load(spark, path, "d2", 2) is None and index.load(spark, path, "d1", 3) is None and index.load(spark, str(tmp_path / "no"), "d1", 2) is None
+    segments.refresh(docs, "id", {"body": docs["body"]}, path, "d1")
+    assert segments.usable(spark, path, "d1") and not segments.usable(spark, path, "d2") and not segments.usable(spark, str(tmp_path / "no"), "d1")
     q = spark.createDataFrame([(1, "cart red")], "q int, t string")
     asked = search.query_terms(q, "q", q["t"])
-    kept = {r.doc: round(r.score, 9) for r in index.scores(index.load(spark, path, "d1", 2), asked).collect()}
+    kept = {r.doc: round(r.score, 9) for r in segments.scores(spark, path, asked).collect()}
     assert kept == {r.doc: round(r.score, 9) for r in search.search(docs, "id", {"body": docs["body"]}, asked).collect()}
 
 
