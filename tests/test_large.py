@@ -61,7 +61,7 @@ def test_shuffled_and_ranked(spark):
     assert got == sorted((f"n{i}" for i in range(100)), key=lambda n: (value(n) is None, -(value(n) or 0), n))
 
 
-@pytest.mark.parametrize(("few", "ranges"), [(1 << 16, 256), (8, 4), (1, 2)])
+@pytest.mark.parametrize(("few", "ranges"), [(1 << 16, 256), (6, 8)])
 def test_quantiles_equal_numpy(spark, few, ranges):
     rng = np.random.default_rng(4)
     parts = {"even": rng.normal(size=900), "ties": rng.integers(0, 5, 700).astype(float), "one": np.array([3.5]), "heavy": np.concatenate([np.full(800, 10.0), rng.integers(0, 9, 60)]), None: np.arange(11.0)}
