@@ -17,7 +17,7 @@ Index: every vector goes down every tree and lies in one leaf of each.
 Search: all trees of the forest share one priority queue. The branch with the
 smallest sum of squared margins is taken next, whichever tree it belongs to. A
 query's scores with the sample are known, so the search ends as soon as its leaves
-hold ``RECALL`` of the k best vectors of the sample: after few leaves in a
+hold ``RECALL`` of the ``AIM`` * k best vectors of the sample: after few leaves in a
 cluster, after most of them where vectors spread evenly. All vectors together are
 nearer to a query than a sample of them, so their k best lie in the leaves that are
 taken first. With ``share`` the search ends when the leaves hold that many times the
@@ -57,7 +57,7 @@ from pyspark.sql import Window as W
 from corpusloom.llm import textblocks as tb
 from corpusloom.plans.session import checkpoint_ready, cut
 
-TREES, DEPTH, SAMPLE, RECALL = 8, 7, 16384, 0.95
+TREES, DEPTH, SAMPLE, RECALL, AIM = 8, 7, 16384, 0.95, 2
 #: Vectors of a leaf and queries that one task compares; leaves between two looks at whether the search can end.
 TILE, QUERIES, LOOK = 4096, 2048, 8
 
@@ -97,7 +97,7 @@ class Forest:
         heapq.heapify(queue)
         found, held, pushed, best, looked, met = [], 0, len(queue), np.zeros(0), 0, 0
         seen, wanted = np.zeros(len(self.sample), dtype=bool), np.zeros(len(self.sample), dtype=bool)
-        order = np.argpartition(-scores, min(k, len(scores)) - 1)[:k] if len(scores) else np.zeros(0, np.int64)
+        order = np.argpartition(-scores, min(AIM * k, len(scores)) - 1)[: AIM * k] if len(scores) else np.zeros(0, np.int64)
         wanted[order[np.isfinite(scores[order])]] = True
         enough = math.ceil(recall * int(wanted.sum()) - 1e-9)
         sides, costs = (margins >= 0).astype(np.int64).tolist(), (margins * margins).tolist()
