@@ -169,6 +169,22 @@ def secret_findings(spark, d):
     return _findings(spark, d)
 
 
+#: Lines that break a rule or nearly do, as texts have them.
+LINES = [
+    "subprocess.run(x, shell=True)", "subprocess.run(x, shell=False)", "y = subprocess.Popen(x)", "os.popen(x)", "yaml.load(x)", "yaml.load(x, Loader=yaml.SafeLoader)", "yaml.safe_load(x)", "requests.get(u, verify=False)",
+    "requests.get(u, verify=Falsehood)", "hashlib.sha1(x)", "hashlib.sha256(x)", "pickle.load(f)", "marshal.dumps(x)", "eval(x)", "evaluate(x)", "tempfile.mktemp()", "tempfile.mkdtemp()",
+    "c.execute('select %s' % x)", "c.execute('select ?', x)", "c.executemany(f'{x}')", "c.execute('a {}'.format(x))", "c.raw(head + x)", "api_key = 'abcdefgh1'", "api_key = 'short'", "PASSWORD='longenough'",
+]
+
+
+def findings_in_lines(spark, d):
+    """Findings of documents with one such line at their end."""
+    docs = table(spark, d, "documents")
+    line = F.element_at(F.array(*map(F.lit, LINES)), (F.pmod("doc_id", F.lit(len(LINES))) + 1).cast("int"))
+    found = docs.select("doc_id", F.explode(text_findings(F.concat_ws("\n", "text", line))).alias("f"))
+    return found.select("doc_id", "f.rule", "f.severity", F.col("f.line").cast("long").alias("line"))
+
+
 def findings_by_rule(spark, d):
     return _findings(spark, d).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
@@ -255,7 +271,7 @@ QUERIES = {
     for f in (
         graph_edges, fan_in_out, undirected_edges, group_edges, cohesion, modularity, bfs_depth, shortest_paths, pagerank, ppr_bug, ppr_refactor, hub_damped_ppr,
         components, longest_prefix_join, module_index_priority, reexport_chain, link_extract, broken_links, directory_rollup, requirement_links, secret_findings,
-        findings_by_rule, snapshot_diff, stale_check, timestamp_carry_forward, corpus_digest, latest_record_wins, community_jaccard_match, moved_members,
+        findings_by_rule, findings_in_lines, snapshot_diff, stale_check, timestamp_carry_forward, corpus_digest, latest_record_wins, community_jaccard_match, moved_members,
         cochange_pairs, cochange_jaccard, cochange_recall,
     )
 }
@@ -288,7 +304,8 @@ def _ppr(along, against, damped=False):
     return f"WITH {_E}, {_walk_sql(_steps(along, against, damped), 's', 0.15)} SELECT seed_set, node, round(mass, 6) AS mass FROM r{ROUNDS}"
 
 
-_FIND = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, '{}' AS severity, line, l FROM x WHERE regexp_matches(l, '{}')".format(r, s, p.replace("'", "''")) for r, s, p in FINDINGS)
+_quoted = lambda x: x.replace("'", "''")
+_FIND = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity, line, l FROM x WHERE regexp_matches(l, '{_quoted(p)}')" + (f" AND NOT regexp_matches(l, '{_quoted(w)}')" if w else "") for r, s, p, w in FINDINGS)
 _FIND = f"WITH y AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM y), f AS ({_FIND})"
 _SNAP = """now_ AS (SELECT doc_id AS path, 'sha256:' || left(sha256(text), 16) AS hash FROM documents),
 then_ AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -doc_id ELSE doc_id END AS path, 'sha256:' || left(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END), 16) AS hash FROM documents WHERE doc_id % 10 <> 0),
@@ -324,6 +341,7 @@ SQL = {
     "requirement_links": f"WITH a AS (SELECT DISTINCT item_id, unnest({term_sql('text')}) AS term FROM benchmark), b AS (SELECT DISTINCT doc_id, unnest({term_sql(chr(115) + 'plit_part(coalesce(text, ' + chr(39) * 2 + '), chr(10), 1)')}) AS term FROM documents) SELECT item_id, doc_id, count(*) AS shared FROM a JOIN b USING (term) WHERE length(term) >= 7 GROUP BY ALL",
     "secret_findings": f"{_FIND} SELECT doc_id, rule, severity, line FROM f",
     "findings_by_rule": f"{_FIND} SELECT rule, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM f GROUP BY ALL",
+    "findings_in_lines": _FIND.replace("string_split(text, chr(10))", "string_split(concat_ws(chr(10), text, [" + ", ".join(f"'{_quoted(x)}'" for x in LINES) + f"][doc_id % {len(LINES)} + 1]), chr(10))") + " SELECT doc_id, rule, severity, line FROM f",
     "snapshot_diff": f"WITH {_SNAP} SELECT path, status FROM df",
     "stale_check": f"WITH {_SNAP} SELECT bool_or(status <> 'unchanged') AS stale FROM df",
     "timestamp_carry_forward": f"WITH {_SNAP} SELECT n.path, n.hash, CASE WHEN t.hash = n.hash THEN '2020-01-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS timestamp FROM now_ n LEFT JOIN then_ t USING (path)",

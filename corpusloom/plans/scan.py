@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from corpusloom.functions import facts as facts_
 from corpusloom.functions.text import area_tag, is_test_path, relative_module, sections
 from corpusloom.operators import community, describe, graph, incremental, modules, render, requirements, retrieve, search, segments
 from corpusloom.plans.session import cut
-from corpusloom.sources import files
+from corpusloom.sources import files, git
 
 #: Rounds of PageRank, which only orders the members of groups here.
 ROUNDS = 25
@@ -94,11 +97,14 @@ def documents(spark: SparkSession, tree: DataFrame, needs: DataFrame | None, mos
     return docs, f, stats.withColumn("requirements", F.lit(n_needs))
 
 
-def scan(spark: SparkSession, root: str, out: str, dry_run: bool = False, **given) -> tuple[DataFrame, DataFrame]:
-    """(changes, statistics): publishes the documents of a code tree at ``out``. Options not given are those of the last scan."""
+def scan(spark: SparkSession, root: str, out: str, dry_run: bool = False, tree: DataFrame | None = None, **given) -> tuple[DataFrame, DataFrame]:
+    """(changes, statistics): publishes the documents of a code tree at ``out``. Options not given are those of the last scan.
+
+    tree: path, content of the sources, where they are not those below the root.
+    """
     began = time.monotonic()
     options = files.sticky_options(spark, f"{out}/options.json", DEFAULTS, given)
-    tree = files.code_tree(spark, root, tuple(options["exclude"]))
+    tree = files.code_tree(spark, root, tuple(options["exclude"])) if tree is None else files.sources_only(tree, tuple(options["exclude"]))
     needs = files.requirement_texts(spark, f"{root}/{options['docs']}") if options["docs"] else None
     cache_name = files.read_text(spark, f"{out}/facts/CURRENT")
     cache = spark.read.parquet(f"{out}/facts/{cache_name}") if cache_name else None
@@ -118,6 +124,34 @@ def scan(spark: SparkSession, root: str, out: str, dry_run: bool = False, **give
     return changes, stats.withColumn("seconds_total", F.lit(round(time.monotonic() - began, 3)))
 
 
+def code_tag() -> str:
+    """Twelve digits of the hash of this package's sources, so that what it has made is known to be of this code."""
+    place = Path(__file__).parents[1]
+    digest = hashlib.sha256()
+    for path in sorted(place.rglob("*.py")):
+        digest.update(f"{path.relative_to(place)}\0".encode() + path.read_bytes())
+    return digest.hexdigest()[:12]
+
+
+def bundle(spark: SparkSession, repo: str, commit: str, store: str, **given) -> tuple[str, bool, dict]:
+    """(folder, whether it was there, statistics of its scan) of the documents of a repository's commit.
+
+    Kept by repository, commit, this package's code and the options. A folder counts once
+    its scan is written down at its end, so one that was broken off is made again.
+    """
+    sha = git.resolved(repo, commit)
+    name = repo.rstrip("/").rsplit("/", 1)[-1]
+    options = hashlib.sha256(json.dumps(given, sort_keys=True).encode()).hexdigest()[:8]
+    folder = f"{store}/{name}__{sha[:12]}__{code_tag()}__{options}"
+    kept = files.read_text(spark, f"{folder}/STATS")
+    if kept is not None:
+        return folder, True, json.loads(kept)
+    _, stats = scan(spark, repo, folder, tree=files.git_tree(spark, repo, sha), **given)
+    row = stats.first().asDict()
+    files.write_text(spark, f"{folder}/STATS", json.dumps(row | {"commit": sha}, sort_keys=True))
+    return folder, False, row | {"commit": sha}
+
+
 def check(spark: SparkSession, root: str, out: str) -> bool:
     """Whether the published documents are what a scan would make now."""
     changes, _ = scan(spark, root, out, dry_run=True)

@@ -52,6 +52,11 @@ def code_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) ->
     """path, content of the .py files below a root, without skipped, hidden and excluded directories."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
     rows = files.select("path", "content").unionByName(_underscored(spark, root, ".py")).select(_relative(root).alias("path"), "content")
+    return sources_only(rows, exclude)
+
+
+def sources_only(rows: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose paths are in no skipped, hidden or excluded directory."""
     parts = F.split("path", "/")
     hidden = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*SKIPPED) | p.startswith("."))
     out = F.lit(False)

@@ -45,7 +45,7 @@ class GitTreeReader(DataSourceReader):
         self.repo, self.suffix = options["repo"], options.get("suffix", "")
         self.count = max(1, int(options.get("partitions", 8)))
         # a name like HEAD may move while partitions are read
-        self.commit = _resolved(self.repo, options.get("commit", "HEAD"))
+        self.commit = resolved(self.repo, options.get("commit", "HEAD"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in range(self.count)]
@@ -76,7 +76,8 @@ class GitTreeReader(DataSourceReader):
                 process.wait()
 
 
-def _resolved(repo: str, commit: str) -> str:
+def resolved(repo: str, commit: str) -> str:
+    """The full name of a commit."""
     done = subprocess.run(["git", "-C", repo, "rev-parse", "--verify", "--end-of-options", f"{commit}^{{commit}}"], capture_output=True)
     if done.returncode:
         raise ValueError(f"{repo} has no commit {commit}")

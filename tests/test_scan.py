@@ -107,6 +107,27 @@ def test_git_sources(spark, root):
     assert log.count() == len(TREE) and files.commits(log, 2, 10).count() == 7
 
 
+def test_bundles_are_kept_by_commit_and_code(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "small", str(tmp_path / "store")
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    root.mkdir()
+    (root / "a.py").write_text("import b\n")
+    (root / "b.py").write_text("def f(): pass\n")
+    run("init", "-q")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    folder, hit, stats = scan_.bundle(spark, str(root), "HEAD", store)
+    assert not hit and stats["files"] == 2 and (tmp_path / "store").is_dir()
+    (root / "b.py").unlink()  # the commit counts, not what lies about
+    again, hit, kept = scan_.bundle(spark, str(root), "HEAD", store)
+    assert hit and again == folder and kept == stats
+    assert files.current_table(spark, f"{folder}/documents", files.PUBLISHED).where("path = '/files/b.py.md'").count() == 1
+    monkeypatch.setattr(scan_, "scan", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("made anew")))
+    monkeypatch.setattr(scan_, "code_tag", lambda: "other")
+    with pytest.raises(RuntimeError, match="made anew"):
+        scan_.bundle(spark, str(root), "HEAD", store)
+
+
 def test_singletons_join_their_heaviest_group(spark):
     m = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("e", "3"), ("f", "4")], "node string, grp string")
     links = spark.createDataFrame([("a", "e", 1.0), ("c", "e", 3.0)], "a string, b string, weight double")
