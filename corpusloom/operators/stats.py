@@ -101,6 +101,6 @@ def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
     by_value = d.groupBy("v").agg(F.count("*").alias("t"), F.count_if("g").alias("k"))
     ranked = _before(by_value).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2.0)
     s = ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("k") * F.col("rank")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")), F.lit(0.0)).alias("ties"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube goes beyond a long from 1.7 million rows on
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     return s.select("n", "w", upper_tail(F.try_divide(F.col("w") - n * (n + 1) / 4.0, F.sqrt(var))).alias("p"))

@@ -139,3 +139,11 @@ def test_statistics_share_their_draws(spark):
     assert out["mean x"].low == pytest.approx(np.quantile(means, 0.025)) and out["mean x"].high == pytest.approx(np.quantile(means, 0.975))
     twice = spark.createDataFrame(rows, "i long, x double, y double").coalesce(1)
     assert stats.bootstrap(twice, F.col("i"), sums, {"m": F.col("x") / F.col("n")}, 50).first().low == pytest.approx(stats.bootstrap(df, F.col("i"), sums, {"m": F.col("x") / F.col("n")}, 50).first().low)
+
+
+def test_signed_ranks_of_more_rows_than_a_cube_of_longs_holds(spark):
+    n = 2_000_000  # differences of -1, 1 and 2, a quarter, a quarter and a half
+    d = spark.range(n).select(F.element_at(F.array(F.lit(-1.0), F.lit(1.0), F.lit(2.0), F.lit(2.0)), (F.col("id") % 4 + 1).cast("int")).alias("d"))
+    got = stats.wilcoxon(d, "d").collect()[0]
+    q = n // 4
+    assert got.n == n and got.w == q * (2 * q + 1) / 2 + 2 * q * (2 * q + (2 * q + 1) / 2) and got.p == 0.0
