@@ -13,20 +13,28 @@ from pyspark.sql import Window as W
 RESAMPLES = 10_000
 
 
-#: Rows that draw together, and the distribution function of a Poisson variable of mean 1.
-_ROWS = 64
+#: Rows and resamples of a block of draws (which stays in a core's cache), and the distribution function of a Poisson variable of mean 1.
+_ROWS, _BLOCK = 32, 1000
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 20)))))
+#: Numbers by the first 16 bits of a draw; -1 where these do not decide.
+_BITS = 16
+_NUMBERS = np.searchsorted(_POISSON, np.arange(1 << _BITS) / 2.0**_BITS, side="right").astype(np.float64)
+_NUMBERS[_NUMBERS != np.searchsorted(_POISSON, np.nextafter(np.arange(1, (1 << _BITS) + 1) / 2.0**_BITS, 0), side="right")] = -1
 
 
-def _copies(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """(keys x resamples) Poisson numbers that depend on key, resample and seed alone."""
+def _copies(keys: np.ndarray, resamples: int, seed: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """(keys x resamples first to last) Poisson numbers that depend on key, resample and seed alone."""
     u = np.uint64
-    x = keys[:, None] + (np.arange(resamples, dtype=u)[None, :] + u(resamples * seed)) * u(0x9E3779B97F4A7C15)
+    x = keys[:, None] + ((np.arange(first, resamples if last is None else last, dtype=u) + u(resamples * seed)) * u(0x9E3779B97F4A7C15))[None, :]
+    y = np.empty_like(x)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # finaliser of splitmix64
-        x ^= x >> u(shift)
+        x ^= np.right_shift(x, u(shift), out=y)
         x *= u(factor)
-    x ^= x >> u(31)
-    return np.searchsorted(_POISSON, (x >> u(11)).astype(np.float64) * 2.0**-53, side="right").astype(np.float64)
+    x ^= np.right_shift(x, u(31), out=y)
+    out = np.take(_NUMBERS, np.right_shift(x, u(64 - _BITS), out=y).view(np.int64), mode="wrap").ravel()
+    open_ = np.flatnonzero(out < 0)
+    out[open_] = np.searchsorted(_POISSON, (x.ravel()[open_] >> u(11)).astype(np.float64) * 2.0**-53, side="right")
+    return out.reshape(x.shape)
 
 
 def bootstrap(rows: DataFrame, key: Column, sums: dict[str, Column], statistics: dict[str, Column], resamples: int = RESAMPLES, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -47,11 +55,16 @@ def bootstrap(rows: DataFrame, key: Column, sums: dict[str, Column], statistics:
         for pdf in batches:
             keys, values = pdf["_key"].to_numpy().view(np.uint64), pdf[names].to_numpy(dtype=float).T
             for lo in range(0, len(keys), _ROWS):
-                total += values[:, lo : lo + _ROWS] @ _copies(keys[lo : lo + _ROWS], resamples, seed)
+                own, mine = keys[lo : lo + _ROWS], values[:, lo : lo + _ROWS]
+                for k in range(0, resamples, _BLOCK):
+                    end = min(k + _BLOCK, resamples)
+                    total[:, k:end] += mine @ _copies(own, resamples, seed, k, end)
         yield pd.DataFrame({"k": np.arange(resamples)} | dict(zip(names, total)))
 
     keyed = rows.select(key.cast("long").alias("_key"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in sums.items()])
-    drawn = keyed.mapInPandas(draw, "k long, " + ", ".join(f"`{n}` double" for n in names)).groupBy("k").agg(*[F.sum(n).alias(n) for n in names])
+    # dealt by a fixed number, as few bytes make much work here and would be put together into few tasks
+    dealt = keyed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
+    drawn = dealt.mapInPandas(draw, "k long, " + ", ".join(f"`{n}` double" for n in names)).groupBy("k").agg(*[F.sum(n).alias(n) for n in names])
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), v.cast("double").alias("v")) for name, v in statistics.items()])).alias("s")
     tail = (1 - level) / 2
     interval = drawn.select(each).select("s.*").groupBy("statistic").agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"))  # resamples rows each

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import AREA, area_tag, code_lines, is_test_path
 from corpusloom.operators import community, graph, pages, stats
 from corpusloom.plans import graph_queries as gq
-from corpusloom.plans.session import table
+from corpusloom.plans.session import cut, table
+
 
 def _links(spark, d):
     return graph.undirected(gq.edges(spark, d)).select(F.lit(0).alias("graph"), "a", "b", "weight")
@@ -30,7 +31,7 @@ def community_quality(spark, d):
 def bootstrap_ci(spark, d):
     """Share of the returned lines' price in all lines' price, orders resampled: whether its 95 % interval holds it and is as wide as theory says."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)).alias("r"), F.sum("l_extendedprice").alias("t"))
-    found = stats.bootstrap_ratio(rows, "r", "t")
+    found = cut(stats.bootstrap_ratio(rows, "r", "t"))  # one row, used twice
     # a ratio's variance over resampled instances is the sum of squared residuals over the squared total
     spread = rows.join(F.broadcast(found)).agg(F.sqrt(F.sum(F.pow(F.col("r") - F.col("estimate") * F.col("t"), F.lit(2.0)))).alias("s"), F.sum("t").alias("t"))  # one row
     width = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("s") / F.col("t"))

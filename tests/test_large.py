@@ -147,3 +147,22 @@ def test_signed_ranks_of_more_rows_than_a_cube_of_longs_holds(spark):
     got = stats.wilcoxon(d, "d").collect()[0]
     q = n // 4
     assert got.n == n and got.w == q * (2 * q + 1) / 2 + 2 * q * (2 * q + (2 * q + 1) / 2) and got.p == 0.0
+
+
+def test_draws_by_table_are_those_of_the_distribution_function():
+    u = np.uint64
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 40).astype(u)
+    x = keys[:, None] + np.arange(6100, 9000, dtype=u)[None, :] * u(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> u(shift))) * u(factor)
+    plain = np.searchsorted(stats._POISSON, ((x ^ (x >> u(31))) >> u(11)).astype(float) * 2.0**-53, side="right")
+    assert np.array_equal(stats._copies(keys, 3000, 2, 100), plain)
+
+
+def test_interval_draws_once(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import more_queries
+
+    rows = [(i // 3, "R" if i % 4 == 0 else "N", 100.0 + i % 7) for i in range(600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = more_queries.bootstrap_ci(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # the resamples are drawn once, and their one row is written
