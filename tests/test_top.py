@@ -58,3 +58,17 @@ def test_digits_round_as_in_spark(spark):
     values = [0.1234567885, 2.0000000005, 1e-10, 5e-10, 17.1234567895, 3.9999999995, 12.345678901499999]
     there = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()]
     assert [float(x) for x in np.round(search._nine(np.array(values)) / 1e9, 9)] == there
+
+
+@pytest.mark.parametrize("common", [1 << 18, 5])
+def test_lengths_with_few_and_many_common_terms(spark, common, monkeypatch):
+    monkeypatch.setattr(search, "MOST_COMMON", common)
+    docs, _ = corpus(spark)
+    wanted = {r.doc: pytest.approx(r.length) for r in search._tfidf_lengths(docs, "id", docs["text"])[2].collect()}
+    assert {r.doc: r.length for r in search._tfidf_norms(docs, "id", docs["text"]).collect()} == wanted
+
+
+def test_all_texts_are_not_grouped_by_document_and_term(spark):
+    docs, asked = corpus(spark)
+    plan = search.tfidf_top(docs, "id", docs["text"], asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
