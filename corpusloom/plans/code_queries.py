@@ -293,8 +293,8 @@ def code_search(spark, d):
     f = cut(_described(facts(spark, d)))
     docs = _code_fields(f).join(sources(spark, d).select(F.col("path").alias("doc_id"), F.col("text").alias("body")), "doc_id")
     q = requirements.requirements(_needs(spark, d)).select("slug", "text")
-    hits = search.search(docs, "doc_id", {"name": docs["name"], "doc": docs["doc"], "body": docs["body"]}, search.query_terms(q, "slug", q["text"]))
-    return search.best(hits, 10).select(F.col("query_id").alias("slug"), F.col("doc").alias("path"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    hits = search.bm25f_top(docs, "doc_id", {"name": docs["name"], "doc": docs["doc"], "body": docs["body"]}, search.query_terms(q, "slug", q["text"]), 10)
+    return hits.select(F.col("query_id").alias("slug"), F.col("doc").alias("path"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def context_texts(spark, d):
@@ -303,7 +303,7 @@ def context_texts(spark, d):
     f = _described(facts(spark, d)).select("path", "description", "symbols")
     shown = F.array_join(F.slice(F.split(render.symbol_lines(F.col("symbols")), "\n"), 1, 10), "\n")
     block = F.concat(F.lit("### "), "path", F.lit("\n\n"), "description", F.lit("\n\nSymbols:\n"), shown)
-    items = hits.join(f, "path").select(F.col("slug").alias("query_id"), F.col("path").alias("doc"), F.col("rank").alias("position"), block.alias("block")).withColumn("size", F.length("block"))
+    items = cut(hits.join(f, "path").select(F.col("slug").alias("query_id"), F.col("path").alias("doc"), F.col("rank").alias("position"), block.alias("block")).withColumn("size", F.length("block")))  # ten rows a query, used twice
     packed = retrieve.pack(items.select("query_id", "doc", "position", "size"), 1500)
     rows = packed.join(items.select("query_id", "position", "block"), ["query_id", "position"])
     out = render.pack_text(rows, F.concat(F.lit("# Context pack\n\n- Query: "), "query_id"))

@@ -72,3 +72,10 @@ def test_all_texts_are_not_grouped_by_document_and_term(spark):
     docs, asked = corpus(spark)
     plan = search.tfidf_top(docs, "id", docs["text"], asked, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_search_of_files_goes_the_same_way(spark):
+    from corpusloom.plans import code_queries
+
+    plan = code_queries.code_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
