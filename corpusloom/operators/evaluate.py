@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.operators import fusion, order, quantiles
+from corpusloom.operators import order, quantiles
 
 #: Messages of sources of an older language version, and words that name broken fixtures.
 OLD_MESSAGES = ["Missing parentheses in call to", "leading zeros in decimal integer literals", "multiple exception types must be parenthesized", "invalid hexadecimal literal"]
@@ -63,10 +63,13 @@ def pick_one_each(rows: DataFrame, group: str, order: list[Column], n: int) -> D
     return first.orderBy(*order).limit(n)
 
 
+def random_key(by: str, item: str, seed: int = 0) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col(item).cast("string")).cast("binary"))
+
+
 def shuffled(rows: DataFrame, by: str, item: str, seed: int = 0) -> DataFrame:
     """by, item and rank in an order that depends on the seed and both names alone."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col(item).cast("string")).cast("binary"))
-    return order.arranged(rows.select(by, item, key.alias("_key")), [by], [F.col("_key"), F.col(item)], place="rank").select(by, item, "rank")
+    return order.arranged(rows.select(by, item, random_key(by, item, seed).alias("_key")), [by], [F.col("_key"), F.col(item)], place="rank").select(by, item, "rank")
 
 
 def anchored_pairs(found: DataFrame, missed: DataFrame, pool: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
@@ -107,20 +110,29 @@ def rankers(candidates: DataFrame, seed: int = 0) -> DataFrame:
     candidates: query_id, doc, lexical (score or null), same_dir, distance (null
     beyond reach), weight (of a direct link), same_part, same_group.
     """
-    lex = F.coalesce("lexical", F.lit(0.0))
-    by = lambda *first: F.row_number().over(W.partitionBy("query_id").orderBy(*first, F.desc(F.round(lex, 9)), "doc"))
+    columns = ["lexical", "same_dir", "distance", "weight", "same_part", "same_group"]
+    lex = F.desc(F.round(F.coalesce("lexical", F.lit(0.0)), 9))
+    place = lambda *by: F.row_number().over(W.partitionBy("query_id").orderBy(*by))
     near = F.when(F.col("distance").isNotNull(), 0).when(F.col("same_part"), 1).when(F.col("same_group"), 1).otherwise(2)
-    orders = {
-        "lexical": by(),
-        "same directory": by(F.desc("same_dir")),
-        "community": by(F.desc("same_part"), F.desc("same_group")),
-        "graph": by(near, F.asc_nulls_last("distance"), F.desc(F.coalesce("weight", F.lit(0.0)))),
-    }
-    single = {m: candidates.select("query_id", "doc", rank.alias("rank")) for m, rank in orders.items()}
-    single["random"] = shuffled(candidates, "query_id", "doc", seed)
-    single["hybrid"] = fusion.interleave(single["graph"], single["lexical"])
-    single["fusion"] = fusion.reciprocal_rank([single["lexical"], single["graph"]]).select("query_id", "doc", "rank")
-    return reduce(DataFrame.unionByName, (r.select(F.lit(m).alias("method"), "query_id", "doc", "rank") for m, r in single.items()))
+    at = lambda m: F.col(f"_{m}")
+    fused = F.round(1 / (60 + at("lexical")) + 1 / (60 + at("graph")), 12)
+    orders = [  # all by query, so a pair is sent once
+        ("lexical", [lex, "doc"]),
+        ("same directory", [F.desc("same_dir"), lex, "doc"]),
+        ("community", [F.desc("same_part"), F.desc("same_group"), lex, "doc"]),
+        ("graph", [near, F.asc_nulls_last("distance"), F.desc(F.coalesce("weight", F.lit(0.0))), lex, "doc"]),
+        ("random", [random_key("query_id", "doc", seed), "doc"]),
+        ("hybrid", [F.least(2 * at("graph") - 1, 2 * at("lexical"))]),
+        ("fusion", [F.desc(fused), at("lexical"), "doc"]),
+    ]
+    ranked = reduce(lambda df, m: df.withColumn(f"_{m[0]}", place(*m[1])), orders, candidates.select("query_id", "doc", *columns))
+    return unpivoted(ranked, {m: f"_{m}" for m, _ in orders})
+
+
+def unpivoted(ranked: DataFrame, methods: dict[str, str]) -> DataFrame:
+    """method, query_id, doc, rank from one column of ranks for each method."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).cast("long").alias("rank")) for m, c in methods.items()])).alias("r")
+    return ranked.select("query_id", "doc", each).select("r.method", "query_id", "doc", "r.rank")
 
 
 def merged(parts: dict[str, DataFrame], key: str) -> DataFrame:

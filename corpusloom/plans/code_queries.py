@@ -75,7 +75,8 @@ def sources(spark, d) -> DataFrame:
 
 
 def facts(spark, d) -> DataFrame:
-    return cut(facts_.facts(sources(spark, d)))
+    # small rows come out of a join in one part, and each is parsed
+    return cut(facts_.facts(sources(spark, d).repartition(spark.sparkContext.defaultParallelism)))
 
 
 def code_parse(spark, d):

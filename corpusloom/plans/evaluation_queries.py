@@ -15,7 +15,7 @@ from corpusloom.plans import code_queries as cq
 from corpusloom.plans import context_queries as xq
 from corpusloom.plans import graph_queries as gq
 from corpusloom.plans import text_queries as tq
-from corpusloom.plans.session import cut, table
+from corpusloom.plans.session import cut, small, table
 
 CONFIGS = {f"adaptive={a} strong={s} tests={t}": retrieve.Settings(adaptive=bool(a), keep_strong=bool(s), drop_tests=not t, expansion="walk") for a in (0, 1) for s in (0, 1) for t in (0, 1)}
 
@@ -123,14 +123,15 @@ def cochange_rankers(spark, d):
     e = cut(cq._edges(f))
     docs = cq._code_fields(f).join(cq.sources(spark, d).select(F.col("path").alias("doc_id"), F.col("text").alias("body")), "doc_id")
     q = requirements.requirements(cq._needs(spark, d)).select("slug", "text")
-    hits = cut(search.best(search.search(docs, "doc_id", {"name": docs["name"], "doc": docs["doc"], "body": docs["body"]}, search.query_terms(q, "slug", q["text"])), None))
-    seeds = hits.where("rank = 1").select("query_id", F.col("doc").alias("seed"))
+    met, body = search.Meeting(docs, "doc_id", {"name": docs["name"], "doc": docs["doc"], "body": docs["body"]}, search.query_terms(q, "slug", q["text"])), ["name", "doc", "body"]
+    hits = met.every({"lexical": ("bm25f", body)})
+    seeds = cut(met.top(search.HOW["bm25f"](body), 1, lambda: met.every({"score": ("bm25f", body)})).select("query_id", F.col("doc").alias("seed")))  # one row a query
     both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     far = graph.distances(both, seeds.select(F.col("query_id").alias("seed_set"), F.col("seed").alias("node")), 3).select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance")
-    links = both.groupBy(F.col("src").alias("seed"), F.col("dst").alias("doc")).agg(F.sum("weight").alias("weight"))
+    links = both.join(small(seeds.select(F.col("seed").alias("src")).distinct()), "src", "left_semi").groupBy(F.col("src").alias("seed"), F.col("dst").alias("doc")).agg(F.sum("weight").alias("weight"))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    c = hits.select("query_id", "doc", F.col("score").alias("lexical")).join(seeds, "query_id").where("doc <> seed")
-    c = c.join(far, ["query_id", "doc"], "left").join(links, ["seed", "doc"], "left").withColumn("same_dir", folder(F.col("doc")) == folder(F.col("seed")))
+    c = hits.join(small(seeds.withColumn("seed_dir", folder(F.col("seed")))), "query_id").where("doc <> seed")
+    c = c.join(small(far), ["query_id", "doc"], "left").join(small(cut(links)), ["seed", "doc"], "left").withColumn("same_dir", folder(F.col("doc")) == F.col("seed_dir"))
     ranked = evaluate.rankers(c.withColumn("same_part", F.lit(False)).withColumn("same_group", F.col("same_dir")))
     gold = cq._needed(spark, d, f).select(F.col("slug").alias("query_id"), F.col("path").alias("doc")).join(seeds, "query_id").where("doc <> seed").select("query_id", "doc")
     methods = spark.createDataFrame([(m,) for m in ("lexical", "same directory", "community", "graph", "random", "hybrid", "fusion")], "method string")

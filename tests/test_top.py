@@ -79,3 +79,29 @@ def test_search_of_files_goes_the_same_way(spark):
 
     plan = code_queries.code_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
+def test_all_scores_come_out_of_the_tasks(spark, monkeypatch):
+    """All scores of two ways equal the full searches, without an aggregate or join over the pairs."""
+    monkeypatch.setattr(search, "_BLOCK", 700)
+    docs, asked = corpus(spark)
+    fields = {"name": docs["title"], "body": docs["text"]}
+    met = search.Meeting(docs, "id", fields, asked)
+    found = met.every({"a": ("bm25", ["body"]), "b": ("bm25f", ["name", "body"])})
+    for column, plain in (("a", search.bm25(docs, "id", docs["text"], asked)), ("b", search.bm25f(docs, "id", fields, asked))):
+        assert {(r.query_id, r.doc): round(r.score, 9) for r in plain.collect()} == {(r.query_id, r.doc): round(r[column], 9) for r in found.collect() if r[column] is not None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Join" not in plan
+    docs, asked = corpus(spark, lambda i: i // 2)  # ids that repeat
+    wanted = {(r.query_id, r.doc): round(r.score, 9) for r in search.bm25(docs, "id", docs["text"], asked).collect()}
+    assert {(r.query_id, r.doc): round(r.a, 9) for r in search.Meeting(docs, "id", {"all": docs["text"]}, asked).every({"a": ("bm25", ["all"])}).collect()} == wanted
+
+
+def test_seven_rankings_send_each_pair_once(spark):
+    from corpusloom.operators import evaluate
+
+    pairs = spark.range(200).selectExpr("id % 3 query_id", "id doc", "cast(id * 37 % 11 as double) lexical", "id % 5 = 0 same_dir", "if(id % 7 = 0, id % 2, null) distance", "cast(null as long) weight", "false same_part", "id % 5 = 0 same_group")
+    ranked = evaluate.rankers(pairs)
+    assert ranked.count() == 7 * 200 and ranked.select("method", "query_id", "rank").distinct().count() == 7 * 200
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
