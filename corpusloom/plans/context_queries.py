@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import order, retrieve, search
@@ -10,7 +11,13 @@ from corpusloom.plans import text_queries as tq
 from corpusloom.plans.session import cut, table
 
 
-def _tables(spark, d):
+def tests(labels: DataFrame) -> DataFrame:
+    """doc of what is tagged as a test. labels: doc_id, toxic."""
+    return labels.where("toxic = 1").select(F.col("doc_id").alias("doc"))
+
+
+def _tables(spark, d, every: bool = False, hits: DataFrame | None = None):
+    """hits, concepts, edges, members. every: all hits, for the text factor of the walk by mass; otherwise those that can be entries or strong."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     placed = cut(order.arranged(docs, ["source"], [F.col("doc_id")], following={"next": "doc_id"}, place="at"))  # met by several branches
     members = placed.select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), "at")
@@ -18,12 +25,17 @@ def _tables(spark, d):
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     tags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "test"), F.when(F.col("quality") == 1, "security:reviewed")))
     concepts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), tags.alias("tags"), F.lit(1).alias("fan_in"))
-    hits = cut(search.best(tq.bm25f_scores(spark, d), None))  # the strong branch and the text factor need every match
+    if hits is None:
+        rows = tq.documents(spark, d)
+        met = search.Meeting(rows, "doc_id", tq.fields(rows), tq.asked(spark, d))
+        names = list(tq.fields(rows))
+        scores = met.every({"score": ("bm25f", names)}) if every else met.strong("bm25f", names, tests(labels))
+        hits = cut(search.best(scores, None))
     return hits, concepts, edges, members
 
 
 def _gather(spark, d, task, expansion="walk"):
-    out = retrieve.gather(*_tables(spark, d), task, retrieve.Settings(expansion=expansion))
+    out = retrieve.gather(*_tables(spark, d, expansion == "ppr"), task, retrieve.Settings(expansion=expansion))
     return out.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 

@@ -105,3 +105,19 @@ def test_seven_rankings_send_each_pair_once(spark):
     assert ranked.count() == 7 * 200 and ranked.select("method", "query_id", "rank").distinct().count() == 7 * 200
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_what_is_strong_has_the_ranks_of_all(spark, monkeypatch):
+    """Rows of both kinds of documents that can be entries or strong come through with their ranks; others mostly stay in the tasks."""
+    monkeypatch.setattr(search, "_BLOCK", 700)
+    docs, asked = corpus(spark)
+    fields = {"name": docs["title"], "body": docs["text"]}
+    met, apart = search.Meeting(docs, "id", fields, asked), docs.where("id % 4 = 0").selectExpr("id doc")
+    strong, full = met.strong("bm25f", ["name", "body"], apart), search.bm25f(docs, "id", fields, asked)
+    for less in (False, True):
+        keep = lambda df: df.where("doc % 4 <> 0") if less else df  # noqa: E731, B023
+        wanted = [r for r in search.best(keep(full), None).collect()]
+        top = {q: max(r.score for r in wanted if r.query_id == q) for q in {r.query_id for r in wanted}}
+        got = {(r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in search.best(keep(strong), None).collect()}
+        assert {(r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in wanted if r["rank"] <= 4 or r.score >= 0.5 * top[r.query_id]} <= got
+        assert len(got) < len(wanted)
