@@ -96,8 +96,10 @@ def merged_instances(spark, d):
 
 def seeded_walk(spark, d):
     """The four best documents of a passage, what they depend on within two steps, then the other matches; ten of each passage."""
-    _, _, edges, _ = xq._tables(spark, d)
-    matches = cut(search.best(tq.bm25_scores(spark, d), None))
+    docs = tq.documents(spark, d)
+    met = search.Meeting(docs, "doc_id", {"metadata": tq.metadata(docs)}, tq.asked(spark, d))
+    matches = cut(search.best(met.every({"score": ("bm25", ["metadata"])}), None))
+    _, _, edges, _ = xq._tables(spark, d, hits=matches)
     near = graph.distances(edges, matches.where("rank <= 4").select(F.col("query_id").alias("seed_set"), F.col("doc").alias("node")), 2)
     reached = near.select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance").join(matches.where("rank <= 4").select("query_id", "doc", F.col("rank").alias("seed")), ["query_id", "doc"], "left")
     head = reached.select("query_id", "doc", F.row_number().over(W.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("seed"), "doc")).alias("rank"))
@@ -253,21 +255,36 @@ def evaluation_loop(spark, d):
     Candidates are the documents that share a term with the passage; every ranking
     is completed by BM25 over whole texts. The task of a passage is feature for even ids, else bug.
     """
-    docs = tq.documents(spark, d)
-    tables = xq._tables(spark, d)
-    by_file = cut(search.best(search.bm25(docs, "doc_id", docs["text"], tq.asked(spark, d)), None).select("query_id", "doc", "rank"))
-    near = graph.distances(tables[2], by_file.where("rank <= 4").select(F.col("query_id").alias("seed_set"), F.col("doc").alias("node")), 2)
-    reached = near.select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance").join(by_file.where("rank <= 4").withColumnRenamed("rank", "seed"), ["query_id", "doc"], "left")
-    walk = reached.select("query_id", "doc", F.row_number().over(W.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("seed"), "doc")).alias("rank"))
-    single = {"random": evaluate.shuffled(by_file, "query_id", "doc"), "file bm25": by_file, "bm25 graph": fusion.complete(walk, by_file)}
+    docs, texts = tq.documents(spark, d), ["name", "doc", "body"]
+    met = search.Meeting(docs, "doc_id", tq.fields(docs) | {"metadata": tq.metadata(docs)}, tq.asked(spark, d))
+    ways = {"file": ("bm25", ["body"]), "metadata": ("bm25", ["metadata"]), "fields": ("bm25f", texts)}
+    apart = xq.tests(table(spark, d, "labels"))
+    strong = {name: cut(search.best(met.strong(*ways[name], apart), None)) for name in SEARCHES}
+    tables = xq._tables(spark, d, hits=strong["fields"])
+    plain = lambda: search.bm25(docs, "doc_id", docs["text"], tq.asked(spark, d))
+    first = cut(met.top(search.HOW["bm25"](["body"]), 4, plain, names=["body"]).select("query_id", "doc", F.col("rank").alias("seed")))  # four rows a query
+    near = graph.distances(tables[2], first.select(F.col("query_id").alias("seed_set"), F.col("doc").alias("node")), 2)
+    reached = near.select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance").join(first, ["query_id", "doc"], "left")
+    heads = {"walk": reached.select("query_id", "doc", F.row_number().over(W.partitionBy("query_id").orderBy("distance", F.asc_nulls_last("seed"), "doc")).alias("rank"))}
     even = F.pmod("query_id", F.lit(2)) == 0
-    for name, hits in zip(SEARCHES, (cut(search.best(tq.bm25_scores(spark, d), None)), tables[0])):
-        parts = {task: cut(retrieve.gather(hits, *tables[1:], task, retrieve.Settings(expansion="walk")).select("query_id", "doc", F.col("position").alias("rank"))) for task in ("feature", "bug")}
-        asked = parts["feature"].where(even).unionByName(parts["bug"].where(~even))
-        found, task, bug = (cut(fusion.complete(head, by_file)) for head in (hits.select("query_id", "doc", "rank"), asked, parts["bug"]))
-        single |= {f"search [{name}]": found, f"context by task [{name}]": task, f"context bug [{name}]": bug}
-        single |= {f"fusion context [{name}]": fusion.reciprocal_rank([by_file, task]), f"fusion search [{name}]": fusion.reciprocal_rank([by_file, found])}
-    ranked = reduce(DataFrame.unionByName, (r.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), F.lit(m).alias("method")) for m, r in single.items()))
+    for name in SEARCHES:
+        parts = {task: cut(retrieve.gather(strong[name], *tables[1:], task, retrieve.Settings(expansion="walk")).select("query_id", "doc", F.col("position").alias("rank"))) for task in ("feature", "bug")}
+        heads |= {f"task {name}": parts["feature"].where(even).unionByName(parts["bug"].where(~even)), f"bug {name}": parts["bug"]}
+    # a row for each pair with its three scores and its places in the heads of rankings; sent once, by query
+    pairs = met.every(ways).where("file is not null").select("query_id", "doc", *ways, *[F.lit(None).cast("int").alias(h) for h in heads])
+    placed = [r.select("query_id", "doc", *[F.lit(None).cast("double").alias(c) for c in ways], *[F.col("rank").cast("int").alias(h) if h == head else F.lit(None).cast("int").alias(h) for h in heads]) for head, r in heads.items()]
+    rows = reduce(DataFrame.unionByName, placed, pairs).repartition("query_id")
+    wide = rows.groupBy("query_id", "doc").agg(*[F.max(c).alias(c) for c in (*ways, *heads)]).where("file is not null")
+    score = lambda c: F.desc_nulls_last(F.round(c, 9))
+    behind = lambda c: F.when(F.col(c).isNull(), F.col("_file bm25"))  # noqa: E731 - what a head has not comes behind it, by file
+    fused = lambda m: [F.desc(F.round(1 / (60 + F.col("_file bm25")) + 1 / (60 + F.col(m)), 12)), "_file bm25"]
+    orders = {"file bm25": [score("file"), "doc"], "random": [evaluate.random_key("query_id", "doc"), "doc"], "bm25 graph": [F.asc_nulls_last("walk"), "_file bm25"]}
+    for name in SEARCHES:
+        orders |= {f"search [{name}]": [score(name), behind(name), "doc"], f"context by task [{name}]": [F.asc_nulls_last(f"task {name}"), "_file bm25"], f"context bug [{name}]": [F.asc_nulls_last(f"bug {name}"), "_file bm25"]}
+        orders |= {f"fusion context [{name}]": fused(f"_context by task [{name}]"), f"fusion search [{name}]": fused(f"_search [{name}]")}
+    for method, order in orders.items():
+        wide = wide.withColumn(f"_{method}", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    ranked = evaluate.unpivoted(wide, {m: f"_{m}" for m in METHODS})
     methods = spark.createDataFrame([(m,) for m in METHODS], "method string")
     return metrics.per_query(metrics.gold_ranks(ranked, tq.gold(spark, d), methods)).groupBy("method").agg(*metrics.means())
 
