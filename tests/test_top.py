@@ -121,3 +121,42 @@ def test_what_is_strong_has_the_ranks_of_all(spark, monkeypatch):
         got = {(r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in search.best(keep(strong), None).collect()}
         assert {(r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in wanted if r["rank"] <= 4 or r.score >= 0.5 * top[r.query_id]} <= got
         assert len(got) < len(wanted)
+
+
+def test_terms_in_tasks_are_those_of_the_column(spark):
+    from collections import Counter
+
+    import pyarrow as pa
+    from corpusloom.functions import text
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("AABbcsS s12é\n_") for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", "classes files Uses HTTPServer glass 12"]
+    lengths, at, term, times, words = text.term_counts(pa.array(texts, pa.string()))
+    found = [Counter() for _ in texts]
+    for row, number, n in zip(at, term, times):
+        found[row][words[int(number)].as_py()] = int(n)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    wanted = {r[0]: Counter(r[1]) for r in df.select("id", text.terms(df["text"])).collect()}
+    assert found == [wanted[i] for i in range(len(texts))] and list(lengths) == [sum(c.values()) for c in found]
+    assert [len(x) for x in text.term_counts(pa.array([], pa.string()))] == [0] * 5
+
+
+def test_texts_are_cut_into_terms_once_for_all_rankings(spark, monkeypatch):
+    from corpusloom.plans import text_queries
+
+    made, plain = [], search.Meeting
+    monkeypatch.setattr(search, "Meeting", lambda *args: made.append(plain(*args)) or made[-1])
+    found = text_queries.rankings(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and not made[0].plain
+    assert {r[0] for r in found.select("method").distinct().collect()} == {"bm25", "bm25f", "tfidf", "rrf"}
+
+
+@pytest.mark.parametrize("common", [1 << 18, 5])
+def test_three_rankings_of_one_pass(spark, common, monkeypatch):
+    monkeypatch.setattr(search, "MOST_COMMON", common)
+    monkeypatch.setattr(search, "_BYTES", 300)  # several pieces of a batch
+    docs, asked = corpus(spark)
+    fields = {"name": docs["title"], "body": docs["text"]}
+    found = search.three_tops(docs, "id", docs["title"], fields, asked, 7)
+    wanted = [search.bm25(docs, "id", docs["title"], asked), search.bm25f(docs, "id", fields, asked), search.tfidf_cosine(docs, "id", docs["text"], asked)]
+    assert [rows(df) for df in found] == [rows(search.best(df, 7)) for df in wanted]
