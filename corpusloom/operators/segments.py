@@ -3,14 +3,19 @@
 Files: a segment has its documents (``forward``: doc, hash, lengths and terms) and
 its postings in blocks: one row holds what a term has in one block of BLOCK
 documents, with the largest weight that any of them can give (``peaks``, by field).
-Documents that share rare terms are put into the same blocks. A change of the
+Documents that share rare terms are put into the same blocks: their rows, with
+all terms packed, are shuffled once, and the task that reads a range of them makes
+its blocks, so postings are not shuffled. A change of the
 documents writes one new segment and a table of the documents that are gone from
 earlier ones; earlier segments stay as they are. Document frequencies are the
 sums over segments without those of the gone. When there are FAN segments of
 about one size, they are merged into one, and no other is touched. MANIFEST says
 what counts; it is replaced at once, so readers see the state before or after.
 
-Search, for all queries at once, reads postings only where they can matter:
+``topk`` reads the postings of the queries' terms, brings a document's together and
+scores it for all queries in one task, which gives on only the best. For more
+queries than a task can hold, and for all scores, ``plan`` reads postings only
+where they can matter, at the price of a row for each query, term and block:
 
 1. Bounds of all blocks that have a query's term are read, without their postings.
 2. The blocks with the largest sums of bounds are scored whole; the k-th best
@@ -20,7 +25,7 @@ Search, for all queries at once, reads postings only where they can matter:
    the other terms are read, in blocks whose sum of bounds reaches the score.
 4. Documents whose score so far and bounds of the rest reach it are scored whole.
 
-So the result is that of a search over all postings.
+So either way the result is that of a search over all postings.
 """
 
 from __future__ import annotations
@@ -28,18 +33,25 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpusloom.functions.text import terms
+from corpusloom.functions.text import term_counts
 from corpusloom.operators import search
 from corpusloom.plans.session import cut, remove, small
 from corpusloom.sources import files
 
-VERSION = 3
+VERSION = 4
 #: Documents of a block, blocks of a query that are scored first, and segments of one size that are merged.
 BLOCK, FIRST_BLOCKS, FAN = 4, 32, 4
 #: Scores are compared with this much room for rounding.
@@ -54,19 +66,69 @@ def _manifest(spark: SparkSession, path: str) -> dict | None:
     return found if found.get("version") == VERSION else None
 
 
+def _counter(n_fields: int):
+    """Batches of doc, hash and the fields' texts: doc, hash, lengths, near, terms with blanks between, and their counts by field, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for batch in batches for piece in search.pieces(batch, list(range(2, 2 + n_fields)))):
+            n, made = b.num_rows, [term_counts(b.column(2 + f)) for f in range(n_fields)]
+            words = pa.chunked_array([m[4] for m in made]).combine_chunks().dictionary_encode()
+            of_field = np.split(words.indices.to_numpy(zero_copy_only=False), np.cumsum([len(m[4]) for m in made])[:-1])
+            keys = [m[1] * len(words.dictionary) + number[m[2]] for m, number in zip(made, of_field)]
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            tf = np.zeros((len(key), n_fields), np.int32)
+            tf[at, np.repeat(np.arange(n_fields), [len(k) for k in keys])] = np.concatenate([m[3] for m in made])
+            doc, term = key // max(1, len(words.dictionary)), key % max(1, len(words.dictionary))
+            near, there = np.zeros(n, np.int64), np.isin(np.arange(n), doc)
+            if len(doc):
+                hashes = pd.util.hash_array(np.array(words.dictionary.to_pylist(), dtype=object)).view(np.int64)
+                near[there] = np.minimum.reduceat(hashes[term], np.flatnonzero(np.append(True, doc[1:] != doc[:-1])))
+            lengths = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_fields), pa.array(np.stack([m[0] for m in made], axis=1).ravel().astype(np.int32)))
+            packed = search.packed(np.repeat(doc, n_fields), n, tf.ravel())
+            text = pc.binary_join(search.lists(doc, n, words.dictionary.take(pa.array(term))), " ")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lengths, pa.array(near, mask=~there), text, packed], ["doc", "hash", "lengths", "near", "terms", "tf"])
+
+    return run
+
+
 def _forward(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """doc, hash, lengths (by field), near (documents with equal numbers share a term), terms (term, tf by field). Ids are unique."""
+    """doc, hash, lengths (by field), near (documents with equal numbers share a term), terms, tf (by term and field), made where the texts lie. Ids are unique."""
     texts = [F.coalesce(t.cast("string"), F.lit("")) for t in fields.values()]
-    base = docs.select(docs[id_col].alias("doc"), F.sha2(F.concat_ws("\x1f", *texts), 256).alias("hash"), *[terms(t).alias(f"t{k}") for k, t in enumerate(texts)])
-    names = [f"t{k}" for k in range(len(texts))]
-    near = F.array_min(F.transform(F.array_distinct(F.flatten(F.array(*names))), lambda t: F.xxhash64(t)))
-    of_field = lambda k: lambda t: F.struct(t.alias("term"), F.lit(k).alias("field"))
-    each = F.concat(*[F.transform(name, of_field(k)) for k, name in enumerate(names)])
-    # dealt by document, so that counts and the lists of them are made in one place
-    rows = base.select("doc", "hash", F.array(*[F.size(n) for n in names]).alias("lengths"), near.alias("near"), each.alias("each")).repartition("doc")
-    exploded = rows.select("doc", "hash", "lengths", "near", F.explode_outer("each").alias("e")).select("doc", "hash", "lengths", "near", "e.term", "e.field")
-    counted = exploded.groupBy("doc", "hash", "lengths", "near", "term").agg(F.array(*[F.count_if(F.col("field") == k).cast("int") for k in range(len(names))]).alias("tf"))
-    return counted.groupBy("doc", "hash", "lengths", "near").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+    base = docs.select(docs[id_col].alias("doc"), F.sha2(F.concat_ws("\x1f", *texts), 256).alias("hash"), *[t.alias(f"t{k}") for k, t in enumerate(texts)])
+    numbers = T.ArrayType(T.IntegerType())
+    shape = T.StructType([base.schema["doc"], T.StructField("hash", T.StringType()), T.StructField("lengths", numbers), T.StructField("near", T.LongType()), T.StructField("terms", T.StringType()), T.StructField("tf", T.BinaryType())])
+    return base.mapInArrow(_counter(len(texts)), shape)
+
+
+def _poster(weights: list[float], means: list[float]):
+    """Batches of doc, lengths and packed terms in order of near: postings in blocks, one row for what a term has in a block. No block goes over a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_fields, made = len(weights), TaskContext.get().partitionId() << 32
+        for b in (piece for batch in batches for piece in search.pieces(batch, [2, 3])):
+            n = (pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False) // (4 * n_fields)).astype(np.int64)
+            at = np.repeat(np.arange(b.num_rows), n)
+            words = pc.split_pattern(b.column(2).filter(pa.array(n > 0)), " ").flatten().dictionary_encode()
+            tf = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int32).reshape(-1, n_fields)
+            lengths = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_fields)
+            size = max(1, len(words.dictionary))
+            key = at // BLOCK * size + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            key, tf, at = key[order], tf[order], at[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            if len(first):
+                weight = np.array(weights) * tf / ((1 - search.B) + search.B * lengths[at] / np.array(means))
+                peaks = np.maximum.reduceat(weight, first, axis=0)
+                ends = np.append(first, len(key))
+                inner = pa.array(np.arange(len(key) + 1, dtype=np.int32) * n_fields)
+                entries = pa.StructArray.from_arrays([b.column(0).take(pa.array(at)), pa.ListArray.from_arrays(inner, pa.array(lengths[at].ravel())), pa.ListArray.from_arrays(inner, pa.array(tf.ravel()))], ["doc", "lengths", "tf"])
+                yield pa.RecordBatch.from_arrays(
+                    [words.dictionary.take(pa.array(key[first] % size)), pa.array(made + key[first] // size), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * n_fields), pa.array(peaks.ravel())), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)],
+                    ["term", "block", "n", "peaks", "entries"],
+                )
+            made += -(-b.num_rows // BLOCK)
+
+    return run
 
 
 def _sums(rows: DataFrame, n_fields: int) -> tuple[int, list[int]]:
@@ -87,17 +149,16 @@ def _write(forward: DataFrame, path: str, number: int, weights: list[float]) ->
     """Writes a segment; gives its entry of the manifest."""
     spark, name = forward.sparkSession, f"segment-{number}-{uuid.uuid4().hex[:8]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = forward.repartitionByRange(parts, "near", "doc").withColumn("part", F.spark_partition_id())
-    place = F.row_number().over(W.partitionBy("part").orderBy("near", "doc"))
-    block = F.col("part") * F.lit(1 << 32) + F.floor((place - 1) / BLOCK)
-    ranged.select("doc", "hash", "lengths", "near", "terms", block.alias("block"), F.lit(number).alias("segment")).write.parquet(f"{path}/{name}/forward")
+    ranged = forward.repartitionByRange(parts, "near", "doc").sortWithinPartitions("near", "doc")
+    ranged.select("doc", "hash", "lengths", "near", "terms", "tf", F.lit(number).alias("segment")).write.parquet(f"{path}/{name}/forward")
     rows = spark.read.parquet(f"{path}/{name}/forward")
     n, sums = _sums(rows, len(weights))
     means = _means(n, sums)
-    each = rows.select("doc", "lengths", "block", F.explode("terms").alias("t")).select("doc", "lengths", "block", "t.term", "t.tf")
-    peaks = F.array(*[F.max(_weight(F.col("tf")[k], F.col("lengths")[k], w, means[k])) for k, w in enumerate(weights)])
-    posted = each.groupBy("term", "block").agg(F.count("*").alias("n"), peaks.alias("peaks"), F.collect_list(F.struct("doc", "lengths", "tf")).alias("entries"))
-    posted.withColumn("segment", F.lit(number)).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/{name}/postings")
+    doc, numbers = rows.schema["doc"].dataType, T.ArrayType(T.IntegerType())
+    entry = T.StructType([T.StructField("doc", doc), T.StructField("lengths", numbers), T.StructField("tf", numbers)])
+    shape = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("peaks", T.ArrayType(T.DoubleType())), T.StructField("entries", T.ArrayType(entry))])
+    posted = rows.select("doc", "lengths", "terms", "tf").mapInArrow(_poster(weights, means), shape)
+    posted.withColumn("segment", F.lit(number)).write.parquet(f"{path}/{name}/postings")
     return {"segment": number, "name": name, "documents": n, "lengths": sums, "means": means, "gone": 0, "gone_lengths": [0] * len(weights)}
 
 
@@ -174,7 +235,7 @@ def compact(spark: SparkSession, path: str, fan: int = FAN) -> list[str]:
         full = next((group for _, group in sorted(sizes.items()) if len(group) >= fan), None)
         if full is None:
             return merged
-        rows = _live(spark, path, manifest).where(F.col("segment").isin([s["segment"] for s in full])).select("doc", "hash", "lengths", "near", "terms")
+        rows = _live(spark, path, manifest).where(F.col("segment").isin([s["segment"] for s in full])).select("doc", "hash", "lengths", "near", "terms", "tf")
         entry = _write(rows, path, manifest["next"], manifest["weights"])
         manifest["segments"] = [s for s in manifest["segments"] if s not in full] + [entry]
         manifest["next"] += 1
@@ -223,7 +284,7 @@ def frequencies(spark: SparkSession, path: str, among: DataFrame) -> DataFrame:
     held = _read(spark, path, manifest, "postings").select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     gone = _gone(spark, path, manifest)
     if gone is not None:
-        less = gone.select(F.explode("terms.term").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("less"))
+        less = gone.select(F.explode(F.split("terms", " ")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("less"))
         held = held.join(less, "term", "left").select("term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
     return held.where("df > 0")
 
@@ -284,8 +345,42 @@ def plan(spark: SparkSession, path: str, asked: DataFrame, k: int) -> Reading |
     return Reading(bounds, first, essential, rest, scores)
 
 
+def _few_topk(spark: SparkSession, path: str, asked: DataFrame, k: int) -> DataFrame | None:
+    """topk of queries that are few enough for a task to hold; None for others, or if the index is empty.
+
+    What is shuffled is a row for each document that has a query's term, whatever the number of queries.
+    """
+    manifest, known = _manifest(spark, path), {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
+    if manifest is None or not manifest["segments"]:
+        return None
+    postings, gone = _read(spark, path, manifest, "postings"), _gone(spark, path, manifest)
+    kinds = [asked.schema["query_id"].dataType, postings.select("entries.doc").schema["doc"].dataType.elementType]
+    few = search._few(asked) if all(kind in known for kind in kinds) else None
+    if few is None:
+        return None
+    ids, vocabulary, times = few
+    n, weights = sum(s["documents"] - s["gone"] for s in manifest["segments"]), manifest["weights"]
+    means = _means(n, [sum(s["lengths"][f] - s["gone_lengths"][f] for s in manifest["segments"]) for f in range(len(weights))])
+    number, df = spark.createDataFrame(list(enumerate(vocabulary)), "t int, term string"), np.zeros(len(vocabulary))
+    for r in frequencies(spark, path, asked).join(F.broadcast(number), "term").collect():  # one row for each asked term
+        df[r["t"]] = r["df"]
+    e = postings.join(F.broadcast(number), "term").select("segment", "t", F.explode("entries").alias("e")).select("segment", "t", "e.*")
+    if gone is not None:
+        e = e.join(small(gone.select("segment", "doc")), ["segment", "doc"], "left_anti")
+    v = sum((_weight(F.col("tf")[f], F.col("lengths")[f], w, means[f]) for f, w in enumerate(weights)), F.lit(0.0))
+    vectors = e.select("doc", F.struct("t", v.alias("v")).alias("p")).groupBy("doc").agg(F.collect_list("p").alias("p"))
+    rows = vectors.select("doc", F.lit(0).cast("long").alias("n0"), F.col("p.t").alias("t0"), F.col("p.v").alias("c0"))
+    shape = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("doc", kinds[1]), T.StructField("score", T.DoubleType())])
+    part = lambda counts, lengths: counts[0] / (search.K1 + counts[0])
+    scorer = search._scorer(part, times * search._idf(n, df)[:, None], ids, 1, k, [known[kind] for kind in kinds], False)
+    return search.best(rows.mapInArrow(scorer, shape), k)
+
+
 def topk(spark: SparkSession, path: str, asked: DataFrame, k: int) -> DataFrame:
     """query_id, doc, score, rank: the k best documents of each query, as the search over texts ranks them."""
+    found = _few_topk(spark, path, asked, k)
+    if found is not None:
+        return found
     found = plan(spark, path, asked, k)
     if found is None:
         return search.best(asked.limit(0).select("query_id", F.lit("").alias("doc"), F.lit(0.0).alias("score")), k)

@@ -123,3 +123,31 @@ def test_few_and_all(spark, tmp_path):
     terms = asked(spark, rows)
     for k in (1, 1000):
         assert found(spark, path, terms, k) == full(df, terms, k)
+
+
+def test_postings_are_made_where_their_documents_lie(spark, tmp_path):
+    """No aggregate over words, no block in two rows of a term, and none over BLOCK documents."""
+    rows = corpus(300)
+    df, path = docs_of(spark, rows), str(tmp_path / "index")
+    assert "Aggregate" not in segments._forward(df, "doc_id", fields(df))._jdf.queryExecution().optimizedPlan().toString()
+    segments.refresh(df, "doc_id", fields(df), path)
+    posted = segments._read(spark, path, segments._manifest(spark, path), "postings").cache()
+    assert posted.count() == posted.select("term", "block").distinct().count()
+    each = posted.select("block", "n", F.size("entries").alias("m"), F.explode("entries.doc").alias("doc"))
+    assert each.where("n <> m").isEmpty() and each.groupBy("block").agg(F.count_distinct("doc").alias("n")).agg(F.max("n")).first()[0] <= segments.BLOCK
+    assert each.select("doc", "block").distinct().count() == each.select("doc").distinct().count()
+
+
+def test_few_queries_make_no_row_for_each_query_term_and_block(spark, tmp_path, monkeypatch):
+    rows = corpus(300)
+    df, path = docs_of(spark, rows), str(tmp_path / "index")
+    segments.refresh(df, "doc_id", fields(df), path)
+    now = [(i, t, (x or "") + " newword" if i % 10 == 1 else x) for i, t, x in rows if i % 10 != 2]
+    df = docs_of(spark, now)
+    segments.refresh(df, "doc_id", fields(df), path)
+    terms, plain = asked(spark, now), segments.plan
+    monkeypatch.setattr(segments, "plan", None)
+    few = found(spark, path, terms)
+    monkeypatch.setattr(segments, "plan", plain)
+    monkeypatch.setattr(search, "MOST_CELLS", 3)  # too many queries for a task
+    assert few == found(spark, path, terms) == full(df, terms)
