@@ -40,7 +40,7 @@ def index_topk(spark, d):
 def index_refreshed(spark, d):
     """The same through an index of an earlier state that has been brought up to date by a segment of its own."""
     path, docs = _place(spark), tq.documents(spark, d)
-    old = cut(earlier(docs))
+    old = earlier(docs)  # made again where it is read: whole texts are not written
     segments.refresh(old, "doc_id", tq.fields(old), path)
     segments.refresh(docs, "doc_id", tq.fields(docs), path)
     return _best(spark, d, path)

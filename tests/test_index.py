@@ -151,3 +151,14 @@ def test_few_queries_make_no_row_for_each_query_term_and_block(spark, tmp_path,
     monkeypatch.setattr(segments, "plan", plain)
     monkeypatch.setattr(search, "MOST_CELLS", 3)  # too many queries for a task
     assert few == found(spark, path, terms) == full(df, terms)
+
+
+def test_the_refreshed_index_writes_no_whole_texts(spark, monkeypatch):
+    from corpusloom.plans import index_queries
+
+    seen, plain = [], index_queries.cut
+    monkeypatch.setattr(index_queries, "cut", lambda df: seen.append(df.columns) or plain(df))
+    d = "/root/testdata/sf0.001"
+    best = {tuple(r) for r in index_queries.index_refreshed(spark, d).collect()}
+    assert seen and all("text" not in columns for columns in seen)
+    assert best == {tuple(r) for r in index_queries.tq.bm25f_topk(spark, d).collect()}
