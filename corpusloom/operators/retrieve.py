@@ -8,6 +8,7 @@ edges (src, dst, weight), members (grp, doc, at), implements (doc, target, at).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,8 +57,12 @@ def _rows(df: DataFrame, score, reason, branch: int, at) -> DataFrame:
     return df.select("query_id", "doc", score.cast("double").alias("score"), reason.alias("reason"), F.lit(branch).alias("branch"), at.cast("long").alias("at"))
 
 
-def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: DataFrame, task: str, settings: Settings = Settings(), implements: DataFrame | None = None) -> DataFrame:
-    """query_id, doc, score, reason, position."""
+def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: DataFrame, task: str, settings: Settings = Settings(), implements: DataFrame | None = None, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, doc, score, reason, position.
+
+    texts: gives query_id, doc, score of pairs (query_id, doc), for the text factor of the walk by mass
+    where hits are only those that can be entries or strong.
+    """
     if task not in graph.DIRECTIONS:
         raise ValueError(f"task must be one of {sorted(graph.DIRECTIONS)}")
     tests = concepts.where(F.array_contains("tags", "test")).select("doc")
@@ -79,8 +84,14 @@ def gather(hits: DataFrame, concepts: DataFrame, edges: DataFrame, members: Data
             kept = kept.join(tests.toDF("src"), "src", "left_anti").join(tests.toDF("dst"), "dst", "left_anti")
         damping = concepts.select(F.col("doc").alias("node"), hub_damping(F.col("fan_in")).alias("tw")) if settings.damp_hubs else None
         mass = graph.walk(graph.transitions(kept, *graph.DIRECTIONS[task], damping), start, settings.rounds).select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "mass")
-        text = hits.select("query_id", "doc", (F.col("score") / F.max("score").over(W.partitionBy("query_id"))).alias("t"))
-        rated = mass.join(entries, ["query_id", "doc"], "left_anti").join(text, ["query_id", "doc"], "left").withColumn("sc", F.col("mass") * (1 + F.coalesce("t", F.lit(0.0)))).where("sc > 0")
+        mass = cut(mass.join(entries, ["query_id", "doc"], "left_anti"))
+        if texts is None:
+            text = hits.select("query_id", "doc", (F.col("score") / F.max("score").over(W.partitionBy("query_id"))).alias("t"))
+        else:
+            scored = texts(mass.select("query_id", "doc"))
+            scored = scored.join(tests, "doc", "left_anti") if settings.drop_tests else scored
+            text = scored.join(hits.groupBy("query_id").agg(F.max("score").alias("top")), "query_id").select("query_id", "doc", (F.col("score") / F.col("top")).alias("t"))
+        rated = mass.join(text, ["query_id", "doc"], "left").withColumn("sc", F.col("mass") * (1 + F.coalesce("t", F.lit(0.0)))).where("sc > 0")
         by = W.partitionBy("query_id").orderBy(F.desc("sc"), "doc")
         top = rated.withColumn("k", F.row_number().over(by)).where(F.col("k") <= settings.most_expanded).withColumn("best", F.max("sc").over(W.partitionBy("query_id")))
         branches.append(_rows(top, 10 + 70 * F.col("sc") / F.col("best"), F.lit("graph neighbour of the entry points"), 2, F.col("k")))

@@ -16,8 +16,13 @@ def tests(labels: DataFrame) -> DataFrame:
     return labels.where("toxic = 1").select(F.col("doc_id").alias("doc"))
 
 
-def _tables(spark, d, every: bool = False, hits: DataFrame | None = None):
-    """hits, concepts, edges, members. every: all hits, for the text factor of the walk by mass; otherwise those that can be entries or strong."""
+def _meeting(spark, d) -> search.Meeting:
+    rows = tq.documents(spark, d)
+    return search.Meeting(rows, "doc_id", tq.fields(rows), tq.asked(spark, d))
+
+
+def _tables(spark, d, hits: DataFrame | None = None, met: search.Meeting | None = None):
+    """hits (those that can be entries or strong), concepts, edges, members."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     placed = cut(order.arranged(docs, ["source"], [F.col("doc_id")], following={"next": "doc_id"}, place="at"))  # met by several branches
     members = placed.select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), "at")
@@ -26,16 +31,15 @@ def _tables(spark, d, every: bool = False, hits: DataFrame | None = None):
     tags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "test"), F.when(F.col("quality") == 1, "security:reviewed")))
     concepts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), tags.alias("tags"), F.lit(1).alias("fan_in"))
     if hits is None:
-        rows = tq.documents(spark, d)
-        met = search.Meeting(rows, "doc_id", tq.fields(rows), tq.asked(spark, d))
-        names = list(tq.fields(rows))
-        scores = met.every({"score": ("bm25f", names)}) if every else met.strong("bm25f", names, tests(labels))
-        hits = cut(search.best(scores, None))
+        met = met or _meeting(spark, d)
+        hits = cut(search.best(met.strong("bm25f", list(met.fields), tests(labels)), None))
     return hits, concepts, edges, members
 
 
 def _gather(spark, d, task, expansion="walk"):
-    out = retrieve.gather(*_tables(spark, d, expansion == "ppr"), task, retrieve.Settings(expansion=expansion))
+    met = _meeting(spark, d)
+    texts = lambda pairs: met.some({"score": ("bm25f", list(met.fields))}, pairs)  # noqa: E731 - of what the walk by mass reaches alone
+    out = retrieve.gather(*_tables(spark, d, met=met), task, retrieve.Settings(expansion=expansion), texts=texts)
     return out.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 

@@ -160,3 +160,47 @@ def test_three_rankings_of_one_pass(spark, common, monkeypatch):
     found = search.three_tops(docs, "id", docs["title"], fields, asked, 7)
     wanted = [search.bm25(docs, "id", docs["title"], asked), search.bm25f(docs, "id", fields, asked), search.tfidf_cosine(docs, "id", docs["text"], asked)]
     assert [rows(df) for df in found] == [rows(search.best(df, 7)) for df in wanted]
+
+
+def test_scores_of_some_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "_BLOCK", 700)
+    docs, asked = corpus(spark)
+    met, way = search.Meeting(docs, "id", {"name": docs["title"], "body": docs["text"]}, asked), {"score": ("bm25f", ["name", "body"])}
+    pairs = spark.createDataFrame([(q, d) for q in (3, 8, 99) for d in range(0, 300, 7)] + [(None, 5)], "query_id int, doc long")
+    wanted = {(r.query_id, r.doc): r.score for r in met.every(way).collect() if r.query_id in (3, 8) and r.doc in range(0, 300, 7)}
+    assert {(r.query_id, r.doc): r.score for r in met.some(way, pairs).collect()} == wanted and wanted
+
+
+def test_walk_by_mass_scores_only_what_it_reaches(spark, monkeypatch):
+    """gather_ppr neither makes nor ranks the scores of all pairs, and gives what it gave from all of them."""
+    from corpusloom.operators import graph, retrieve
+    from corpusloom.plans import context_queries
+
+    walk, every, folder = graph.walk, search.Meeting.every, "/root/testdata/sf0.001"
+    monkeypatch.setattr(graph, "walk", lambda steps, seeds, rounds: walk(steps, seeds, 3, tolerance=None))
+    met = context_queries._meeting(spark, folder)
+    hits, *rest = context_queries._tables(spark, folder, met=met)
+    full = retrieve.gather(search.best(met.every({"score": ("bm25f", list(met.fields))}), None), *rest, "bug", retrieve.Settings())
+    wanted = sorted((r.query_id, r.doc, round(r.score, 6), r.position) for r in full.collect())
+    monkeypatch.setattr(search.Meeting, "every", lambda *args: pytest.fail("all pairs"))
+    assert sorted((r.item_id, r.doc_id, r.score, r.position) for r in context_queries.gather_ppr(spark, folder).collect()) == wanted
+
+
+def test_walk_with_dead_ends(spark):
+    """Mass on nodes without a step goes home, also where only some rounds are written."""
+    from corpusloom.operators import graph
+
+    steps = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 1, 1.0)], "u long, v long, p double")
+    seeds = spark.createDataFrame([(7, 1), (7, 9), (8, 2)], "seed_set int, node long")
+    for rounds, tolerance in ((3, None), (7, 1e-9), (60, 1e-9)):
+        got = {(r.seed_set, r.node): r.mass for r in graph.walk(steps, seeds, rounds, tolerance=tolerance).collect()}
+        for s, home in ((7, {1: 0.5, 9: 0.5}), (8, {2: 1.0})):
+            mass = dict(home)
+            for _ in range(rounds):
+                moved = {n: 0.15 * share for n, share in home.items()}
+                for n, m in mass.items():
+                    ways = {1: {2: 0.5, 3: 0.5}, 2: {1: 1.0}}.get(n, home)
+                    for v, p in ways.items():
+                        moved[v] = moved.get(v, 0.0) + 0.85 * m * p
+                mass = moved
+            assert {n: m for (k, n), m in got.items() if k == s} == {n: pytest.approx(m, abs=1e-8) for n, m in mass.items()}
