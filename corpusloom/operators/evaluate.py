@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.operators import order, quantiles
+from corpusloom.operators import order, quantiles, search
+from corpusloom.plans.session import cut, small
 
 #: Messages of sources of an older language version, and words that name broken fixtures.
 OLD_MESSAGES = ["Missing parentheses in call to", "leading zeros in decimal integer literals", "multiple exception types must be parenthesized", "invalid hexadecimal literal"]
@@ -129,6 +133,84 @@ def rankers(candidates: DataFrame, seed: int = 0) -> DataFrame:
     return unpivoted(ranked, {m: f"_{m}" for m, _ in orders})
 
 
+def places(order: np.ndarray) -> np.ndarray:
+    """The place (from 1) of each item of an order."""
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(1, len(order) + 1)
+    return places
+
+
+def fused_places(first: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Places by reciprocal ranks; first: 1, 2, ..., by which ties go."""
+    return places(np.argsort(-search.rounded(1 / (60 + first) + 1 / (60 + other), 12), kind="stable"))
+
+
+def _by_first(pairs: dict[str, np.ndarray], score: str) -> dict[str, np.ndarray]:
+    """Pairs in the order of a score."""
+    best = np.argsort(-search.rounded(pairs[score], 9), kind="stable")
+    return {name: x[best] for name, x in pairs.items()}
+
+
+def random_places(pairs: dict[str, np.ndarray]) -> np.ndarray:
+    return places(np.lexsort((pairs["number"], pairs["key"][:, 1], pairs["key"][:, 0])))
+
+
+def _given(pairs: dict[str, np.ndarray], number: np.ndarray, value: np.ndarray, without: float) -> np.ndarray:
+    """The value of each pair, by number; ``without`` where none is given."""
+    by = np.argsort(pairs["number"], kind="stable")
+    at = np.searchsorted(pairs["number"][by], number)
+    there = at < len(by)
+    there[there] = pairs["number"][by][at[there]] == number[there]
+    out = np.full(len(by), without)
+    out[by[at[there]]] = value[there]
+    return out
+
+
+def seven_places(pairs: dict[str, np.ndarray], given: Callable[[str, float], np.ndarray]) -> dict[str, np.ndarray]:
+    """As ``rankers`` without parts, where the group is the folder. pairs: one query's, by lexical; given: distance and weight."""
+    lexical, same, distance = np.arange(1, len(pairs["same"]) + 1), pairs["same"], given("distance", np.inf)
+    near = np.where(np.isfinite(distance), 0, np.where(same, 1, 2))
+    folder, linked = places(np.argsort(~same, kind="stable")), places(np.lexsort((-given("weight", 0.0), distance, near)))
+    return {
+        "lexical": lexical, "same directory": folder, "community": folder, "graph": linked, "random": random_places(pairs),
+        "hybrid": places(np.argsort(np.minimum(2 * linked - 1, 2 * lexical))), "fusion": fused_places(lexical, linked),
+    }
+
+
+def gold_places(blocks: DataFrame, numbers: DataFrame, first: str, ways: list[str], facts: DataFrame, gold: DataFrame, rankings: Callable) -> DataFrame:
+    """method, query_id, doc, rank of gold's documents in all rankings of their queries.
+
+    blocks, numbers: of Meeting.blocks. facts: query_id, doc, kind, value, what is known of some pairs; kind
+    'out' takes a document out of the rankings. gold: query_id, doc. rankings(pairs by the score ``first``,
+    given(kind, without)): ranks by method. Pairs are sent once, packed; a query's are ranked as arrays, in one group.
+    """
+    wanted = cut(gold.select("query_id", "doc").distinct())
+    more = facts.select("query_id", "doc", "kind", F.col("value").cast("double").alias("value")).unionByName(wanted.select("query_id", "doc", F.lit("gold").alias("kind"), F.lit(0.0).alias("value")))
+    more = small(cut(more)).join(numbers, "doc").select("query_id", "number", "kind", "value")
+    kind = blocks.schema["query_id"].dataType
+
+    def ranks(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = np.array(right.column("kind").to_pylist(), object)
+        number, value = right.column("number").to_numpy(), right.column("value").to_numpy()
+        out = {"query_id": [], "number": [], "method": [], "rank": []}
+        if left.num_rows and (names == "gold").any():
+            pairs = search.opened(left, ways)
+            kept = ~np.isin(pairs["number"], number[names == "out"])
+            pairs = _by_first({name: x[kept] for name, x in pairs.items()}, first)
+            at = np.flatnonzero(np.isin(pairs["number"], number[names == "gold"]))
+            found = rankings(pairs, lambda name, without: _given(pairs, number[names == name], value[names == name], without)) if len(at) else {}
+            for method, rank in found.items():
+                out["query_id"] += [left.column("query_id")[0].as_py()] * len(at)
+                out["number"] += pairs["number"][at].tolist()
+                out["method"] += [method] * len(at)
+                out["rank"] += rank[at].tolist()
+        return pa.table(out, pa.schema([("query_id", left.schema.field("query_id").type), ("number", pa.int64()), ("method", pa.string()), ("rank", pa.int64())]))
+
+    blocks = blocks.join(small(wanted.select("query_id").distinct()), "query_id", "left_semi")
+    ranked = blocks.groupBy("query_id").cogroup(more.groupBy("query_id")).applyInArrow(ranks, f"query_id {kind.simpleString()}, number long, method string, rank long")
+    return numbers.join(small(cut(ranked)), "number").select("method", "query_id", "doc", "rank")
+
+
 def unpivoted(ranked: DataFrame, methods: dict[str, str]) -> DataFrame:
     """method, query_id, doc, rank from one column of ranks for each method."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).cast("long").alias("rank")) for m, c in methods.items()])).alias("r")

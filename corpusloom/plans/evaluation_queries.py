@@ -126,16 +126,23 @@ def cochange_rankers(spark, d):
     docs = cq._code_fields(f).join(cq.sources(spark, d).select(F.col("path").alias("doc_id"), F.col("text").alias("body")), "doc_id")
     q = requirements.requirements(cq._needs(spark, d)).select("slug", "text")
     met, body = search.Meeting(docs, "doc_id", {"name": docs["name"], "doc": docs["doc"], "body": docs["body"]}, search.query_terms(q, "slug", q["text"])), ["name", "doc", "body"]
-    hits = met.every({"lexical": ("bm25f", body)})
     seeds = cut(met.top(search.HOW["bm25f"](body), 1, lambda: met.every({"score": ("bm25f", body)})).select("query_id", F.col("doc").alias("seed")))  # one row a query
     both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     far = graph.distances(both, seeds.select(F.col("query_id").alias("seed_set"), F.col("seed").alias("node")), 3).select(F.col("seed_set").alias("query_id"), F.col("node").alias("doc"), "distance")
     links = both.join(small(seeds.select(F.col("seed").alias("src")).distinct()), "src", "left_semi").groupBy(F.col("src").alias("seed"), F.col("dst").alias("doc")).agg(F.sum("weight").alias("weight"))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    c = hits.join(small(seeds.withColumn("seed_dir", folder(F.col("seed")))), "query_id").where("doc <> seed")
-    c = c.join(small(far), ["query_id", "doc"], "left").join(small(cut(links)), ["seed", "doc"], "left").withColumn("same_dir", folder(F.col("doc")) == F.col("seed_dir"))
-    ranked = evaluate.rankers(c.withColumn("same_part", F.lit(False)).withColumn("same_group", F.col("same_dir")))
     gold = cq._needed(spark, d, f).select(F.col("slug").alias("query_id"), F.col("path").alias("doc")).join(seeds, "query_id").where("doc <> seed").select("query_id", "doc")
+    if met.plain:
+        c = met.every({"lexical": ("bm25f", body)}).join(small(seeds.withColumn("seed_dir", folder(F.col("seed")))), "query_id").where("doc <> seed")
+        c = c.join(small(far), ["query_id", "doc"], "left").join(small(cut(links)), ["seed", "doc"], "left").withColumn("same_dir", folder(F.col("doc")) == F.col("seed_dir"))
+        ranked = evaluate.rankers(c.withColumn("same_part", F.lit(False)).withColumn("same_group", F.col("same_dir")))
+    else:
+        fact = lambda rows, kind, value: rows.select("query_id", "doc", F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+        linked = seeds.join(links, "seed")
+        facts = fact(seeds.withColumnRenamed("seed", "doc"), "out", F.lit(0)).unionByName(fact(far, "distance", F.col("distance"))).unionByName(fact(linked, "weight", F.col("weight")))
+        folders = {r[0]: r[1] for r in seeds.select("query_id", folder(F.col("seed"))).collect()}  # one row a query
+        blocks, numbers = met.blocks({"lexical": ("bm25f", body)}, label=folder(F.col("doc")), labels=folders)
+        ranked = evaluate.gold_places(blocks, numbers, "lexical", ["lexical"], facts, gold, evaluate.seven_places)
     methods = spark.createDataFrame([(m,) for m in ("lexical", "same directory", "community", "graph", "random", "hybrid", "fusion")], "method string")
     return metrics.per_query(metrics.gold_ranks(ranked, gold, methods)).groupBy("method").agg(*metrics.means())
 

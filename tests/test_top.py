@@ -204,3 +204,38 @@ def test_walk_with_dead_ends(spark):
                         moved[v] = moved.get(v, 0.0) + 0.85 * m * p
                 mass = moved
             assert {n: m for (k, n), m in got.items() if k == s} == {n: pytest.approx(m, abs=1e-8) for n, m in mass.items()}
+
+
+def _ranked(df):
+    return sorted((r.method, r.query_id, str(r.doc), r["rank"]) for r in df.collect())
+
+
+def _parts(spark, monkeypatch, name):
+    monkeypatch.setattr(search, "_BLOCK", 700)  # several blocks of a query
+    docs, asked = corpus(spark, name)
+    met = search.Meeting(docs, "id", {"name": docs["title"], "body": docs["text"]}, asked)
+    ids = [r[0] for r in docs.select("id").orderBy("id").collect()]
+    kind = docs.schema["id"].dataType.simpleString()
+    gold = spark.createDataFrame([(q, ids[i]) for q in (1, 3, 5, 8) for i in range(q, len(ids), 11)] + [(3, ids[3])], f"query_id int, doc {kind}")
+    return met, ids, kind, gold
+
+
+def test_seven_rankings_packed_by_query(spark, monkeypatch):
+    """Ranks of gold from packed pairs equal those of the rows, and no pair is a row of the plan's joins and windows."""
+    from corpusloom.operators import evaluate
+    from pyspark.sql import functions as F
+
+    met, ids, kind, gold = _parts(spark, monkeypatch, lambda i: f"{'abc'[i % 3]}/d{i * 7919 % 1009}é.py")
+    seeds = spark.createDataFrame([(q, ids[(7 * q) % len(ids)]) for q in range(1, 9)], f"query_id int, seed {kind}")
+    far = spark.createDataFrame([(q, ids[i], i % 4) for q in range(1, 9) for i in range(q, len(ids), 13)], f"query_id int, doc {kind}, distance long")
+    links = spark.createDataFrame([(q, ids[i], 1 + i % 3) for q in range(1, 9) for i in range(q, len(ids), 26)], f"query_id int, doc {kind}, weight long")
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    way = {"lexical": ("bm25f", ["name", "body"])}
+    c = met.every(way).join(seeds, "query_id").where("doc <> seed").join(far, ["query_id", "doc"], "left").join(links, ["query_id", "doc"], "left")
+    c = c.withColumn("same_dir", folder(F.col("doc")) == folder(F.col("seed"))).withColumn("same_part", F.lit(False)).withColumn("same_group", F.col("same_dir"))
+    wanted = _ranked(evaluate.rankers(c).join(gold.distinct(), ["query_id", "doc"], "left_semi"))
+    facts = seeds.selectExpr("query_id", "seed doc", "'out' kind", "0 value").unionByName(far.selectExpr("query_id", "doc", "'distance' kind", "distance value")).unionByName(links.selectExpr("query_id", "doc", "'weight' kind", "weight value"))
+    blocks, numbers = met.blocks(way, label=folder(F.col("doc")), labels={r[0]: r[1] for r in seeds.select("query_id", folder(F.col("seed"))).collect()})
+    assert blocks.count() < met.every(way).count() / 4
+    found = evaluate.gold_places(blocks, numbers, "lexical", ["lexical"], facts, gold, evaluate.seven_places)
+    assert _ranked(found) == wanted and len(wanted) > 300
