@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -256,6 +258,37 @@ SEARCHES = ("metadata", "fields")
 METHODS = ["random", "file bm25", "bm25 graph", *[f"{m} [{c}]" for c in SEARCHES for m in ("search", "context by task", "context bug", "fusion context", "fusion search")]]
 
 
+def _thirteen(every: DataFrame, ways: dict, heads: dict[str, DataFrame]) -> DataFrame:
+    """The rankings of all pairs as rows: a row for each pair with its three scores and its places in the heads of rankings, sent once, by query."""
+    pairs = every.where("file is not null").select("query_id", "doc", *ways, *[F.lit(None).cast("int").alias(h) for h in heads])
+    placed = [r.select("query_id", "doc", *[F.lit(None).cast("double").alias(c) for c in ways], *[F.col("rank").cast("int").alias(h) if h == head else F.lit(None).cast("int").alias(h) for h in heads]) for head, r in heads.items()]
+    rows = reduce(DataFrame.unionByName, placed, pairs).repartition("query_id")
+    wide = rows.groupBy("query_id", "doc").agg(*[F.max(c).alias(c) for c in (*ways, *heads)]).where("file is not null")
+    score = lambda c: F.desc_nulls_last(F.round(c, 9))
+    behind = lambda c: F.when(F.col(c).isNull(), F.col("_file bm25"))  # noqa: E731 - what a head has not comes behind it, by file
+    fused = lambda m: [F.desc(F.round(1 / (60 + F.col("_file bm25")) + 1 / (60 + F.col(m)), 12)), "_file bm25"]
+    orders = {"file bm25": [score("file"), "doc"], "random": [evaluate.random_key("query_id", "doc"), "doc"], "bm25 graph": [F.asc_nulls_last("walk"), "_file bm25"]}
+    for name in SEARCHES:
+        orders |= {f"search [{name}]": [score(name), behind(name), "doc"], f"context by task [{name}]": [F.asc_nulls_last(f"task {name}"), "_file bm25"], f"context bug [{name}]": [F.asc_nulls_last(f"bug {name}"), "_file bm25"]}
+        orders |= {f"fusion context [{name}]": fused(f"_context by task [{name}]"), f"fusion search [{name}]": fused(f"_search [{name}]")}
+    for method, order in orders.items():
+        wide = wide.withColumn(f"_{method}", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    return evaluate.unpivoted(wide, {m: f"_{m}" for m in METHODS})
+
+
+def _thirteen_places(pairs: dict[str, np.ndarray], given: Callable[[str, float], np.ndarray]) -> dict[str, np.ndarray]:
+    """The same of one query, as arrays. pairs: by file."""
+    file = np.arange(1, len(pairs["file"]) + 1)
+    headed = lambda head: evaluate.places(np.argsort(given(head, np.inf), kind="stable"))  # noqa: E731 - what a head has not comes behind it, by file
+    out = {"random": evaluate.random_places(pairs), "file bm25": file, "bm25 graph": headed("walk")}
+    for name in SEARCHES:
+        found = pairs[name] > 0
+        out[f"search [{name}]"] = evaluate.places(np.lexsort((pairs["number"], np.where(found, 0, file), np.where(found, -search.rounded(pairs[name], 9), np.inf))))
+        out |= {f"context by task [{name}]": headed(f"task {name}"), f"context bug [{name}]": headed(f"bug {name}")}
+        out |= {f"fusion context [{name}]": evaluate.fused_places(file, out[f"context by task [{name}]"]), f"fusion search [{name}]": evaluate.fused_places(file, out[f"search [{name}]"])}
+    return out
+
+
 def evaluation_loop(spark, d):
     """Thirteen rankings of every passage's documents against those that contain it, in one table.
 
@@ -277,23 +310,15 @@ def evaluation_loop(spark, d):
     for name in SEARCHES:
         parts = {task: cut(retrieve.gather(strong[name], *tables[1:], task, retrieve.Settings(expansion="walk")).select("query_id", "doc", F.col("position").alias("rank"))) for task in ("feature", "bug")}
         heads |= {f"task {name}": parts["feature"].where(even).unionByName(parts["bug"].where(~even)), f"bug {name}": parts["bug"]}
-    # a row for each pair with its three scores and its places in the heads of rankings; sent once, by query
-    pairs = met.every(ways).where("file is not null").select("query_id", "doc", *ways, *[F.lit(None).cast("int").alias(h) for h in heads])
-    placed = [r.select("query_id", "doc", *[F.lit(None).cast("double").alias(c) for c in ways], *[F.col("rank").cast("int").alias(h) if h == head else F.lit(None).cast("int").alias(h) for h in heads]) for head, r in heads.items()]
-    rows = reduce(DataFrame.unionByName, placed, pairs).repartition("query_id")
-    wide = rows.groupBy("query_id", "doc").agg(*[F.max(c).alias(c) for c in (*ways, *heads)]).where("file is not null")
-    score = lambda c: F.desc_nulls_last(F.round(c, 9))
-    behind = lambda c: F.when(F.col(c).isNull(), F.col("_file bm25"))  # noqa: E731 - what a head has not comes behind it, by file
-    fused = lambda m: [F.desc(F.round(1 / (60 + F.col("_file bm25")) + 1 / (60 + F.col(m)), 12)), "_file bm25"]
-    orders = {"file bm25": [score("file"), "doc"], "random": [evaluate.random_key("query_id", "doc"), "doc"], "bm25 graph": [F.asc_nulls_last("walk"), "_file bm25"]}
-    for name in SEARCHES:
-        orders |= {f"search [{name}]": [score(name), behind(name), "doc"], f"context by task [{name}]": [F.asc_nulls_last(f"task {name}"), "_file bm25"], f"context bug [{name}]": [F.asc_nulls_last(f"bug {name}"), "_file bm25"]}
-        orders |= {f"fusion context [{name}]": fused(f"_context by task [{name}]"), f"fusion search [{name}]": fused(f"_search [{name}]")}
-    for method, order in orders.items():
-        wide = wide.withColumn(f"_{method}", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    ranked = evaluate.unpivoted(wide, {m: f"_{m}" for m in METHODS})
+    gold = cut(tq.gold(spark, d))
+    if met.plain:
+        ranked = _thirteen(met.every(ways), ways, heads)
+    else:
+        facts = [r.select("query_id", "doc", F.lit(head).alias("kind"), F.col("rank").cast("double").alias("value")) for head, r in heads.items()]
+        blocks, numbers = met.blocks(ways)
+        ranked = evaluate.gold_places(blocks, numbers, "file", list(ways), reduce(DataFrame.unionByName, facts), gold, _thirteen_places)
     methods = spark.createDataFrame([(m,) for m in METHODS], "method string")
-    return metrics.per_query(metrics.gold_ranks(ranked, tq.gold(spark, d), methods)).groupBy("method").agg(*metrics.means())
+    return metrics.per_query(metrics.gold_ranks(ranked, gold, methods)).groupBy("method").agg(*metrics.means())
 
 
 QUERIES = {

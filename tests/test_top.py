@@ -239,3 +239,20 @@ def test_seven_rankings_packed_by_query(spark, monkeypatch):
     assert blocks.count() < met.every(way).count() / 4
     found = evaluate.gold_places(blocks, numbers, "lexical", ["lexical"], facts, gold, evaluate.seven_places)
     assert _ranked(found) == wanted and len(wanted) > 300
+
+
+def test_thirteen_rankings_packed_by_query(spark, monkeypatch):
+    from functools import reduce
+
+    from corpusloom.operators import evaluate
+    from corpusloom.plans import evaluation_queries as eq
+    from pyspark.sql import functions as F
+
+    met, ids, kind, gold = _parts(spark, monkeypatch, lambda i: i * 7919 % 1009)
+    ways = {"file": ("bm25", ["body"]), "metadata": ("bm25", ["name"]), "fields": ("bm25f", ["name", "body"])}
+    names = ["walk", *[f"{h} {n}" for n in eq.SEARCHES for h in ("task", "bug")]]
+    heads = {h: spark.createDataFrame([(q, ids[i], k + 1) for q in range(1, 9) for k, i in enumerate(range(j + q, len(ids), 9 + j))], f"query_id int, doc {kind}, rank int") for j, h in enumerate(names)}
+    wanted = _ranked(eq._thirteen(met.every(ways), ways, heads).join(gold.distinct(), ["query_id", "doc"], "left_semi"))
+    facts = reduce(lambda a, b: a.unionByName(b), [r.select("query_id", "doc", F.lit(h).alias("kind"), F.col("rank").alias("value")) for h, r in heads.items()])
+    found = evaluate.gold_places(*met.blocks(ways), "file", list(ways), facts, gold, eq._thirteen_places)
+    assert _ranked(found) == wanted and len(wanted) > 500
